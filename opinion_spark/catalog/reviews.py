@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL, RATING
 from opinion_spark.functions.labels import with_label
+from opinion_spark.session import spread
 
 KEY = "doc_id"
 TEXT = "review_text"
@@ -18,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews without a rating: no join where only the text matters."""
-    return table(spark, sf_dir, "documents").select(
+def texts(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Reviews without a rating: no join where only the text matters.
+
+    ``heavy`` work on the text gets a task per core even from a single file.
+    """
+    documents = table(spark, sf_dir, "documents")
+    return (spread(documents) if heavy else documents).select(
         KEY, F.col("text").alias(TEXT), F.split_part("text", F.lit("\n"), F.lit(1)).alias(TITLE), F.col("lang").alias(COUNTRY)
     )
 
 
-def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Every document as a review; its rating comes from its quality marks, if it has any."""
     d = table(spark, sf_dir, "documents")
+    d = spread(d) if heavy else d
     m = table(spark, sf_dir, "labels").withColumnRenamed(KEY, "marked_id")
     rating = (
         F.when(F.col("marked_id").isNull(), None)
@@ -44,14 +50,14 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """All reviews with their label; unrated ones count as positive."""
-    return with_label(unlabelled(spark, sf_dir))
+    return with_label(unlabelled(spark, sf_dir, heavy))
 
 
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rated(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Reviews with a rating, for training and evaluation."""
-    return with_label(unlabelled(spark, sf_dir).filter(F.col(RATING).isNotNull()))
+    return with_label(unlabelled(spark, sf_dir, heavy).filter(F.col(RATING).isNotNull()))
 
 
 __all__ = ["COUNTRY", "KEY", "LABEL", "RATING", "TEXT", "TITLE", "rated", "reviews", "table", "texts", "unlabelled"]

@@ -60,3 +60,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Give heavy row-by-row work enough tasks when a table comes in few files.
+
+    A small file is one row group, hence one task, whatever the split size. A
+    table of at least as many files as there are cores passes through as it
+    is: large tables are never shuffled for this.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= wanted else df.repartition(wanted)
