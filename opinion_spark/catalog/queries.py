@@ -140,20 +140,20 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequent_words(label: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = reviews(spark, sf_dir).filter(F.col(LABEL) == label)
+        df = reviews(spark, sf_dir, heavy=True).filter(F.col(LABEL) == label)
         return words.word_frequencies(df, TEXT).select("term", "n", six("relative"))
 
     return query
 
 
 def word_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.collocations(texts(spark, sf_dir), TEXT).select("pair", "word1", "word2", "n", "c1", "c2", F.round("score", 4).alias("score"))
+    return words.collocations(texts(spark, sf_dir, heavy=True), TEXT).select("pair", "word1", "word2", "n", "c1", "c2", F.round("score", 4).alias("score"))
 
 
 # --- splits and samples ------------------------------------------------------
 
-def split_table(spark: SparkSession, sf_dir: str, test_size: float = 0.2) -> DataFrame:
-    return sampling.stratified_split(rated(spark, sf_dir), KEY, LABEL, test_size)
+def split_table(spark: SparkSession, sf_dir: str, test_size: float = 0.2, heavy: bool = False) -> DataFrame:
+    return sampling.stratified_split(rated(spark, sf_dir, heavy), KEY, LABEL, test_size)
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,19 +182,19 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features ------------------------------------------------------------------
 
 def tfidf_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.tokenize(texts(spark, sf_dir), TEXT).select(
+    return tfidf.tokenize(texts(spark, sf_dir, heavy=True), TEXT).select(
         KEY, F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")
     )
 
 
 def tfidf_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.tokenize(texts(spark, sf_dir), TEXT).select(
+    return tfidf.tokenize(texts(spark, sf_dir, heavy=True), TEXT).select(
         KEY, F.size("terms").cast("bigint").alias("n_terms"), F.array_join("terms", "|").alias("terms")
     )
 
 
 def _fitted_tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tfidf.Tfidf]:
-    split = split_table(spark, sf_dir)
+    split = split_table(spark, sf_dir, heavy=True)
     return split, tfidf.fit_tfidf(split.filter(~F.col("is_test")), TEXT)
 
 
@@ -220,7 +220,7 @@ def tfidf_weights(test: bool):
 @lru_cache(maxsize=8)
 def _run(app_id: str, spark: SparkSession, sf_dir: str, models: tuple) -> classification.ClassificationResult:
     """One training run serves all views of it, as long as its session lives."""
-    return classification.run_classification(rated(spark, sf_dir), TEXT, KEY, LABEL, models=models)
+    return classification.run_classification(rated(spark, sf_dir, heavy=True), TEXT, KEY, LABEL, models=models)
 
 
 def trained(spark: SparkSession, sf_dir: str, *models: str) -> classification.ClassificationResult:
@@ -279,21 +279,21 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = trained(spark, sf_dir, classifiers.BAYES)
     path = scratch_path(spark, "sentiment-model")
     save_model(run.best, path)
-    return load_model(spark, path).predict(texts(spark, sf_dir)).select(KEY, "prediction")
+    return load_model(spark, path).predict(texts(spark, sf_dir, heavy=True)).select(KEY, "prediction")
 
 
 # --- scoring and evaluation ---------------------------------------------------------
 
 def _scored_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(rated(spark, sf_dir), TEXT, SCORER)
+    return scoring.score(rated(spark, sf_dir, heavy=True), TEXT, SCORER)
 
 
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(texts(spark, sf_dir), TEXT, SCORER).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
+    return scoring.score(texts(spark, sf_dir, heavy=True), TEXT, SCORER).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
 
 
 def score_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(texts(spark, sf_dir), TEXT, SCORER, max_chars=None).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
+    return scoring.score(texts(spark, sf_dir, heavy=True), TEXT, SCORER, max_chars=None).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
 
 
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
