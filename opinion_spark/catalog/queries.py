@@ -380,7 +380,7 @@ QUERIES = {
     "label_names": label_names,
     "text_previews": text_previews,
     "round_half_even": half_even,
-    "review_count": lambda spark, sf_dir: statistics.review_count(reviews(spark, sf_dir)),
+    "review_count": lambda spark, sf_dir: statistics.review_count(texts(spark, sf_dir)),
     "sentiment_counts": lambda spark, sf_dir: statistics.sentiment_counts(reviews(spark, sf_dir)),
     "label_distribution": lambda spark, sf_dir: statistics.distribution(reviews(spark, sf_dir), LABEL),
     "rating_histogram": rating_histogram,

@@ -30,7 +30,7 @@ def texts(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     )
 
 
-def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False, how: str = "left") -> DataFrame:
     """Every document as a review; its rating comes from its quality marks, if it has any."""
     d = table(spark, sf_dir, "documents")
     d = spread(d) if heavy else d
@@ -41,7 +41,7 @@ def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFra
         .when(F.col("quality") == 0, 3)
         .otherwise(4 + F.col("n_chars") % 2)
     )
-    return d.join(m, d[KEY] == F.col("marked_id"), "left").select(
+    return d.join(m, d[KEY] == F.col("marked_id"), how).select(
         KEY,
         F.col("text").alias(TEXT),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias(TITLE),
@@ -57,7 +57,7 @@ def reviews(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
 
 def rated(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Reviews with a rating, for training and evaluation."""
-    return with_label(unlabelled(spark, sf_dir, heavy).filter(F.col(RATING).isNotNull()))
+    return with_label(unlabelled(spark, sf_dir, heavy, "inner").filter(F.col(RATING).isNotNull()))
 
 
 __all__ = ["COUNTRY", "KEY", "LABEL", "RATING", "TEXT", "TITLE", "rated", "reviews", "table", "texts", "unlabelled"]

@@ -48,10 +48,15 @@ def ngrams(tokens: str, sizes: tuple[int, int]) -> str:
 
 
 def cloud_words(text: str) -> str:
-    """Words as written, of any length, less a trailing 's and all-digit words."""
+    """Words as written, of any length, less a trailing 's and all-digit words.
+
+    Words that start with a plain letter are never all digits; only the others
+    are put to the pattern.
+    """
     words = f"regexp_extract_all({text}, {sql_text(CLOUD_TOKEN)}, 0)"
-    cut = f"transform({words}, w -> if(lower(right(w, 2)) = '\\'s', left(w, length(w) - 2), w))"
-    return f"filter({cut}, w -> NOT w RLIKE {sql_text(ALL_DIGITS)})"
+    possessive = "endswith(w, '\\'s') OR endswith(w, '\\'S')"
+    cut = f"transform({words}, w -> if({possessive}, left(w, length(w) - 2), w))"
+    return f"filter({cut}, w -> NOT ((ascii(w) < 65 OR ascii(w) > 127) AND w RLIKE {sql_text(ALL_DIGITS)}))"
 
 
 def prepare_text(

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL
@@ -23,14 +23,18 @@ from opinion_spark.operators.tfidf import Tfidf
 LOGISTIC = "Logistic Regression"
 BAYES = "Naive Bayes"
 
+# Training passes over the vectors hundreds of times; a task with fewer rows
+# than this takes longer to start than to run.
+ROWS_PER_TASK = 1000
+
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced class weights: rows / (classes * rows of the class)."""
     sizes = df.filter(named(label).isNotNull()).groupBy(named(label)).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.filter(named(label).isNotNull()).agg(
-        (F.count(F.lit(1)) / F.count_distinct(named(label))).alias("per_class")
-    )
-    return sizes.select(named(label), "n", (totals.scalar() / F.col("n")).alias("weight"))
+    # One row per class is left for the one-task window.
+    every = Window.partitionBy(F.lit(0))
+    per_class = F.sum("n").over(every) / F.count(F.lit(1)).over(every)
+    return sizes.select(named(label), "n", (per_class / F.col("n")).alias("weight"))
 
 
 def balanced_weights(counts: Mapping[Hashable, int]) -> dict[Hashable, float]:
@@ -97,7 +101,8 @@ def fit_logistic(
     """
     classes = tuple(counts)
     weights = {float(i): w for i, w in enumerate(balanced_weights(counts).values())}
-    train = vectors.select("features", class_index(named(label), classes).alias("class_index")).withColumn(
+    tasks = math.ceil(sum(counts.values()) / ROWS_PER_TASK)
+    train = vectors.coalesce(tasks).select("features", class_index(named(label), classes).alias("class_index")).withColumn(
         "weight", lookup(F.col("class_index"), weights)
     )
     model = LogisticRegression(

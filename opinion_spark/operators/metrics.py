@@ -19,6 +19,9 @@ from opinion_spark.functions.labels import label_name
 from opinion_spark.operators.statistics import first_rows
 
 
+MEASURES = ("precision", "recall", "f1_score")
+
+
 def pair_counts(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
     """Rows per (actual, predicted) pair; at most classes squared rows."""
     return df.groupBy(named(label).alias("actual"), named(prediction).alias("predicted")).agg(
@@ -52,56 +55,74 @@ def confusion_matrix(
     return counts.select(F.inline(F.array(*rows)))
 
 
-def classification_report(
+def report_scores(
     df: DataFrame,
     label: str = LABEL,
     prediction: str = "prediction",
     classes: Sequence[int] = CLASSES,
-    names: Mapping[int, str] = CLASS_NAMES,
     weight: str | None = None,
 ) -> DataFrame:
-    """Precision, recall, F1 and support per class, with accuracy and both averages.
+    """All measures in one row, from one aggregation.
 
-    Listed classes that do not occur count as 0, as does a division by zero.
-    Where labels outside ``classes`` occur, the accuracy row becomes a micro
-    average over the listed ones. The accuracy row repeats the accuracy and
-    carries the total support.
+    Columns ``precision{i}, recall{i}, f1_score{i}, support{i}`` per class,
+    the same as ``micro_*, macro_*, weighted_*``, and ``accuracy`` over all
+    rows, ``outside`` for rows with a label or prediction not in ``classes``.
     """
     y, p = named(label), named(prediction)
     listed = y.isin(*classes) & p.isin(*classes)
+    every = range(len(classes))
     counts = df.agg(
+        _rows(F.lit(True), weight).alias("rows"),
+        _rows(y == p, weight).alias("hits"),
         _rows(~F.coalesce(listed, F.lit(False)), weight).alias("outside"),
         *(_rows((y == c) & (p == c), weight).alias(f"tp{i}") for i, c in enumerate(classes)),
-        *(_rows(y == c, weight).alias(f"actual{i}") for i, c in enumerate(classes)),
+        *(_rows(y == c, weight).alias(f"support{i}") for i, c in enumerate(classes)),
         *(_rows(p == c, weight).alias(f"predicted{i}") for i, c in enumerate(classes)),
     )
-    every = range(len(classes))
-    scores = counts.select(
-        "outside",
-        _total("tp", every).alias("tp"), _total("actual", every).alias("actual"), _total("predicted", every).alias("predicted"),
-        *(ratio(F.col(f"tp{i}"), F.col(f"predicted{i}")).alias(f"precision{i}") for i in every),
-        *(ratio(F.col(f"tp{i}"), F.col(f"actual{i}")).alias(f"recall{i}") for i in every),
-        *(ratio(2 * F.col(f"tp{i}"), F.col(f"predicted{i}") + F.col(f"actual{i}")).alias(f"f1_score{i}") for i in every),
-        *(F.col(f"actual{i}").alias(f"support{i}") for i in every),
+    totals = counts.select(
+        "*", *(_total(part, every).alias(part) for part in ("tp", "support", "predicted"))
     )
-    measures = ("precision", "recall", "f1_score")
-    rows = [
-        _row(F.lit(names.get(c, str(c))), [F.col(f"{m}{i}") for m in measures], F.col(f"support{i}"))
-        for i, c in enumerate(classes)
-    ]
-    rows.append(_row(
-        F.when(F.col("outside") > 0, "micro avg").otherwise("accuracy"),
-        [ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("actual")),
-         ratio(2 * F.col("tp"), F.col("predicted") + F.col("actual"))],
-        F.col("actual"),
-    ))
-    rows.append(_row(F.lit("macro avg"), [_total(m, every) / len(classes) for m in measures], F.col("actual")))
-    weighted = [
-        ratio(sum((F.col(f"{m}{i}") * F.col(f"support{i}") for i in every), F.lit(0.0)), F.col("actual"))
-        for m in measures
+    scores = totals.select(
+        "*", ratio(F.col("hits"), F.col("rows")).alias("accuracy"),
+        *(m.alias(f"{name}{i}") for i in every for name, m in _measures(f"tp{i}", f"predicted{i}", f"support{i}").items()),
+        *(m.alias(f"micro_{name}") for name, m in _measures("tp", "predicted", "support").items()),
+    )
+    return scores.select(
+        "*",
+        *((_total(m, every) / len(classes)).alias(f"macro_{m}") for m in MEASURES),
+        *(
+            ratio(sum((F.col(f"{m}{i}") * F.col(f"support{i}") for i in every), F.lit(0.0)), F.col("support")).alias(f"weighted_{m}")
+            for m in MEASURES
+        ),
+    )
+
+
+def classification_report(
+    df: DataFrame,
+    label: str = LABEL,
+    prediction: str = "prediction",
+    classes: Sequence[int] = CLASSES,
+    names: Mapping[int, str] = CLASS_NAMES,
+    weight: str | None = None,
+) -> DataFrame:
+    """Precision, recall, F1 and support per class, with accuracy and both averages.
+
+    Listed classes that do not occur count as 0, as does a division by zero.
+    Where labels outside ``classes`` occur, the accuracy row becomes a micro
+    average over the listed ones. The accuracy row repeats the accuracy and
+    carries the total support.
+    """
+    def row(name: Column, pattern: str, support: str) -> Column:
+        measures = [F.col(pattern.format(m)).alias(m) for m in MEASURES]
+        return F.struct(name.alias("class"), *measures, F.col(support).cast("bigint").alias("support"))
+
+    rows = [row(F.lit(names.get(c, str(c))), "{}" + str(i), f"support{i}") for i, c in enumerate(classes)]
+    rows += [
+        row(F.when(F.col("outside") > 0, "micro avg").otherwise("accuracy"), "micro_{}", "support"),
+        row(F.lit("macro avg"), "macro_{}", "support"),
+        row(F.lit("weighted avg"), "weighted_{}", "support"),
     ]
-    rows.append(_row(F.lit("weighted avg"), weighted, F.col("actual")))
-    return scores.select(F.inline(F.array(*rows)))
+    return report_scores(df, label, prediction, classes, weight).select(F.inline(F.array(*rows)))
 
 
 def error_examples(
@@ -133,9 +154,9 @@ def _total(prefix: str, indexes) -> Column:
     return sum((F.col(f"{prefix}{i}") for i in indexes), F.lit(0))
 
 
-def _row(name: Column, measures: Sequence[Column], support: Column) -> Column:
-    precision, recall, f1 = measures
-    return F.struct(
-        name.alias("class"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1_score"),
-        support.cast("bigint").alias("support"),
-    )
+def _measures(tp: str, predicted: str, support: str) -> dict[str, Column]:
+    return {
+        "precision": ratio(F.col(tp), F.col(predicted)),
+        "recall": ratio(F.col(tp), F.col(support)),
+        "f1_score": ratio(2 * F.col(tp), F.col(predicted) + F.col(support)),
+    }

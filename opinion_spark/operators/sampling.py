@@ -19,6 +19,7 @@ from opinion_spark.constants import LABEL, SEED
 from opinion_spark.functions.columns import named
 
 SPAN = 1 << 60  # hashes are compared on their first 15 hex digits until few are left
+MAX_CLASSES = 10_000  # class counts are held by the driver
 NONE, ALL = "", "g"  # no md5 text is <= "", every one is <= "g"
 
 
@@ -100,7 +101,10 @@ def within_cut(key: str, group: Column, cuts: Mapping[Hashable, str], seed: int
 
 def class_sizes(df: DataFrame, label: str = LABEL) -> dict[Hashable, int]:
     """Rows per class in class order; rows without a label do not count."""
-    rows = df.filter(named(label).isNotNull()).groupBy(named(label).alias("g")).count().collect()
+    counted = df.filter(named(label).isNotNull()).groupBy(named(label).alias("g")).count()
+    rows = counted.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values; it is no class label")
     return {row["g"]: row["count"] for row in sorted(rows, key=lambda r: r["g"])}
 
 

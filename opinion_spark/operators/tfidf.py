@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions import text as words
 from opinion_spark.functions.columns import named, quoted
 from opinion_spark.functions.stop_words import ENGLISH
+from opinion_spark.session import stage
 
 # The default settings of the feature step.
 MAX_FEATURES = 15_000
@@ -118,24 +119,21 @@ def fit_tfidf(
     if n_docs is None:
         n_docs = df.filter(named(text).isNotNull()).count()
     stats = term_statistics(df, text, stop_words, sizes)
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).persist()
-    try:
-        # A histogram of frequencies finds how deep the top list reaches, so
-        # that the final sort sees little more than the terms it returns.
-        depth = F.floor(F.log2("total_tf") * STEPS_PER_DOUBLING)
-        steps = sorted(kept.groupBy(depth.alias("step")).count().collect(), key=lambda r: -r["step"])
-        total = sum(r["count"] for r in steps)
-        if total == 0:
-            raise ValueError("no terms remain: texts hold only stop words, or min_df/max_df prune too much")
-        wanted = total if max_features is None else min(max_features, total)
-        reached = 0
-        for row in steps:
-            lowest, reached = row["step"], reached + row["count"]
-            if reached >= wanted:
-                break
-        top = kept.filter(depth >= lowest).orderBy(F.desc("total_tf"), F.asc("term")).limit(wanted).collect()
-    finally:
-        kept.unpersist()
+    kept = stage(stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)), "terms")
+    # A histogram of frequencies finds how deep the top list reaches, so that
+    # the final sort sees little more than the terms it returns.
+    depth = F.floor(F.log2("total_tf") * STEPS_PER_DOUBLING)
+    steps = sorted(kept.groupBy(depth.alias("step")).count().collect(), key=lambda r: -r["step"])
+    total = sum(r["count"] for r in steps)
+    if total == 0:
+        raise ValueError("no terms remain: texts hold only stop words, or min_df/max_df prune too much")
+    wanted = total if max_features is None else min(max_features, total)
+    reached = 0
+    for row in steps:
+        lowest, reached = row["step"], reached + row["count"]
+        if reached >= wanted:
+            break
+    top = kept.filter(depth >= lowest).orderBy(F.desc("total_tf"), F.asc("term")).limit(wanted).collect()
     top.sort(key=lambda r: r.term)
     return Tfidf(
         text, tuple(stop_words), sizes, n_docs,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +46,11 @@ def fold_spellings(counts: DataFrame) -> DataFrame:
     ending in one s whose singular occurs as well. A word and its plural share
     a stem, so one shuffle on the stem serves all three steps.
     """
-    lower = F.lower("spelling")
-    is_plural = lower.endswith("s") & ~lower.endswith("ss")
-    stems = counts.select(
-        "spelling", "n", lower.alias("word"), is_plural.alias("is_plural"),
-        F.when(is_plural, _less_last(lower)).otherwise(lower).alias("stem"),
+    word = F.col("word")
+    stems = (
+        counts.select("spelling", "n", F.lower("spelling").alias("word"))
+        .withColumn("is_plural", word.endswith("s") & ~word.endswith("ss"))
+        .withColumn("stem", F.when(F.col("is_plural"), _less_last(word)).otherwise(word))
     )
     has_singular = F.max(~F.col("is_plural")).over(Window.partitionBy("stem"))
     merged = stems.withColumn("merge", F.col("is_plural") & has_singular)
@@ -79,18 +80,33 @@ def pair_score(c12: Column, c1: Column, c2: Column, n: Column) -> Column:
     return F.when((n <= c1) | (n <= c2), F.lit(0.0)).otherwise(score)
 
 
-def score_pairs(counted: DataFrame) -> DataFrame:
-    """Score every pair of a (stored) result of ``count_words``."""
-    singles = counted.filter(F.col("second").isNull())
-    words = fold_spellings(singles.select(F.col("first").alias("spelling"), "n"))
-    total = singles.agg(F.sum("n").cast("double").alias("total"))
+@dataclass(frozen=True)
+class WordCounts:
+    """Folded words (stored, as they are read several times) and pairs as spelled."""
+
+    words: DataFrame
+    pairs: DataFrame
+    total: int
+
+
+def store_counts(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD) -> WordCounts:
+    """Count words and pairs in one pass over the texts and store the counts."""
+    counted = stage(count_words(df, text, stop_words), "word-counts")
+    singles = counted.filter(F.col("second").isNull()).select(F.col("first").alias("spelling"), "n")
+    words = stage(fold_spellings(singles), "words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return WordCounts(words, counted.filter(F.col("second").isNotNull()), total)
+
+
+def score_pairs(counts: WordCounts) -> DataFrame:
+    """The score of every pair, with the names and counts of its words."""
     # A merged plural is looked up under its own spelling too.
-    known = words.select(
+    known = counts.words.select(
         F.explode(F.when(F.col("with_plural"), F.array("word", F.concat("word", F.lit("s")))).otherwise(F.array("word"))).alias("word"),
         F.col("term").alias("name"), F.col("n").alias("c"),
     )
     pairs = fold_spellings(
-        counted.filter(F.col("second").isNotNull()).select(F.concat_ws(" ", "first", "second").alias("spelling"), "n")
+        counts.pairs.select(F.concat_ws(" ", "first", "second").alias("spelling"), "n")
     ).select("term", F.col("n").alias("c12"), F.split("word", " ").alias("both"))
     joined = (
         pairs.withColumn("w1", F.col("both")[0]).withColumn("w2", F.col("both")[1])
@@ -100,14 +116,13 @@ def score_pairs(counted: DataFrame) -> DataFrame:
     as_double = [F.col(c).cast("double") for c in ("c12", "c1", "c2")]
     return joined.select(
         F.col("term").alias("pair"), "word1", "word2", F.col("c12").alias("n"), "c1", "c2",
-        pair_score(*as_double, total.scalar()).alias("score"),
+        pair_score(*as_double, F.lit(float(counts.total))).alias("score"),
     )
 
 
 def collocations(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD, threshold: float = PAIR_THRESHOLD) -> DataFrame:
     """The pairs that score above the threshold."""
-    counted = stage(count_words(df, text, stop_words), "word-counts")
-    return score_pairs(counted).filter(F.col("score") > threshold)
+    return score_pairs(store_counts(df, text, stop_words)).filter(F.col("score") > threshold)
 
 
 def word_frequencies(
@@ -123,20 +138,19 @@ def word_frequencies(
     A collocation is a term of its own, and its count is taken off both of its
     words; terms left with nothing vanish. Equal counts are in term order.
     """
-    counted = count_words(df, text, stop_words, pairs)
-    if pairs:
-        # Read three times (words, pairs, total): written once instead.
-        counted = stage(counted, "word-counts")
-    singles = counted.filter(F.col("second").isNull()).select(F.col("first").alias("spelling"), "n")
-    terms = fold_spellings(singles).select("term", "n")
     if pairs:
-        found = score_pairs(counted).filter(F.col("score") > threshold)
+        counts = store_counts(df, text, stop_words)
+        found = score_pairs(counts).filter(F.col("score") > threshold)
         changes = found.select(F.inline(F.array(
             F.struct(F.col("pair").alias("term"), F.col("n").alias("n")),
             F.struct(F.col("word1").alias("term"), (-F.col("n")).alias("n")),
             F.struct(F.col("word2").alias("term"), (-F.col("n")).alias("n")),
         )))
-        terms = terms.unionByName(changes).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+        terms = counts.words.select("term", "n").unionByName(changes).groupBy("term").agg(F.sum("n").alias("n"))
+        terms = terms.filter(F.col("n") > 0)
+    else:
+        counted = count_words(df, text, stop_words, pairs=False)
+        terms = fold_spellings(counted.select(F.col("first").alias("spelling"), "n")).select("term", "n")
     best = terms.orderBy(F.desc("n"), F.asc("term")).limit(top)
     # At most ``top`` rows are left for the one-task window.
     return best.withColumn("relative", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinion_spark.constants import LABEL
 from opinion_spark.functions.display import fixed, percent
 from opinion_spark.operators.metrics import (
-    accuracy, classification_report, confusion_matrix, error_examples,
+    accuracy, classification_report, confusion_matrix, error_examples, report_scores,
 )
 from opinion_spark.operators.statistics import prediction_distribution
 
@@ -36,15 +36,9 @@ def evaluation_report(scored: DataFrame, text: str, size: int, label: str = LABE
 
 
 def headline_metrics(scored: DataFrame, label: str = LABEL, prediction: str = "hf_mapped") -> DataFrame:
-    """Accuracy over all rows, macro F1 and macro precision, in one row."""
-    def macro(measure: str):
-        return F.max(F.when(F.col("class") == "macro avg", F.col(measure)))
-
-    hits = accuracy(scored, label, prediction).select("accuracy")
-    return (
-        classification_report(scored, label, prediction)
-        .agg(macro("f1_score").alias("macro_f1"), macro("precision").alias("macro_precision"))
-        .select(hits.scalar().alias("accuracy"), "macro_f1", "macro_precision")
+    """Accuracy over all rows, macro F1 and macro precision, in one row and one pass."""
+    return report_scores(scored, label, prediction).select(
+        "accuracy", F.col("macro_f1_score").alias("macro_f1"), "macro_precision"
     )
 
 
