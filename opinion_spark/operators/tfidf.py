@@ -37,17 +37,20 @@ def tokenize(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH, size
 def term_statistics(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
     """Document frequency and total frequency per term.
 
-    Each document lists its terms and, marked, its distinct terms; one
-    map-side combined aggregation on the term then yields both numbers, and no
-    shuffle by document is needed.
+    Terms are sorted within their document, where a term that differs from the
+    one before it is a first occurrence. One map-side combined aggregation on
+    the term then yields both numbers, and no shuffle by document is needed.
     """
     docs = tokenize(df.select(named(text).cast("string").alias("t")).filter("t IS NOT NULL"), "t", stop_words, sizes)
-    listed = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("marked"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("marked"))),
-    )
-    return docs.select(F.inline(listed)).groupBy("term").agg(
-        F.sum("marked").alias("df"), F.sum(1 - F.col("marked")).alias("total_tf")
+    # The outer form keeps the optimizer from deriving a filter on the term
+    # list, for which it would build every list a second time.
+    listed = docs.select(F.sort_array("terms").alias("terms")).select("terms", F.posexplode_outer("terms").alias("i", "term"))
+    repeated = F.get("terms", F.col("i") - 1).eqNullSafe(F.col("term"))
+    return (
+        listed.filter(F.col("term").isNotNull())
+        .select("term", (~repeated).cast("int").alias("is_first"))
+        .groupBy("term")
+        .agg(F.sum("is_first").alias("df"), F.count(F.lit(1)).alias("total_tf"))
     )
 
 

@@ -19,25 +19,31 @@ PAIR_THRESHOLD = 30.0
 TINY = 1e-10
 
 
-def count_words(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD, pairs: bool = True) -> DataFrame:
-    """Occurrences of each word and of each pair of neighbours, as spelled.
+def count_words(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD) -> DataFrame:
+    """Occurrences ``n`` of each word that is no stop word, by the word after it.
 
-    One pass: every text yields its words (``second`` is NULL) and its pairs,
-    both without stop words, and a map-side combined count follows. Pairs are
-    formed before stop words are left out and stay within a text.
+    ``second`` is NULL at the end of a text and before a stop word, so that a
+    row is a pair where ``second`` is set, and the rows of a word add up to its
+    count. Successors are taken before stop words are left out, within a text.
     """
     words = df.filter(named(text).isNotNull()).select(F.expr(cloud_words(quoted(text))).alias("words"))
-    singles = "transform(words, w -> struct(w AS first, CAST(NULL AS STRING) AS second))"
-    neighbours = "slice(transform(words, (w, i) -> struct(w AS first, get(words, i + 1) AS second)), 1, greatest(size(words) - 1, 0))"
-    listed = words.select(F.expr(f"inline(concat({singles}, {neighbours}))" if pairs else f"inline({singles})"))
+    # The outer form keeps the optimizer from deriving a filter on the word
+    # list, for which it would split every text a second time.
+    listed = words.select("words", F.posexplode_outer("words").alias("i", "first")).select(
+        "first", F.get("words", F.col("i") + 1).alias("second")
+    ).filter(F.col("first").isNotNull())
     stops = list(stop_words)
     if stops:
-        listed = listed.filter(
-            ~F.lower("first").isin(stops) & (F.col("second").isNull() | ~F.lower("second").isin(stops))
+        listed = listed.filter(~F.lower("first").isin(stops)).withColumn(
+            "second", F.when(~F.lower("second").isin(stops), F.col("second"))
         )
     return listed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _single_counts(counted: DataFrame) -> DataFrame:
+    return counted.groupBy(F.col("first").alias("spelling")).agg(F.sum("n").alias("n"))
+
+
 def fold_spellings(counts: DataFrame) -> DataFrame:
     """Merge the spellings of a word: case variants, and simple plurals into singulars.
 
@@ -92,8 +98,7 @@ class WordCounts:
 def store_counts(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD) -> WordCounts:
     """Count words and pairs in one pass over the texts and store the counts."""
     counted = stage(count_words(df, text, stop_words), "word-counts")
-    singles = counted.filter(F.col("second").isNull()).select(F.col("first").alias("spelling"), "n")
-    words = stage(fold_spellings(singles), "words")
+    words = stage(fold_spellings(_single_counts(counted)), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     return WordCounts(words, counted.filter(F.col("second").isNotNull()), total)
 
@@ -149,8 +154,7 @@ def word_frequencies(
         terms = counts.words.select("term", "n").unionByName(changes).groupBy("term").agg(F.sum("n").alias("n"))
         terms = terms.filter(F.col("n") > 0)
     else:
-        counted = count_words(df, text, stop_words, pairs=False)
-        terms = fold_spellings(counted.select(F.col("first").alias("spelling"), "n")).select("term", "n")
+        terms = fold_spellings(_single_counts(count_words(df, text, stop_words))).select("term", "n")
     best = terms.orderBy(F.desc("n"), F.asc("term")).limit(top)
     # At most ``top`` rows are left for the one-task window.
     return best.withColumn("relative", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))))

@@ -105,3 +105,13 @@ def test_prepare_text(spark):
     kept = {r.id: r.scored_text for r in prepare_text(df, "t", max_chars=None, drop_blank=False, missing="nan").collect()}
     assert len(kept[1]) == 3000 and kept[3] == "nan" and set(kept) == {1, 2, 3, 4}
     assert prepare_text(df, "t").filter(F.length("t") > 2000).count() == 1
+
+
+@pytest.mark.parametrize("build", ["term_statistics", "count_words"])
+def test_texts_are_split_once(docs, build):
+    """No derived filter repeats the tokenising, and no text is shuffled."""
+    from opinion_spark.operators.words import count_words
+
+    df = t.term_statistics(docs, "t") if build == "term_statistics" else count_words(docs, "t")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("Exchange") == 1
