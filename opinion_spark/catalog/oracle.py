@@ -104,6 +104,23 @@ BAYES = FEATURES + """
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate) = 1)
 """
 
+# The fitted model on every text, rated or not.
+BAYES_ON_ALL = BAYES + f"""
+, all_tokens AS (SELECT doc_id, {TOKENS} AS tokens FROM unlabelled)
+, all_words AS (SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM all_tokens)
+, all_neighbours AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM all_words)
+, all_terms AS (
+  SELECT doc_id, w AS term FROM all_words UNION ALL SELECT doc_id, w || ' ' || v FROM all_neighbours WHERE v IS NOT NULL)
+, all_raw AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM all_terms JOIN vocabulary USING (term) GROUP BY doc_id, term)
+, all_weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM all_raw)
+, all_parts AS (
+  SELECT w.doc_id, t.label, sum(w.weight * t.log_theta) AS part FROM all_weights w JOIN theta t ON t.term = w.term GROUP BY w.doc_id, t.label)
+, all_scores AS (
+  SELECT u.doc_id, p.label AS prediction, p.log_prior + coalesce(x.part, 0) AS score
+  FROM unlabelled u CROSS JOIN priors p LEFT JOIN all_parts x ON x.doc_id = u.doc_id AND x.label = p.label)
+SELECT doc_id, prediction FROM all_scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, prediction) = 1
+"""
+
 
 def lexicon(source: str, limit: int | None) -> str:
     seen = "review_text" if limit is None else f"substr(review_text, 1, {limit})"
@@ -337,6 +354,7 @@ FROM rated GROUP BY label""",
     "best_nb_model": BAYES + """
 SELECT 'Naive Bayes' AS model, round(avg((label = prediction)::INTEGER), 6) AS accuracy,
        format('{:.4f}', avg((label = prediction)::INTEGER)) AS accuracy_text FROM predicted""",
+    "model_roundtrip": BAYES_ON_ALL,
     "score_batch": SCORED_TEXTS,
     "score_whole_text": REVIEWS + lexicon("unlabelled", None) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored",
     "score_stream": SCORED_TEXTS,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ def read_reviews(
     null_tokens: Sequence[str] = NULL_TOKENS,
     infer: bool = False,
     multi_line: bool = True,
+    cache: bool = False,
     **options,
 ) -> DataFrame:
     """A review table from CSV (default), parquet, JSON, ORC or a catalog table.
@@ -43,8 +45,14 @@ def read_reviews(
     Quoted line breaks need ``multi_line=True``, with which Spark reads each
     file in one task: ship a large CSV table as many files, or pass
     ``multi_line=False`` where no cell holds a line break, so that files are
-    split. Store the result as parquet when it is read more than once.
+    split. Store the result as parquet when it is read more than once, or pass
+    ``cache=True`` to parse it once for the session.
     """
+    df = _read(spark, path, fmt, schema, null_tokens, infer, multi_line, options)
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
+
+
+def _read(spark, path, fmt, schema, null_tokens, infer, multi_line, options) -> DataFrame:
     if fmt == "table":
         return spark.table(path)
     if fmt != "csv":

@@ -119,3 +119,11 @@ def test_spread_leaves_many_files_alone(spark, tmp_path):
     many = spark.read.parquet(path)
     assert spread(many, 4) is many
     assert spread(many, 12).rdd.getNumPartitions() == 12
+
+
+def test_cached_read(spark, tmp_path):
+    path = write(tmp_path, "d.csv", CSV)
+    df = read_reviews(spark, path, cache=True)
+    assert df.storageLevel.useMemory and df.storageLevel.useDisk and df.count() == 3
+    df.unpersist()
+    assert not read_reviews(spark, path).storageLevel.useMemory
