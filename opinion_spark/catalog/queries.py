@@ -217,10 +217,17 @@ def tfidf_weights(test: bool):
 
 # --- classifiers -----------------------------------------------------------------
 
+# One preparation serves both classifiers, and one training run all views of
+# it, as long as their session lives.
+
+@lru_cache(maxsize=4)
+def _prepared(app_id: str, spark: SparkSession, sf_dir: str) -> classification.TrainingData:
+    return classification.prepare_training(rated(spark, sf_dir, heavy=True), KEY, TEXT, LABEL)
+
+
 @lru_cache(maxsize=8)
 def _run(app_id: str, spark: SparkSession, sf_dir: str, models: tuple) -> classification.ClassificationResult:
-    """One training run serves all views of it, as long as its session lives."""
-    return classification.run_classification(rated(spark, sf_dir, heavy=True), TEXT, KEY, LABEL, models=models)
+    return classification.train_models(_prepared(app_id, spark, sf_dir), LABEL, models)
 
 
 def trained(spark: SparkSession, sf_dir: str, *models: str) -> classification.ClassificationResult:

@@ -25,7 +25,7 @@ BAYES = "Naive Bayes"
 
 # Training passes over the vectors hundreds of times; a task with fewer rows
 # than this takes longer to start than to run.
-ROWS_PER_TASK = 1000
+ROWS_PER_TASK = 4000
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -37,6 +37,7 @@ class TrainingData:
     tfidf: Tfidf
     train_counts: dict
     test_counts: dict
+    test_size: float
 
     @property
     def train(self) -> DataFrame:
@@ -116,7 +117,7 @@ def prepare_training(
         split.filter(~F.col("is_test")), text, stop_words, n_docs=sum(train_counts.values()), **features
     )
     vectors = tfidf.vectors(split).select(key, label, "is_test", "features")
-    return TrainingData(stage(vectors, "vectors"), tfidf, train_counts, test_counts)
+    return TrainingData(stage(vectors, "vectors"), tfidf, train_counts, test_counts, test_size)
 
 
 def run_classification(
@@ -131,16 +132,26 @@ def run_classification(
     stop_words: Sequence[str] = ENGLISH,
     max_iter: int = 1000,
 ) -> ClassificationResult:
-    """Train the chosen models, measure them on the test side and save the best.
+    """Split the table, train the chosen models on one side, measure them on the other, save the best."""
+    data = prepare_training(df, key, text, label, test_size, seed, stop_words)
+    result = train_models(data, label, models, max_iter)
+    if save_to and result.best is not None:
+        save_model(result.best, save_to)
+    return result
+
+
+def train_models(
+    data: TrainingData, label: str = LABEL, models: Sequence[str] = (LOGISTIC, BAYES), max_iter: int = 1000
+) -> ClassificationResult:
+    """Train and measure the chosen models on prepared data.
 
     Unknown model names are ignored. A model that fails leaves its error in
     the summary and the others go on.
     """
-    data = prepare_training(df, key, text, label, test_size, seed, stop_words)
     options = {LOGISTIC: {"max_iter": max_iter}, BAYES: {}}
     sizes = (
         sum(data.train_counts.values()), sum(data.test_counts.values()),
-        round((1 - test_size) * 100, 2), round(test_size * 100, 2),
+        round((1 - data.test_size) * 100, 2), round(data.test_size * 100, 2),
     )
     fitted: dict[str, FittedModel] = {}
     rows: list[tuple] = []
@@ -160,10 +171,7 @@ def run_classification(
         fitted[name] = replace(model, accuracy=accuracy)
         rows.append((name, accuracy, *sizes, round(time.perf_counter() - start, 2), None, order))
         pairs += [(name, r.actual, r.predicted, r.n) for r in counted]
-    result = ClassificationResult(df.sparkSession, data, fitted, rows, pairs)
-    if save_to and result.best is not None:
-        save_model(result.best, save_to)
-    return result
+    return ClassificationResult(data.vectors.sparkSession, data, fitted, rows, pairs)
 
 
 def compare_models(summary: DataFrame) -> DataFrame:
