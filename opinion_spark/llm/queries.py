@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontamination, html_text, jaccard, packing, pii, quality, sharding
+from opinion_spark.llm import decontamination, html_text, jaccard, language_model, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+QUERIES = {"op1_packing": op1_packing, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
