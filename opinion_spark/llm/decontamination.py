@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opinion_spark.functions.columns import quoted
+from opinion_spark.functions.columns import named
 from opinion_spark.llm.batches import map_blocks
 from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words, text_blocks
 from opinion_spark.session import stage
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_ch
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=arrow)
 
-    source = docs.select(F.col(quoted(key)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("text"))
+    source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
     return stage(source.mapInArrow(index, INDEX_SCHEMA), "positional-index")
 
 
@@ -87,7 +87,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, text: str = "text", key
                 terms.append(own[k:k + size].tobytes())
         return {"item_id": ids, "terms": terms}
 
-    source = items.select(F.col(quoted(key)).cast("bigint").alias("item_id"), F.col(quoted(text)).alias("text"))
+    source = items.select(named(key).cast("bigint").alias("item_id"), named(text).alias("text"))
     return map_blocks(source, run, "item_id bigint, terms binary")
 
 
@@ -281,4 +281,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns. Rows of one key, or without, are judged together."""
     bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(quoted(key)).cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, named(key).cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")

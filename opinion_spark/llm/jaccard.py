@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.columns import named, quoted
+from opinion_spark.functions.columns import named
 from opinion_spark.llm.batches import map_blocks
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
@@ -66,7 +66,7 @@ def shingle_sketch(docs: DataFrame, n: int = SHINGLE_WORDS, text: str = "text")
             total += np.frombuffer(raw, dtype="<u4")
         return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [total.tobytes()]})
 
-    counted = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(count, "part int, counts binary")
+    counted = docs.select(named(text).alias("text")).mapInArrow(count, "part int, counts binary")
     sketch = np.zeros((_PARTS, width), dtype=np.int64)
     for row in counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
         sketch[row.part] = np.frombuffer(row.counts, dtype="<i8")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.columns import quoted
+from opinion_spark.functions.columns import named
 from opinion_spark.session import stage
 
 #: Rows that a slice has on average, and the most slices an order is cut into (beyond them slices grow, and are sorted on disk).
@@ -34,18 +34,18 @@ def stratified_order(rows: DataFrame, stratum: str, tie: list[str], n_rows: int,
     interchangeable. A null stratum is a stratum of its own.
     """
     slices = max(1, min(MAX_SLICES, -(-n_rows // slice_rows)))
-    h = F.xxhash64(F.lit(seed), *(F.col(quoted(c)) for c in tie))
+    h = F.xxhash64(F.lit(seed), *(named(c) for c in tie))
     drawn = rows.withColumn("_h", h).withColumn("_s", F.floor(_unit(F.col("_h")) * slices))
     # Rows before a slice within its stratum, and all rows of the stratum.
-    counts = drawn.groupBy(F.col(quoted(stratum)).alias("_st"), F.col("_s").alias("_cs")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = drawn.groupBy(named(stratum).alias("_st"), F.col("_s").alias("_cs")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(
         "_st", "_cs",
         (F.sum("_n").over(Window.partitionBy("_st").orderBy("_cs").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
         F.sum("_n").over(Window.partitionBy("_st")).alias("_all"),
     )
-    within = Window.partitionBy(F.col(quoted(stratum)), "_s").orderBy("_h", *(F.col(quoted(c)) for c in tie))
+    within = Window.partitionBy(named(stratum), "_s").orderBy("_h", *(named(c) for c in tie))
     ranked = drawn.withColumn("_r", F.row_number().over(within)).join(
-        counts, F.col(quoted(stratum)).eqNullSafe(F.col("_st")) & (F.col("_s") == F.col("_cs"))
+        counts, named(stratum).eqNullSafe(F.col("_st")) & (F.col("_s") == F.col("_cs"))
     )
     fraction = (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_r") - 0.5) / F.col("_all")
     return _number(ranked.withColumn("_f", fraction).drop("_st", "_cs", "_before", "_all", "_r", "_s"), slices, [stratum, *tie])
@@ -57,7 +57,7 @@ def _number(rows: DataFrame, slices: int, tie: list[str]) -> DataFrame:
     counts = cut.groupBy(F.col("_s").alias("_cs")).agg(F.count(F.lit(1)).alias("_n"))
     # At most MAX_SLICES rows.
     before = counts.select("_cs", F.coalesce(F.sum("_n").over(Window.orderBy("_cs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_s").orderBy("_f", "_h", *(F.col(quoted(c)) for c in tie))
+    within = Window.partitionBy("_s").orderBy("_f", "_h", *(named(c) for c in tie))
     return (
         cut.withColumn("_r", F.row_number().over(within)).join(before, F.col("_s") == F.col("_cs"))
         .withColumn("place", F.col("_before") + F.col("_r") - 1).drop("_s", "_cs", "_before", "_r", "_f", "_h")
@@ -72,9 +72,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     1. Null texts count as empty, null sources as one source; rows with a null
     or a repeated key are placed like all others. Equal rows may swap places.
     """
-    content = F.coalesce(F.col(quoted(text)), F.lit(""))
+    content = F.coalesce(named(text), F.lit(""))
     slim = stage(docs.select(
-        F.col(quoted(key)).cast("bigint").alias("doc_id"), F.col(quoted(source)).cast("string").alias("source"),
+        named(key).cast("bigint").alias("doc_id"), named(source).cast("string").alias("source"),
         (F.octet_length(content) + F.lit(1)).cast("bigint").alias("size"), F.crc32(F.encode(content, "UTF-8")).alias("text_crc32"),
     ), "shard-rows")
     n_rows = slim.count()
