@@ -5,7 +5,8 @@ documents go), near duplicates (one document of each group stays), benchmark
 decontamination (documents with a benchmark passage go), personal data (masked),
 packing (sequences of token pieces). A stage's result is written as Parquet in
 the shared folder and read again by the next, so that a lost executor costs no
-more than its own tasks.
+more than its own tasks. All stages but the last return the columns of
+documents, with further columns if the table has them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import pii, quality
+from opinion_spark.llm import decontamination, jaccard, packing, pii, quality
+from opinion_spark.llm.queries import tokenizer_path
 from opinion_spark.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,14 +27,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near copies; documents without an id all stay."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
     return pii.mask_pii(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, each with its sequence and offset."""
+    return packing.pack_documents(docs, tokenizer_path)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("personal data", pii_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 # SQL can express neither the tokenizer nor the order in which documents are packed.
