@@ -323,7 +323,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     found = connected_components(links)
     resolved = classes.join(found, F.col("first") == F.col("node"), "left").select("digest", "n_shingles", F.coalesce("component", "first").alias("component"))
     return sets.select("doc_id", "n_shingles", "digest").join(resolved, ["digest", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("component", "doc_id")).alias("component_id"),
     )
 
 

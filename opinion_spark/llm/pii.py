@@ -130,7 +130,7 @@ CONFIRMED, NEARBY, CONTEXT_CHARS, THRESHOLD = 0.5, 0.35, 60, 0.6
 
 DEFAULT_RECOGNIZERS = (
     Recognizer("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])", 0.3, ("iban", "account", "bank", "konto", "compte", "cuenta"), _iban),
-    Recognizer("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, ("ssn", "social security", "social", "security number", "tax id"), _ssn),
+    Recognizer("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.05, ("ssn", "social security", "social", "security number", "tax id"), _ssn),
     Recognizer("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", 0.7, ("key", "aws", "access"), hint="ia"),
     Recognizer("secret", r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+.-]{8,128})", 0.7, group=1),
     Recognizer("national_phone", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])", 0.3, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),

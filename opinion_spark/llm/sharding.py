@@ -11,7 +11,7 @@ from counts of slices, and rows are numbered inside a slice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
@@ -22,11 +22,6 @@ SLICE_ROWS = 500
 MAX_SLICES = 1 << 16
 
 
-def _unit(h: Column) -> Column:
-    """A signed 64-bit hash as a fraction from 0 to 1, by its highest 53 bits."""
-    return (F.shiftrightunsigned(h, 11)).cast("double") / F.lit(float(1 << 53))
-
-
 def stratified_order(rows: DataFrame, stratum: str, tie: list[str], n_rows: int, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``rows`` with ``place``: 0 to n - 1 in the interleaved order.
 
@@ -34,8 +29,9 @@ def stratified_order(rows: DataFrame, stratum: str, tie: list[str], n_rows: int,
     interchangeable. A null stratum is a stratum of its own.
     """
     slices = max(1, min(MAX_SLICES, -(-n_rows // slice_rows)))
-    h = F.xxhash64(F.lit(seed), *(named(c) for c in tie))
-    drawn = rows.withColumn("_h", h).withColumn("_s", F.floor(_unit(F.col("_h")) * slices))
+    # 53 bits: exact as a double.
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(named(c) for c in tie)), 11)
+    drawn = rows.withColumn("_h", h).withColumn("_s", F.floor(F.col("_h").cast("double") / float(1 << 53) * slices))
     # Rows before a slice within its stratum, and all rows of the stratum.
     counts = drawn.groupBy(named(stratum).alias("_st"), F.col("_s").alias("_cs")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(
