@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontamination, html_text, jaccard, language_model, packing, pii, quality, sharding
+from opinion_spark.llm import decontamination, html_text, jaccard, language_model, line_dedup, packing, pii, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
+def piece_path() -> str:
+    """The vocabulary of the counting query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_path)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_token_counts": op3_token_counts, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
