@@ -7,11 +7,10 @@ over whole tables; nothing here is used by the library.
 from __future__ import annotations
 
 from opinion_spark.catalog.queries import RAW_LABELS
-from opinion_spark.constants import CLASS_NAMES, CLASSES
-from opinion_spark.functions.stop_words import CLOUD, ENGLISH
+from opinion_spark.constants import CLASS_NAMES, CLASSES, MODEL_NAMES
+from opinion_spark.functions.stop_words import CLOUD, FEATURE
 from opinion_spark.functions.text import ALL_DIGITS, CLOUD_TOKEN, FEATURE_TOKEN
 from opinion_spark.operators.lexicon import ABUSE
-from opinion_spark.operators.scoring import MODEL_CATALOGUE
 from opinion_spark.sources.reviews import NULL_TOKENS
 
 
@@ -56,7 +55,7 @@ def split_of(ratio: float) -> str:
 
 SPLIT = split_of(0.2)
 
-TOKENS = f"list_filter(regexp_extract_all(lower(review_text), '{FEATURE_TOKEN}'), lambda w: w NOT IN ({listing(ENGLISH)}))"
+TOKENS = f"list_filter(regexp_extract_all(lower(review_text), '{FEATURE_TOKEN}'), lambda w: w NOT IN ({listing(FEATURE)}))"
 
 FEATURES = SPLIT + f"""
 , tokens AS (SELECT doc_id, label, is_test, {TOKENS} AS tokens FROM split)
@@ -148,8 +147,8 @@ SAMPLE = """
   FROM ranked WHERE place <= (SELECT quota FROM wanted))
 """
 
-EVALUATION = REVIEWS + SAMPLE + lexicon("sample", 2000)
-SCORED_TEXTS = REVIEWS + lexicon("unlabelled", 2000) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored"
+EVALUATION = REVIEWS + SAMPLE + lexicon("sample", None)
+SCORED_TEXTS = REVIEWS + lexicon("unlabelled", None) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored"
 
 
 def report(prefix: str, source: str, label: str, prediction: str, extra: str = "") -> str:
@@ -191,37 +190,39 @@ FROM cells_ c LEFT JOIN {source} s ON s.{label} = c.actual AND s.{prediction} =
 
 def fold(out: str, source: str) -> str:
     return f"""
-, {out}_s AS (SELECT spelling, n, lower(spelling) AS word, right(lower(spelling), 1) = 's' AND right(lower(spelling), 2) <> 'ss' AS plural FROM {source})
-, {out}_m AS (SELECT *, plural AND left(word, length(word) - 1) IN (SELECT word FROM {out}_s) AS merged FROM {out}_s)
+, {out}_s AS MATERIALIZED (SELECT spelling, n, lower(spelling) AS word, right(lower(spelling), 1) = 's' AND right(lower(spelling), 2) <> 'ss' AS plural FROM {source})
+, {out}_w AS MATERIALIZED (SELECT DISTINCT word FROM {out}_s)
+, {out}_m AS MATERIALIZED (
+  SELECT s.*, plural AND w.word IS NOT NULL AS merged FROM {out}_s s LEFT JOIN {out}_w w ON w.word = left(s.word, length(s.word) - 1))
 , {out}_f AS (
   SELECT CASE WHEN merged THEN left(word, length(word) - 1) ELSE word END AS word,
          CASE WHEN merged THEN left(spelling, length(spelling) - 1) ELSE spelling END AS form, sum(n) AS n
   FROM {out}_m GROUP BY ALL)
-, {out} AS (SELECT word, first(form ORDER BY n DESC, form) AS term, CAST(sum(n) AS BIGINT) AS n FROM {out}_f GROUP BY word)
+, {out} AS MATERIALIZED (SELECT word, first(form ORDER BY n DESC, form) AS term, CAST(sum(n) AS BIGINT) AS n FROM {out}_f GROUP BY word)
 """
 
 
 def cloud(source: str) -> str:
     token, digits = CLOUD_TOKEN.replace("'", "''"), ALL_DIGITS
     return REVIEWS + f"""
-, spelled AS (
+, spelled AS MATERIALIZED (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(review_text, '{token}'),
            lambda w: CASE WHEN lower(right(w, 2)) = '''s' THEN left(w, length(w) - 2) ELSE w END),
            lambda w: NOT regexp_matches(w, '{digits}')) AS words
   FROM {source})
-, flat AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM spelled)
+, flat AS MATERIALIZED (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM spelled)
 , stops(w) AS (SELECT unnest([{listing(CLOUD)}]))
 , next_to AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM flat)
-, single_counts AS (SELECT w AS spelling, count(*) AS n FROM flat WHERE lower(w) NOT IN (SELECT w FROM stops) GROUP BY w)
-, pair_counts AS (
-  SELECT w || ' ' || v AS spelling, count(*) AS n FROM next_to
-  WHERE v IS NOT NULL AND lower(w) NOT IN (SELECT w FROM stops) AND lower(v) NOT IN (SELECT w FROM stops) GROUP BY 1)
+, single_counts AS MATERIALIZED (SELECT f.w AS spelling, count(*) AS n FROM flat f LEFT JOIN stops s ON lower(f.w) = s.w WHERE s.w IS NULL GROUP BY f.w)
+, pair_counts AS MATERIALIZED (
+  SELECT n.w || ' ' || n.v AS spelling, count(*) AS n FROM next_to n LEFT JOIN stops a ON lower(n.w) = a.w LEFT JOIN stops b ON lower(n.v) = b.w
+  WHERE n.v IS NOT NULL AND a.w IS NULL AND b.w IS NULL GROUP BY 1)
 , total AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM single_counts)
 """ + fold("single", "single_counts") + fold("pair", "pair_counts") + """
-, standard AS (
+, standard AS MATERIALIZED (
   SELECT DISTINCT m.word, s.term, s.n FROM single_m m
   JOIN single s ON s.word = CASE WHEN m.merged THEN left(m.word, length(m.word) - 1) ELSE m.word END)
-, matched AS (
+, matched AS MATERIALIZED (
   SELECT p.term AS pair, a.term AS word1, b.term AS word2, p.n, a.n AS c1, b.n AS c2, (SELECT n FROM total) AS total
   FROM pair p JOIN standard a ON a.word = split_part(p.word, ' ', 1) JOIN standard b ON b.word = split_part(p.word, ' ', 2))
 , shares AS (
@@ -263,6 +264,14 @@ def nullable(column: str) -> str:
     return f"CASE WHEN {column} IN ({listing(NULL_TOKENS)}) THEN NULL ELSE {column} END AS {column}"
 
 
+# Naive Bayes and the word-list rule, the latter twice, on the same test rows.
+CANDIDATES = BAYES + lexicon("(SELECT * FROM split WHERE is_test)", None).replace(", labelled AS", ", listed_ AS").replace("FROM labelled", "FROM listed_").replace(", scored AS", ", judged_list AS") + """
+, candidates AS (
+  SELECT 'Naive Bayes' AS model, avg((label = prediction)::INTEGER) AS accuracy, 0 AS model_order FROM predicted
+  UNION ALL SELECT n.name, avg((label = hf_mapped)::INTEGER), n.place FROM judged_list, (VALUES ('Word list', 1), ('Word list again', 2)) n(name, place)
+  GROUP BY n.name, n.place)
+"""
+
 ORACLE: dict[str, str] = {
     "csv_roundtrip": REVIEWS + f"""
 SELECT doc_id, {nullable('review_text')}, {nullable('review_title')}, numeric_rating, label, {nullable('country')} FROM reviews""",
@@ -295,11 +304,14 @@ SELECT event_id, raw, CAST(CASE
   ELSE 0 END AS INTEGER) AS mapped
 FROM marks""",
     "model_short_name": f"""
-WITH named AS (SELECT ([{listing(MODEL_CATALOGUE)}])[doc_id % {len(MODEL_CATALOGUE)} + 1] AS model FROM documents)
+WITH named AS (SELECT ([{listing(MODEL_NAMES)}])[doc_id % {len(MODEL_NAMES)} + 1] AS model FROM documents)
 SELECT model, split_part(model, '/', -1) AS short, left(split_part(model, '/', -1), 25) AS short_25, count(*) AS n FROM named GROUP BY model""",
     "label_names": REVIEWS + f"SELECT label, {name_of('label')} AS sentiment, count(*) AS n FROM reviews GROUP BY label",
     "text_previews": "SELECT doc_id, left(text, 200) || '...' AS preview FROM documents",
     "round_half_even": "SELECT l_linenumber, round(sum(round_even(l_quantity / 8, 2)), 2) AS total FROM lineitem GROUP BY l_linenumber",
+    "display_ties": """
+WITH v AS (SELECT DISTINCT (l_orderkey % 20000 + l_linenumber * 3125) / 20000.0::DOUBLE AS x FROM lineitem)
+SELECT x, format('{:.4f}', x) AS x_4, format('{:.3f}', x) AS x_3, format('{:.2f}%', 100 * x) AS x_percent, format('{:.2f}', -x / 3) AS third FROM v""",
     "review_count": "SELECT count(*) AS n_reviews FROM documents",
     "sentiment_counts": REVIEWS + """
 SELECT count(*) AS total, CAST(count_if(label = 1) AS BIGINT) AS positive, CAST(count_if(label = 0) AS BIGINT) AS neutral,
@@ -354,12 +366,29 @@ FROM rated GROUP BY label""",
     "best_nb_model": BAYES + """
 SELECT 'Naive Bayes' AS model, round(avg((label = prediction)::INTEGER), 6) AS accuracy,
        format('{:.4f}', avg((label = prediction)::INTEGER)) AS accuracy_text FROM predicted""",
+    "lr_optimality": FEATURES + """
+SELECT label, 1.0::DOUBLE AS mass_ratio, count(*) AS n_train, (SELECT CAST(count(*) AS INTEGER) FROM vocabulary) AS n_terms, true AS sums_to_zero
+FROM split WHERE NOT is_test GROUP BY label""",
+    "model_summary": SPLIT + """
+, two(model, model_order) AS (VALUES ('Logistic Regression', 0), ('Naive Bayes', 1))
+SELECT model, count(*) FILTER (NOT is_test) AS train_size, count(*) FILTER (is_test) AS test_size, 80.0::DOUBLE AS train_percent,
+       20.0::DOUBLE AS test_percent, true AS has_accuracy, true AS is_timed, NULL AS error, model_order
+FROM split, two GROUP BY model, model_order""",
+    "model_comparison": CANDIDATES + """
+SELECT model, round(accuracy, 6) AS accuracy, format('{:.3f}', accuracy) AS accuracy_text, model_order FROM candidates""",
+    "best_model": CANDIDATES + """
+, ranked_ AS (
+  SELECT 'all' AS among, *, row_number() OVER (ORDER BY accuracy DESC, model_order) AS place FROM candidates
+  UNION ALL SELECT 'equals', *, row_number() OVER (ORDER BY accuracy DESC, model_order) FROM candidates WHERE model_order > 0)
+SELECT among, model, round(accuracy, 6) AS accuracy, format('{:.4f}', accuracy) AS accuracy_text FROM ranked_ WHERE place = 1""",
     "model_roundtrip": BAYES_ON_ALL,
     "score_batch": SCORED_TEXTS,
     "score_whole_text": REVIEWS + lexicon("unlabelled", None) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored",
+    "score_cut_text": REVIEWS + lexicon("unlabelled", 2000) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored",
     "score_stream": SCORED_TEXTS,
     "eval_merged": EVALUATION + "SELECT eval_id, review_text, label, hf_label, hf_score, hf_mapped FROM scored",
-    "eval_snapshot": EVALUATION + "SELECT eval_id, label, hf_mapped, model FROM scored",
+    "eval_snapshot": EVALUATION + """
+SELECT eval_id, label, hf_mapped, model, (SELECT size FROM wanted) AS sample_size, 'review_text' AS text_column FROM scored""",
     "eval_metrics": report(EVALUATION, "scored", "label", "hf_mapped"),
     "prediction_distribution": EVALUATION + f"""
 , shown(prediction) AS (VALUES (-1), (0), (1))
@@ -369,7 +398,7 @@ FROM shown LEFT JOIN scored ON hf_mapped = prediction GROUP BY prediction""",
     "error_examples": EVALUATION + f"""
 SELECT eval_id, left(review_text, 200) || '...' AS preview, {name_of('label')} AS actual_name, {name_of('hf_mapped')} AS predicted_name
 FROM scored WHERE label <> hf_mapped ORDER BY eval_id LIMIT 10""",
-    "formatted_summary": report(REVIEWS + lexicon("rated", 2000), "scored", "label", "hf_mapped").replace(
+    "formatted_summary": report(REVIEWS + lexicon("rated", None), "scored", "label", "hf_mapped").replace(
         "SELECT class, round", """, numbers AS (
   SELECT (SELECT avg((y = p)::INTEGER) FROM judged) AS accuracy,
          max(f1_score) FILTER (class = 'macro avg') AS macro_f1, max(precision) FILTER (class = 'macro avg') AS macro_precision FROM every)
@@ -379,12 +408,16 @@ SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(mac
        format('{:.2f}%', 100 * accuracy) AS accuracy_percent, format('{:.2f}%', 100 * macro_f1) AS macro_f1_percent,
        format('{:.1f}%', 100 * macro_precision) AS macro_precision_percent
 FROM numbers""",
-    "alignment_check": REVIEWS + lexicon("rated", 2000) + """
+    "formatted_report": report(REVIEWS + lexicon("rated", None), "scored", "label", "hf_mapped").replace("SELECT class, round(precision, 6) AS precision", """, old AS (
+SELECT class, precision AS p0, recall AS r0, f1_score AS f0, round(precision, 6) AS precision""") + """)
+SELECT class, format('{:.3f}', p0) AS precision, format('{:.3f}', r0) AS recall, format('{:.3f}', f0) AS f1_score,
+       format('{:.3f}', support::DOUBLE) AS support, format('{:,}', support) AS rows FROM old""",
+    "alignment_check": REVIEWS + lexicon("rated", None) + """
 SELECT (SELECT count(*) FROM rated) AS n_rows, count(hf_label) AS n_predictions, count(hf_mapped) AS n_merged,
        count(hf_label) = (SELECT count(*) FROM rated) AND count(hf_mapped) = count(hf_label) AS aligned FROM scored""",
-    "accuracy": REVIEWS + lexicon("rated", 2000) + """
+    "accuracy": REVIEWS + lexicon("rated", None) + """
 SELECT round(avg((label = hf_mapped)::INTEGER), 6) AS accuracy, count(*) AS n FROM scored""",
-    "classification_report": report(REVIEWS + lexicon("rated", 2000), "scored", "label", "hf_mapped"),
+    "classification_report": report(REVIEWS + lexicon("rated", None), "scored", "label", "hf_mapped"),
     "star_report": report(REVIEWS, "(SELECT CAST(numeric_rating - 3 AS INTEGER) AS stars, label FROM rated)", "stars", "label"),
-    "confusion_matrix": matrix(REVIEWS + lexicon("rated", 2000), "scored", "label", "hf_mapped"),
+    "confusion_matrix": matrix(REVIEWS + lexicon("rated", None), "scored", "label", "hf_mapped"),
 }

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinion_spark.catalog.reviews import COUNTRY, KEY, LABEL, RATING, TEXT, TITLE, rated, reviews, table, texts, unlabelled
-from opinion_spark.functions.display import preview_text, round_even, short_name
+from opinion_spark.constants import MODEL_NAMES
+from opinion_spark.functions.display import fixed, percent, preview_text, round_even, short_name
+from opinion_spark.functions.columns import lookup
 from opinion_spark.functions.labels import label_name, normalize_label, rating_to_label
-from opinion_spark.functions.text import cut_text
+from opinion_spark.functions.text import MAX_CHARS, cut_text
 from opinion_spark.operators import classifiers, metrics, sampling, scoring, statistics, tfidf, words
 from opinion_spark.operators.lexicon import lexicon_scorer
 from opinion_spark.plans import classification, evaluation
@@ -18,7 +19,7 @@ from opinion_spark.session import scratch_path
 from opinion_spark.sources.bundle import load_model, save_model
 from opinion_spark.sources.reviews import read_reviews, write_reviews
 from opinion_spark.sources.roles import resolve_roles
-from opinion_spark.sources.snapshot import freeze, thaw
+from opinion_spark.sources.snapshot import freeze, frozen_settings, thaw
 from opinion_spark.streaming.scores import read_text_stream, score_stream, write_scores
 
 SCORER = "lexicon"
@@ -93,7 +94,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_short_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = F.get(F.array(*map(F.lit, scoring.MODEL_CATALOGUE)), (F.col(KEY) % len(scoring.MODEL_CATALOGUE)).cast("int"))
+    model = F.get(F.array(*map(F.lit, MODEL_NAMES)), (F.col(KEY) % len(MODEL_NAMES)).cast("int"))
     return texts(spark, sf_dir).groupBy(model.alias("model")).agg(F.count(F.lit(1)).alias("n")).select(
         "model", short_name(F.col("model")).alias("short"), short_name(F.col("model"), 25).alias("short_25"), "n"
     )
@@ -113,6 +114,15 @@ def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("l_linenumber", F.round("total", 2).alias("total"))
 
 
+def display_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with many decimal ties, as they are shown."""
+    x = (F.col("l_orderkey") % 20_000 + F.col("l_linenumber") * 3125) / F.lit(20_000.0)
+    return table(spark, sf_dir, "lineitem").select(x.alias("x")).distinct().select(
+        "x", fixed(F.col("x"), 4).alias("x_4"), fixed(F.col("x"), 3).alias("x_3"), percent(F.col("x"), 2).alias("x_percent"),
+        fixed(-F.col("x") / 3, 2).alias("third"),
+    )
+
+
 # --- statistics --------------------------------------------------------------
 
 def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,20 +150,20 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequent_words(label: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = reviews(spark, sf_dir, heavy=True).filter(F.col(LABEL) == label)
+        df = reviews(spark, sf_dir).filter(F.col(LABEL) == label)
         return words.word_frequencies(df, TEXT).select("term", "n", six("relative"))
 
     return query
 
 
 def word_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.collocations(texts(spark, sf_dir, heavy=True), TEXT).select("pair", "word1", "word2", "n", "c1", "c2", F.round("score", 4).alias("score"))
+    return words.collocations(texts(spark, sf_dir), TEXT).select("pair", "word1", "word2", "n", "c1", "c2", F.round("score", 4).alias("score"))
 
 
 # --- splits and samples ------------------------------------------------------
 
-def split_table(spark: SparkSession, sf_dir: str, test_size: float = 0.2, heavy: bool = False) -> DataFrame:
-    return sampling.stratified_split(rated(spark, sf_dir, heavy), KEY, LABEL, test_size)
+def split_table(spark: SparkSession, sf_dir: str, test_size: float = 0.2) -> DataFrame:
+    return sampling.stratified_split(rated(spark, sf_dir), KEY, LABEL, test_size)
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,19 +192,19 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features ------------------------------------------------------------------
 
 def tfidf_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.tokenize(texts(spark, sf_dir, heavy=True), TEXT).select(
+    return tfidf.tokenize(texts(spark, sf_dir), TEXT).select(
         KEY, F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")
     )
 
 
 def tfidf_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.tokenize(texts(spark, sf_dir, heavy=True), TEXT).select(
+    return tfidf.tokenize(texts(spark, sf_dir), TEXT).select(
         KEY, F.size("terms").cast("bigint").alias("n_terms"), F.array_join("terms", "|").alias("terms")
     )
 
 
 def _fitted_tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tfidf.Tfidf]:
-    split = split_table(spark, sf_dir, heavy=True)
+    split = split_table(spark, sf_dir)
     return split, tfidf.fit_tfidf(split.filter(~F.col("is_test")), TEXT)
 
 
@@ -217,21 +227,11 @@ def tfidf_weights(test: bool):
 
 # --- classifiers -----------------------------------------------------------------
 
-# One preparation serves both classifiers, and one training run all views of
-# it, as long as their session lives.
-
-@lru_cache(maxsize=4)
-def _prepared(app_id: str, spark: SparkSession, sf_dir: str) -> classification.TrainingData:
-    return classification.prepare_training(rated(spark, sf_dir, heavy=True), KEY, TEXT, LABEL)
-
-
-@lru_cache(maxsize=8)
-def _run(app_id: str, spark: SparkSession, sf_dir: str, models: tuple) -> classification.ClassificationResult:
-    return classification.train_models(_prepared(app_id, spark, sf_dir), LABEL, models)
-
+# Each query prepares and trains for itself, so that its time is its own.
 
 def trained(spark: SparkSession, sf_dir: str, *models: str) -> classification.ClassificationResult:
-    return _run(spark.sparkContext.applicationId, spark, sf_dir, models or tuple(classification.TRAINERS))
+    data = classification.prepare_training(rated(spark, sf_dir), KEY, TEXT, LABEL)
+    return classification.train_models(data, LABEL, models or tuple(classification.TRAINERS))
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,16 +269,57 @@ def lr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.models[classifiers.LOGISTIC].predict_vectors(run.data.test).select(KEY, LABEL, "prediction")
 
 
+def lr_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds at the optimum of the weighted logistic loss: each class has as
+    much weighted predicted probability as weight, and a term's coefficients add
+    up to 0 over the classes."""
+    run = trained(spark, sf_dir, classifiers.LOGISTIC)
+    model = run.models[classifiers.LOGISTIC]
+    fitted = model.classifier.stages[0]
+    weights = classifiers.balanced_weights(run.data.train_counts)
+    weight = lookup(F.col(LABEL), weights)
+    shares = vector_to_array("probability")
+    masses = fitted.transform(run.data.train).agg(*(F.sum(weight * shares[i]).alias(f"m{i}") for i in range(len(model.classes))))
+    total = float(sum(run.data.train_counts.values()))
+    coefficients = fitted.coefficientMatrix.toArray()
+    # As near to 0 as the solver's tolerance brings them.
+    balanced = float(abs(coefficients.sum(axis=0)).max()) <= 0.02 * float(abs(coefficients).max())
+    rows = [
+        F.struct(F.lit(c).alias(LABEL), F.round(F.col(f"m{i}") * len(model.classes) / total, 2).alias("mass_ratio"), F.lit(run.data.train_counts[c]).cast("bigint").alias("n_train"))
+        for i, c in enumerate(model.classes)
+    ]
+    return masses.select(F.inline(F.array(*rows))).withColumn("n_terms", F.lit(fitted.numFeatures)).withColumn("sums_to_zero", F.lit(balanced))
+
+
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trained(spark, sf_dir).summary
+    """The summary of both classifiers; clock times and the iterative model's accuracy as checks only."""
+    summary = trained(spark, sf_dir).summary
+    return summary.select(
+        "model", "train_size", "test_size", "train_percent", "test_percent", F.col("accuracy").between(0, 1).alias("has_accuracy"),
+        (F.col("training_time") >= 0).alias("is_timed"), "error", "model_order",
+    )
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of three candidates on the same test rows: naive Bayes, the word-list scorer, and its twin under another name."""
+    split = split_table(spark, sf_dir)
+    scored = scoring.score(split.filter("is_test"), TEXT, SCORER, drop_blank=False)
+    listed = metrics.accuracy(scored, LABEL, "hf_mapped").select("accuracy", F.lit(None).cast("string").alias("error"))
+    bayes = trained(spark, sf_dir, classifiers.BAYES).summary.select("model", "accuracy", "error", F.lit(0).alias("model_order"))
+    return bayes.unionByName(listed.select(F.lit("Word list").alias("model"), "accuracy", "error", F.lit(1).alias("model_order"))).unionByName(
+        listed.select(F.lit("Word list again").alias("model"), "accuracy", "error", F.lit(2).alias("model_order"))
+    )
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classification.compare_models(trained(spark, sf_dir).summary)
+    return classification.compare_models(_candidates(spark, sf_dir)).select("model", six("accuracy"), "accuracy_text", "model_order")
 
 
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classification.best_model(trained(spark, sf_dir).summary)
+    """The best of three candidates, two of them equal, and the better of the equal ones."""
+    candidates = _candidates(spark, sf_dir)
+    tied = classification.best_model(candidates.filter("model_order > 0")).withColumn("among", F.lit("equals"))
+    return classification.best_model(candidates).withColumn("among", F.lit("all")).unionByName(tied).select("among", "model", six("accuracy"), "accuracy_text")
 
 
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,21 +327,26 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = trained(spark, sf_dir, classifiers.BAYES)
     path = scratch_path(spark, "sentiment-model")
     save_model(run.best, path)
-    return load_model(spark, path).predict(texts(spark, sf_dir, heavy=True)).select(KEY, "prediction")
+    return load_model(spark, path).predict(texts(spark, sf_dir)).select(KEY, "prediction")
 
 
 # --- scoring and evaluation ---------------------------------------------------------
 
 def _scored_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(rated(spark, sf_dir, heavy=True), TEXT, SCORER)
+    return scoring.score(rated(spark, sf_dir), TEXT, SCORER)
 
 
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(texts(spark, sf_dir, heavy=True), TEXT, SCORER).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
+    return scoring.score(texts(spark, sf_dir), TEXT, SCORER).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
 
 
 def score_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(texts(spark, sf_dir, heavy=True), TEXT, SCORER, max_chars=None).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
+    return scoring.score(texts(spark, sf_dir), TEXT, SCORER, max_chars=None).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
+
+
+def score_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the beginnings of texts, for models with a limit."""
+    return scoring.score(texts(spark, sf_dir), TEXT, SCORER, max_chars=MAX_CHARS).select(KEY, "hf_label", six("hf_score"), "hf_mapped", "model")
 
 
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,10 +368,16 @@ def eval_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir)[0].select("eval_id", TEXT, LABEL, "hf_label", six("hf_score"), "hf_mapped")
 
 
-def eval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "evaluation")
-    freeze(_sampled(spark, sf_dir)[0], path)
-    return thaw(spark, path, SCORER).select("eval_id", LABEL, "hf_mapped", "model")
+    sample, size = _sampled(spark, sf_dir)
+    freeze(sample, path, size, TEXT)
+    return thaw(spark, path, SCORER)
+
+
+def eval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frozen = _frozen(spark, sf_dir)
+    return frozen.select("eval_id", LABEL, "hf_mapped", "model", "sample_size", "text_column")
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,8 +387,8 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample, size = _sampled(spark, sf_dir)
-    return statistics.prediction_distribution(sample, "hf_mapped", size=size).select("prediction", "sentiment", "n", six("share"))
+    frozen = _frozen(spark, sf_dir)
+    return statistics.prediction_distribution(frozen, "hf_mapped", size=frozen_settings(frozen)[0]).select("prediction", "sentiment", "n", six("share"))
 
 
 def error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,6 +400,10 @@ def formatted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select(six("accuracy"), six("macro_f1"), six("macro_precision"), *(c for c in shown.columns if c[-1] in "34t"))
 
 
+def formatted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.format_report(metrics.classification_report(_scored_rated(spark, sf_dir), LABEL, "hf_mapped"))
+
+
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored_rated(spark, sf_dir)
     return statistics.alignment({
@@ -387,6 +443,7 @@ QUERIES = {
     "label_names": label_names,
     "text_previews": text_previews,
     "round_half_even": half_even,
+    "display_ties": display_ties,
     "review_count": lambda spark, sf_dir: statistics.review_count(texts(spark, sf_dir)),
     "sentiment_counts": lambda spark, sf_dir: statistics.sentiment_counts(reviews(spark, sf_dir)),
     "label_distribution": lambda spark, sf_dir: statistics.distribution(reviews(spark, sf_dir), LABEL),
@@ -418,12 +475,14 @@ QUERIES = {
     "nb_confusion": nb_confusion,
     "best_nb_model": best_nb_model,
     "lr_predictions": lr_predictions,
+    "lr_optimality": lr_optimality,
     "model_summary": model_summary,
     "model_comparison": model_comparison,
     "best_model": best_model,
     "model_roundtrip": model_roundtrip,
     "score_batch": score_batch,
     "score_whole_text": score_whole_text,
+    "score_cut_text": score_cut_text,
     "score_stream": streamed_scores,
     "eval_merged": eval_merged,
     "eval_snapshot": eval_snapshot,
@@ -431,6 +490,7 @@ QUERIES = {
     "prediction_distribution": prediction_distribution,
     "error_examples": error_examples,
     "formatted_summary": formatted_summary,
+    "formatted_report": formatted_report,
     "alignment_check": alignment_check,
     "accuracy": accuracy,
     "classification_report": classification_report,

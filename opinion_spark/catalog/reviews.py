@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL, RATING
 from opinion_spark.functions.labels import with_label
-from opinion_spark.session import spread
-
 KEY = "doc_id"
 TEXT = "review_text"
 TITLE = "review_title"
@@ -19,21 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
-    """Reviews without a rating: no join where only the text matters.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table, in its own partitions unless the session names a number.
 
-    ``heavy`` work on the text gets a task per core even from a single file.
+    A table in one file of one row group is one task. Who knows that to be so
+    can set ``spark.opinion_spark.textPartitions``; the texts are then dealt out.
     """
-    documents = table(spark, sf_dir, "documents")
-    return (spread(documents) if heavy else documents).select(
+    partitions = spark.conf.get("spark.opinion_spark.textPartitions", None)
+    found = table(spark, sf_dir, "documents")
+    return found.repartition(int(partitions)) if partitions else found
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews without a rating: no join where only the text matters."""
+    return documents(spark, sf_dir).select(
         KEY, F.col("text").alias(TEXT), F.split_part("text", F.lit("\n"), F.lit(1)).alias(TITLE), F.col("lang").alias(COUNTRY)
     )
 
 
-def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False, how: str = "left") -> DataFrame:
+def unlabelled(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
     """Every document as a review; its rating comes from its quality marks, if it has any."""
-    d = table(spark, sf_dir, "documents")
-    d = spread(d) if heavy else d
+    d = documents(spark, sf_dir)
     m = table(spark, sf_dir, "labels").withColumnRenamed(KEY, "marked_id")
     rating = (
         F.when(F.col("marked_id").isNull(), None)
@@ -50,14 +54,14 @@ def unlabelled(spark: SparkSession, sf_dir: str, heavy: bool = False, how: str =
     )
 
 
-def reviews(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reviews with their label; unrated ones count as positive."""
-    return with_label(unlabelled(spark, sf_dir, heavy))
+    return with_label(unlabelled(spark, sf_dir))
 
 
-def rated(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a rating, for training and evaluation."""
-    return with_label(unlabelled(spark, sf_dir, heavy, "inner").filter(F.col(RATING).isNotNull()))
+    return with_label(unlabelled(spark, sf_dir, "inner").filter(F.col(RATING).isNotNull()))
 
 
 __all__ = ["COUNTRY", "KEY", "LABEL", "RATING", "TEXT", "TITLE", "rated", "reviews", "table", "texts", "unlabelled"]

@@ -11,3 +11,10 @@ RATING = "numeric_rating"
 
 # Fixed value: the seed of every draw.
 SEED = 42
+
+# Names of the pre-trained models that may have made scores.
+MODEL_NAMES = (
+    "cmarkea/distilcamembert-base-sentiment",
+    "cardiffnlp/twitter-xlm-roberta-base-sentiment",
+    "nlptown/bert-base-multilingual-uncased-sentiment",
+)

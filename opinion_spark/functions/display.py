@@ -6,14 +6,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _scaled(value: Column, digits: int) -> Column:
+    """``|value| * 10^digits`` as a whole number, half to even, from the double's exact binary value.
+
+    A double is a whole number of at most 53 bits times a power of two. Its
+    decimal digits as printed are rounded already, so that they cannot tell
+    whether a value lies above or below a tie; whole-number arithmetic can.
+    """
+    size = F.abs(value)
+    power = F.floor(F.log2(size)).cast("int")
+    power = power - F.when(F.pow(F.lit(2.0), power) > size, 1).otherwise(0)
+    shift = F.lit(52) - power
+    bits = (size * F.pow(F.lit(2.0), shift)).cast("bigint").cast("decimal(19,0)")
+    tens = F.lit(10**digits).cast("decimal(7,0)")
+    # 2^shift as a decimal: under 2^-44 of a unit everything rounds to 0.
+    small = F.least(shift, F.lit(96))
+    half = F.least(small, F.lit(48))
+    unit = _power_of_two(half) * _power_of_two(small - half)
+    scaled = (bits * tens).cast("decimal(38,0)")
+    whole = F.call_function("div", scaled, unit.cast("decimal(38,0)"))
+    rest = scaled - whole.cast("decimal(19,0)") * unit
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    return F.when(size == 0, F.lit(0).cast("bigint")).when(shift > 96, F.lit(0).cast("bigint")).otherwise(whole + up.cast("bigint"))
+
+
+def _power_of_two(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n).cast("decimal(19,0)")
+
+
 def round_even(value: Column, digits: int) -> Column:
-    """Round half to even."""
-    return F.bround(value, digits)
+    """Round the exact value half to even; for sizes under 2^52 / 10^digits."""
+    number = value.cast("double")
+    return F.signum(number) * _scaled(number, digits) / F.lit(float(10**digits))
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """A number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """A number with a fixed count of decimals, its exact value rounded half to even."""
+    number = value.cast("double")
+    scaled, tens = _scaled(number, digits), 10**digits
+    sign = F.when(number < 0, "-").otherwise("")
+    whole = F.call_function("div", scaled, F.lit(tens).cast("bigint"))
+    rest = F.lpad((scaled % tens).cast("string"), digits, "0") if digits else None
+    return F.concat(sign, whole.cast("string"), *((F.lit("."), rest) if digits else ()))
+
+
+def thousands(count: Column) -> Column:
+    """A whole number with commas, 12345 -> 12,345."""
+    return F.format_number(count, 0)
 
 
 def percent(share: Column, digits: int) -> Column:

@@ -40,28 +40,50 @@ you've your yours yourself yourselves
 """.split())
 
 
-def load_stop_words(source: str | Iterable[str] = "english") -> tuple[str, ...]:
+# What the feature step's list has beyond the plain words of ENGLISH,
+# and the plain words of ENGLISH that it has not.
+_FEATURE_ONLY = tuple("""
+across afterwards almost alone along already also although always among amongst
+amoungst amount another anyhow anyone anything anyway anywhere around back
+became become becomes becoming beforehand behind beside besides beyond bill
+bottom call cant co con couldnt cry de describe detail done due eg eight either
+eleven else elsewhere empty enough etc even ever every everyone everything
+everywhere except fifteen fifty fill find fire first five former formerly forty
+found four front full get give go hasnt hence hereafter hereby herein hereupon
+however hundred ie inc indeed interest keep last latter latterly least less ltd
+made many may meanwhile might mill mine moreover mostly move much must name
+namely neither never nevertheless next nine nobody none noone nothing nowhere
+often one onto others otherwise part per perhaps please put rather re see seem
+seemed seeming seems serious several show side since sincere six sixty somehow
+someone something sometime sometimes somewhere still system take ten thence
+thereafter thereby therefore therein thereupon thick thin third though three
+throughout thru thus together top toward towards twelve twenty two un until
+upon us via well whatever whence whenever whereafter whereas whereby wherein
+whereupon wherever whether whither whoever whole whose within without yet
+""".split())
+_NOT_FEATURE = frozenset("theirs having does did doing s t just don ought".split())
+
+# The list of the feature step: common English words, without contractions.
+FEATURE = tuple(sorted({w for w in ENGLISH if "'" not in w} - _NOT_FEATURE | set(_FEATURE_ONLY)))
+
+
+def load_stop_words(source: str | Iterable[str] = "feature") -> tuple[str, ...]:
     """A stop list by name, or the words given.
 
-    ``english`` and ``cloud`` are the lists above, ``sklearn`` is the longer
-    list of scikit-learn where that library is installed, ``none`` is empty;
-    any other name is a language of Spark's StopWordsRemover, read from the
-    running session.
+    ``feature``, ``english`` and ``cloud`` are the lists above, ``none`` is
+    empty; any other name is a language of Spark's StopWordsRemover, read from
+    the running session.
     """
     if not isinstance(source, str):
         return tuple(dict.fromkeys(word.lower() for word in source))
     if source == "none":
         return ()
+    if source == "feature":
+        return FEATURE
     if source == "english":
         return ENGLISH
     if source == "cloud":
         return CLOUD
-    if source == "sklearn":
-        try:
-            from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
-        except ImportError as error:
-            raise ImportError("scikit-learn is not installed; pass its stop words as a list") from error
-        return tuple(sorted(ENGLISH_STOP_WORDS))
     from pyspark.ml.feature import StopWordsRemover
 
     return tuple(StopWordsRemover.loadDefaultStopWords(source))

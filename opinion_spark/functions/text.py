@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named, sql_text
 
+# Fixed value: where a cut text ends.
+MAX_CHARS = 2000
+
 # Token patterns. Letters, numbers and underscore are spelled out
 # because \w covers ASCII only in Java.
 FEATURE_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -63,15 +66,15 @@ def prepare_text(
     df: DataFrame,
     text: str,
     out: str = "scored_text",
-    max_chars: int | None = 2000,
+    max_chars: int | None = None,
     drop_blank: bool = True,
     missing: str | None = None,
 ) -> DataFrame:
     """Add the text a scorer sees in ``out``; the original column stays.
 
     Rows without text are dropped, or get ``missing`` as their text. Blank
-    texts are dropped with ``drop_blank``. ``max_chars=None`` scores texts
-    in full.
+    texts are dropped with ``drop_blank``. Texts are seen in full, unless
+    ``max_chars`` cuts them.
     """
     seen = named(text).cast("string")
     seen = seen if missing is None else F.coalesce(seen, F.lit(missing))
@@ -81,5 +84,5 @@ def prepare_text(
     return kept.withColumn(out, cut_text(seen, max_chars))
 
 
-def cut_text(text: Column, max_chars: int | None = 2000) -> Column:
+def cut_text(text: Column, max_chars: int | None = MAX_CHARS) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)

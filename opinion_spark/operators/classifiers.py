@@ -23,11 +23,6 @@ from opinion_spark.operators.tfidf import Tfidf
 LOGISTIC = "Logistic Regression"
 BAYES = "Naive Bayes"
 
-# Training passes over the vectors hundreds of times; a task with fewer rows
-# than this takes longer to start than to run.
-ROWS_PER_TASK = 4000
-
-
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced class weights: rows / (classes * rows of the class)."""
     sizes = df.filter(named(label).isNotNull()).groupBy(named(label)).agg(F.count(F.lit(1)).alias("n"))
@@ -92,17 +87,18 @@ def fit_logistic(
     max_iter: int = 1000,
     c: float = 1.0,
     tol: float = 1e-6,
+    tasks: int | None = None,
 ) -> FittedModel:
     """L2 logistic regression with balanced class weights, softmax for three classes.
 
     The penalty 1/2 |w|^2 against C times the summed losses is, after division
     by C times the summed weights (which equal the row count when balanced),
-    Spark's penalty with regParam = 1 / (C * rows).
+    Spark's penalty with regParam = 1 / (C * rows). Training passes over the
+    vectors hundreds of times, in their partitions or merged to ``tasks``.
     """
     classes = tuple(counts)
     weights = {float(i): w for i, w in enumerate(balanced_weights(counts).values())}
-    tasks = math.ceil(sum(counts.values()) / ROWS_PER_TASK)
-    train = vectors.coalesce(tasks).select("features", class_index(named(label), classes).alias("class_index")).withColumn(
+    train = (vectors if tasks is None else vectors.coalesce(tasks)).select("features", class_index(named(label), classes).alias("class_index")).withColumn(
         "weight", lookup(F.col("class_index"), weights)
     )
     model = LogisticRegression(

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import pandas as pd
 
-# The words counted, the short-text limit and the word pattern.
+# The words counted and the short-text limit.
 ABUSE = ("trash", "idiot", "clown", "scum", "worthless", "moron", "pathetic", "loser", "disgusting", "stupid")
 SHORT_TEXT = 500
-WORD = r"\w+"
 
 
 def lexicon_scorer():
     """Two or more listed words: 1 star; one: 2 stars; none: 3 stars if short, else 5."""
-    listed = frozenset(ABUSE)
+    listed = rf"(?<!\w)(?:{'|'.join(ABUSE)})(?!\w)"
 
     def batch(texts: pd.Series) -> pd.DataFrame:
-        hits = texts.str.lower().str.findall(WORD).map(lambda found: sum(w in listed for w in found))
+        hits = texts.str.lower().str.count(listed)
         label = pd.Series("5 stars", index=texts.index)
         label[texts.str.len() < SHORT_TEXT] = "3 stars"
         label[hits == 1] = "2 stars"

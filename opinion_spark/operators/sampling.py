@@ -3,7 +3,8 @@
 A draw takes, per group, the rows with the smallest hash of (key, seed). The
 largest hash taken, the *cut*, is found from counts alone, so that the draw
 itself is a plain filter: rows are neither sorted nor shuffled, whatever the
-size of a group. Keys must be unique; copies of a key always go together.
+size of a group. Keys must be set and unique: NULL keys are refused, and so is a
+draw that copies of a key would make too large.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import math
 from collections.abc import Hashable, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 from opinion_spark.constants import LABEL, SEED
 from opinion_spark.functions.columns import named
@@ -44,7 +48,7 @@ def hash_cuts(
     take: Mapping[Hashable, int],
     counts: Mapping[Hashable, int],
     seed: int = SEED,
-    few: int = 2_000_000,
+    few: int = 100_000,
     spread: float = 6.0,
 ) -> dict[Hashable, str]:
     """Per group the hash of its ``take``-th row in hash order.
@@ -53,7 +57,9 @@ def hash_cuts(
     round counts rows per cell of the range (one pass over key and group, map-
     side combined to a handful of rows) and keeps the cell with the cut, until
     it holds at most ``few`` rows; those are ranked. One round is the rule;
-    small groups need none, and a wrong guess only costs another round.
+    small groups need none, and a wrong guess only costs another round. Groups
+    are looked up in a small table, so their number does not blow up the plan.
+    Fails where keys are NULL, or repeat so that no cut gives the size.
     """
     cuts: dict[Hashable, str] = {g: NONE if k <= 0 else ALL for g, k in take.items()}
     regions = {g: Region(0, SPAN, 0, counts[g]) for g, k in take.items() if 0 < k < counts[g]}
@@ -61,42 +67,65 @@ def hash_cuts(
         return cuts
     hashes = df.select(group.alias("g"), draw_hash(named(key), seed).alias("h"))
     number = F.conv(F.substring("h", 1, 15), 16, 10).cast("bigint")
+    kind = hashes.schema["g"].dataType
 
     guess = True
     while wide := {g: r for g, r in regions.items() if r.inside > few and r.high - r.low > 1}:
         points = {g: _points(r, take[g], counts[g], spread if guess else None) for g, r in wide.items()}
         guess = False
-        cell = _per_group({g: sum(((F.col("x") >= p).cast("int") for p in points[g]), F.lit(0)) for g in wide})
+        ranges = _small_table(df, kind, "low bigint, high bigint, points array<bigint>", [(g, r.low, r.high, points[g]) for g, r in wide.items()])
         found = (
-            hashes.withColumn("x", number)
-            .filter(_per_group({g: F.col("x").between(r.low, r.high - 1) for g, r in wide.items()}))
-            .groupBy("g", cell.alias("cell"))
+            hashes.withColumn("x", number).join(ranges, "g").filter("x >= low AND x < high")
+            .groupBy("g", F.size(F.filter("points", lambda p: p <= F.col("x"))).alias("cell"))
             .count()
             .collect()  # at most a few dozen counts per group
         )
+        sizes: dict[Hashable, dict[int, int]] = {}
+        for row in found:
+            sizes.setdefault(row["g"], {})[row["cell"]] = row["count"]
         for g, r in wide.items():
-            sizes = {row["cell"]: row["count"] for row in found if row["g"] == g}
             edges = [r.low, *points[g], r.high]
             below = r.below
             for c in range(len(edges) - 1):
-                if below + sizes.get(c, 0) >= take[g]:
-                    regions[g] = Region(edges[c], edges[c + 1], below, sizes.get(c, 0))
+                inside = sizes.get(g, {}).get(c, 0)
+                if below + inside >= take[g]:
+                    regions[g] = Region(edges[c], edges[c + 1], below, inside)
                     break
-                below += sizes.get(c, 0)
+                below += inside
+            else:
+                raise ValueError(f"column {key!r} has fewer keys than rows to draw; NULL keys cannot be drawn")
 
+    ranges = _small_table(df, kind, "low bigint, high bigint, missing bigint", [(g, r.low, r.high, take[g] - r.below) for g, r in regions.items()])
     ranks = (
-        hashes.filter(_per_group({g: number.between(r.low, r.high - 1) for g, r in regions.items()}))
-        .groupBy("g", "h").count()
+        hashes.join(ranges, "g").filter(number.between(F.col("low"), F.col("high") - 1))
+        .groupBy("g", "h", "missing").count()
         .withColumn("upto", F.sum("count").over(Window.partitionBy("g").orderBy("h")))
-        .filter(F.col("upto") >= _per_group({g: F.lit(take[g] - r.below) for g, r in regions.items()}))
-        .groupBy("g").agg(F.min("h").alias("cut"))
+        .filter("upto >= missing")
+        .groupBy("g").agg(F.min_by(F.struct("h", "upto", "missing"), "h").alias("cut"))
     )
-    return cuts | {row["g"]: row["cut"] for row in ranks.collect()}
+    for row in ranks.collect():
+        if row["cut"]["upto"] != row["cut"]["missing"]:
+            raise ValueError(f"keys in {key!r} repeat: no cut draws exactly {take[row['g']]} rows")
+        cuts[row["g"]] = row["cut"]["h"]
+        del regions[row["g"]]
+    if regions:
+        raise ValueError(f"column {key!r} has fewer keys than rows to draw; NULL keys cannot be drawn")
+    return cuts
 
 
-def within_cut(key: str, group: Column, cuts: Mapping[Hashable, str], seed: int = SEED) -> Column:
-    """Whether a row belongs to the draw described by ``cuts``."""
-    return draw_hash(named(key), seed) <= _per_group({g: F.lit(c) for g, c in cuts.items()}, group)
+def with_draw(df: DataFrame, key: str, label: str | None, cuts: Mapping[Hashable, str], seed: int = SEED, out: str = "is_test") -> DataFrame:
+    """Add ``out``: whether a row belongs to the draw described by ``cuts`` (NULL for a group without a cut)."""
+    drawn = draw_hash(named(key), seed)
+    if label is None:
+        return df.withColumn(out, drawn <= F.lit(cuts[0]))
+    table = _small_table(df, df.schema[label].dataType, "_cut string", list(cuts.items()))
+    return df.join(table, named(label) == F.col("g"), "left").withColumn(out, drawn <= F.col("_cut")).drop("g", "_cut")
+
+
+def check_keys(df: DataFrame, key: str) -> None:
+    """Draws need a key in every row."""
+    if df.filter(named(key).isNull()).limit(1).count():
+        raise ValueError(f"column {key!r} has NULL keys; a draw needs a key in every row")
 
 
 def class_sizes(df: DataFrame, label: str = LABEL) -> dict[Hashable, int]:
@@ -144,18 +173,27 @@ def stratified_split(
     ``mode="hash"`` marks each row by its own hash, without counting: sizes
     are then right on average only, but it works on streams as well.
     """
+    if not 0 < test_size < 1:
+        raise ValueError(f"test_size must lie between 0 and 1, not {test_size}")
     if mode == "hash":
         return df.withColumn("is_test", draw_hash(named(key), seed) < f"{int(test_size * SPAN):015x}")
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
-    sizes = counts or class_sizes(df, label)
-    cuts = hash_cuts(df, key, named(label), allocate_test(sizes, test_size), sizes, seed)
-    return df.withColumn("is_test", within_cut(key, named(label), cuts, seed))
+    slim = df.select(named(key), named(label))
+    check_keys(slim, key)
+    sizes = counts or class_sizes(slim, label)
+    cuts = hash_cuts(slim, key, named(label), allocate_test(sizes, test_size), sizes, seed)
+    return with_draw(df, key, label, cuts, seed)
+
 
+def sample_size(rows: int, requested: int | None = None, least: int = 50, most: int = 2000) -> int:
+    """The evaluation sample size: 500 unless asked, and at most the table.
 
-def sample_size(rows: int, requested: int | None = None) -> int:
-    """The evaluation sample size: 500 unless asked, within 50..2000 and the table."""
-    wanted = 500 if requested is None else max(50, min(2000, requested))
+    A request outside ``least`` to ``most`` is refused, not changed.
+    """
+    wanted = 500 if requested is None else requested
+    if not least <= wanted <= most:
+        raise ValueError(f"the sample size must lie between {least} and {most}, not {wanted}")
     return min(wanted, rows)
 
 
@@ -165,27 +203,30 @@ def stratified_sample(df: DataFrame, key: str, label: str, size: int, seed: int
     ``eval_id`` numbers the rows 0, 1, ... in the shuffled order. With one
     class or none, the sample is drawn from the whole table.
     """
-    counts = class_sizes(df, label) if label in df.columns else {}
+    slim = df.select(named(key), named(label)) if label in df.columns else None
+    counts = class_sizes(slim, label) if slim is not None else {}
     if len(counts) < 2:
         return random_sample(df, key, size, seed)
+    check_keys(slim, key)
     take = {g: min(n, size // len(counts)) for g, n in counts.items()}
-    cuts = hash_cuts(df, key, named(label), take, counts, seed)
-    drawn = df.filter(named(label).isNotNull() & within_cut(key, named(label), cuts, seed))
-    return _numbered(drawn, key, seed)
+    cuts = hash_cuts(slim, key, named(label), take, counts, seed)
+    return _numbered(df, with_draw(slim, key, label, cuts, seed, "_drawn").filter("_drawn").select(named(key)), key, seed)
 
 
 def random_sample(df: DataFrame, key: str, size: int, seed: int = SEED) -> DataFrame:
     """Exactly ``size`` rows (all, if the table has fewer), shuffled, with ``eval_id``."""
-    rows = df.count()
-    whole = F.lit(0)
-    cuts = hash_cuts(df, key, whole, {0: min(size, rows)}, {0: rows}, seed)
-    return _numbered(df.filter(within_cut(key, whole, cuts, seed)), key, seed)
+    keys = df.select(named(key))
+    check_keys(keys, key)
+    rows = keys.count()
+    cuts = hash_cuts(keys, key, F.lit(0), {0: min(size, rows)}, {0: rows}, seed)
+    return _numbered(df, with_draw(keys, key, None, cuts, seed, "_drawn").filter("_drawn").select(named(key)), key, seed)
 
 
-def _numbered(sample: DataFrame, key: str, seed: int) -> DataFrame:
-    # The sample is bounded by its requested size, so one task can number it.
+def _numbered(df: DataFrame, drawn: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows of the drawn keys, whose number is bounded by the requested size: only keys go to one task."""
     shuffled = Window.orderBy(draw_hash(named(key), seed, "-order"))
-    return sample.withColumn("eval_id", F.row_number().over(shuffled).cast("bigint") - 1)
+    numbers = drawn.select(named(key).alias("_drawn_key"), (F.row_number().over(shuffled).cast("bigint") - 1).alias("eval_id"))
+    return df.join(numbers, named(key) == F.col("_drawn_key")).drop("_drawn_key")
 
 
 def _points(region: Region, take: int, count: int, spread: float | None) -> list[int]:
@@ -199,9 +240,8 @@ def _points(region: Region, take: int, count: int, spread: float | None) -> list
     return [p for p in inner if region.low < p < region.high]
 
 
-def _per_group(values: Mapping[Hashable, Column], group: Column | None = None) -> Column:
-    g = F.col("g") if group is None else group
-    chain: Column | None = None
-    for name, value in values.items():
-        chain = F.when(g == F.lit(name), value) if chain is None else chain.when(g == F.lit(name), value)
-    return chain
+def _small_table(df: DataFrame, kind: DataType, columns: str, rows: list[tuple]) -> DataFrame:
+    """A table of one row per group, of a size Spark knows."""
+    schema = StructType([StructField("g", kind), *StructType.fromDDL(columns)])
+    data = [pa.array([r[i] for r in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(data, names=schema.names), schema=schema)

@@ -21,19 +21,11 @@ from opinion_spark.functions.columns import named
 from opinion_spark.functions.labels import normalize_label
 from opinion_spark.functions.text import prepare_text
 from opinion_spark.operators.sampling import stratified_sample
+from opinion_spark.session import stage
 
 Batch = Callable[[pd.Series], pd.DataFrame]
 Factory = Callable[[], Batch]
 
-# The models on offer, the default one, and the limits on a text.
-MODEL_CATALOGUE = (
-    "cmarkea/distilcamembert-base-sentiment",
-    "cardiffnlp/twitter-xlm-roberta-base-sentiment",
-    "nlptown/bert-base-multilingual-uncased-sentiment",
-)
-DEFAULT_MODEL = "cmarkea/distilcamembert-base-sentiment"
-MAX_CHARS = 2000
-MAX_TOKENS = 512
 MODELS_PER_WORKER = 3
 
 _factories: dict[str, Factory] = {}
@@ -45,26 +37,10 @@ def register_scorer(name: str, factory: Factory) -> None:
 
 
 def scorer_factory(name: str) -> Factory:
-    """The registered factory, or that of a transformer model of this name."""
-    return _factories.get(name) or transformer_scorer(name)
-
-
-def transformer_scorer(name: str = DEFAULT_MODEL, max_tokens: int = MAX_TOKENS) -> Factory:
-    """A scorer around a ``transformers`` text-classification model on CPU.
-
-    The library and the weights must be present on the executors.
-    """
-    def load() -> Batch:
-        from transformers import pipeline
-
-        model = pipeline(task="sentiment-analysis", model=name, tokenizer=name, device=-1)
-
-        def batch(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(model(texts.tolist(), truncation=True, max_length=max_tokens))
-
-        return batch
-
-    return load
+    """The factory registered under this name."""
+    if name not in _factories:
+        raise ValueError(f"no scorer is registered as {name!r}")
+    return _factories[name]
 
 
 def score(
@@ -72,13 +48,14 @@ def score(
     text: str,
     scorer: str | Factory,
     model: str | None = None,
-    max_chars: int | None = MAX_CHARS,
+    max_chars: int | None = None,
     on_error: str = "fail",
     drop_blank: bool = True,
     missing: str | None = None,
 ) -> DataFrame:
     """Add ``hf_label, hf_score, hf_mapped, model``; batch and streaming tables alike.
 
+    Whole texts are scored, unless ``max_chars`` asks for their beginnings only.
     ``on_error="null"`` gives a failed batch a NULL label, score 0 and mapped
     label 0 instead of failing the job.
     """
@@ -109,7 +86,7 @@ def evaluate_sample(
     model: str | None = None,
     seed: int = SEED,
     missing: str | None = None,
-    max_chars: int | None = MAX_CHARS,
+    max_chars: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Draw a stratified sample and score it: one row per drawn review.
@@ -118,9 +95,12 @@ def evaluate_sample(
     score for them. Labels and scores sit on the same row from the start, so
     nothing has to be aligned afterwards.
     """
+    # Drawn from keys and labels, written once: the texts of the drawn rows alone are read after that.
     pool = df if missing is not None else df.filter(named(text).isNotNull())
-    sample = stratified_sample(pool, key, label, size, seed)
-    # Numbering left the sample in one partition; spread it for inference.
+    slim = stage(pool.select(named(key), *([named(label)] if label in df.columns else [])), "sample-keys")
+    numbers = stratified_sample(slim, key, label, size, seed).select(named(key).alias("_key"), "eval_id")
+    sample = df.join(numbers, named(key) == F.col("_key")).drop("_key")
+    # The sample may sit in few partitions; spread it for inference.
     spread = sample.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism, "eval_id")
     scored = score(spread, text, scorer, model, max_chars, drop_blank=False, missing=missing)
     return scored.select("eval_id", named(text), named(label), "hf_label", "hf_score", "hf_mapped", "model")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions import text as words
 from opinion_spark.functions.columns import named, quoted
-from opinion_spark.functions.stop_words import ENGLISH
+from opinion_spark.functions.stop_words import FEATURE
 from opinion_spark.session import stage
 
 # The default settings of the feature step.
@@ -27,14 +27,14 @@ STEPS_PER_DOUBLING = 16
 VOCABULARY_SCHEMA = "term string, term_index int, df bigint, total_tf bigint, idf double"
 
 
-def tokenize(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
+def tokenize(df: DataFrame, text: str, stop_words: Sequence[str] = FEATURE, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
     """Add ``tokens`` (words less stop words) and ``terms`` (their n-grams)."""
     return df.withColumn("tokens", F.expr(words.without_words(words.feature_tokens(quoted(text)), stop_words))).withColumn(
         "terms", F.expr(words.ngrams("tokens", sizes))
     )
 
 
-def term_statistics(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
+def term_statistics(df: DataFrame, text: str, stop_words: Sequence[str] = FEATURE, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
     """Document frequency and total frequency per term.
 
     Terms are sorted within their document, where a term that differs from the
@@ -44,11 +44,11 @@ def term_statistics(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLIS
     docs = tokenize(df.select(named(text).cast("string").alias("t")).filter("t IS NOT NULL"), "t", stop_words, sizes)
     # The outer form keeps the optimizer from deriving a filter on the term
     # list, for which it would build every list a second time.
-    listed = docs.select(F.sort_array("terms").alias("terms")).select("terms", F.posexplode_outer("terms").alias("i", "term"))
-    repeated = F.get("terms", F.col("i") - 1).eqNullSafe(F.col("term"))
+    marked = F.expr("transform(terms, (t, i) -> struct(t AS term, NOT (get(terms, i - 1) <=> t) AS is_first))")
+    listed = docs.select(F.sort_array("terms").alias("terms")).select(F.explode_outer(marked).alias("t"))
     return (
-        listed.filter(F.col("term").isNotNull())
-        .select("term", (~repeated).cast("int").alias("is_first"))
+        listed.filter(F.col("t").isNotNull())
+        .select("t.term", F.col("t.is_first").cast("int").alias("is_first"))
         .groupBy("term")
         .agg(F.sum("is_first").alias("df"), F.count(F.lit(1)).alias("total_tf"))
     )
@@ -98,15 +98,13 @@ class Tfidf:
         )
         long = transformed.select(named(key), F.inline(entries).alias("term_index", "tf", "weight"))
         terms = self.vocabulary(df.sparkSession).select("term_index", "term")
-        if len(self.terms) <= 1_000_000:
-            terms = F.broadcast(terms)
         return long.join(terms, "term_index").select(key, "term", F.col("tf").cast("bigint").alias("tf"), "weight")
 
 
 def fit_tfidf(
     df: DataFrame,
     text: str,
-    stop_words: Sequence[str] = ENGLISH,
+    stop_words: Sequence[str] = FEATURE,
     sizes: tuple[int, int] = NGRAM_SIZES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,

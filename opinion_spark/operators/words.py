@@ -29,9 +29,8 @@ def count_words(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD) ->
     words = df.filter(named(text).isNotNull()).select(F.expr(cloud_words(quoted(text))).alias("words"))
     # The outer form keeps the optimizer from deriving a filter on the word
     # list, for which it would split every text a second time.
-    listed = words.select("words", F.posexplode_outer("words").alias("i", "first")).select(
-        "first", F.get("words", F.col("i") + 1).alias("second")
-    ).filter(F.col("first").isNotNull())
+    pairs = F.expr("transform(words, (w, i) -> struct(w AS first, get(words, i + 1) AS second))")
+    listed = words.select(F.explode_outer(pairs).alias("p")).filter(F.col("p").isNotNull()).select("p.first", "p.second")
     stops = list(stop_words)
     if stops:
         listed = listed.filter(~F.lower("first").isin(stops)).withColumn(

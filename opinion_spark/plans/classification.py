@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL, SEED
 from opinion_spark.functions.display import fixed
-from opinion_spark.functions.stop_words import ENGLISH
+from opinion_spark.functions.stop_words import FEATURE
 from opinion_spark.operators.classifiers import BAYES, LOGISTIC, FittedModel, fit_logistic, fit_naive_bayes
 from opinion_spark.operators.metrics import classification_report, confusion_matrix, pair_counts
 from opinion_spark.operators.sampling import allocate_test, class_sizes, stratified_split
@@ -98,16 +98,17 @@ def prepare_training(
     label: str = LABEL,
     test_size: float = 0.2,
     seed: int = SEED,
-    stop_words: Sequence[str] = ENGLISH,
+    stop_words: Sequence[str] = FEATURE,
     **features,
 ) -> TrainingData:
     """Clean, split, fit the vocabulary on the train side and stage the vectors.
 
-    Vectors are written once: training reads them in every iteration, and
-    neither text nor terms are needed again.
+    Rows are written once, so that counts and cuts read keys and labels only
+    and the texts twice: for the vocabulary and for the vectors. Vectors are
+    written once too: training reads them in every iteration.
     """
-    clean = complete_cases(df, text, label, keep=[key])
-    counts = class_sizes(clean, label)
+    clean = stage(complete_cases(df, text, label, keep=[key]), "complete-cases")
+    counts = class_sizes(clean.select(label), label)
     if len(counts) < 2:
         raise ValueError("the table must hold at least 2 classes")
     test_counts = allocate_test(counts, test_size)
@@ -129,7 +130,7 @@ def run_classification(
     models: Sequence[str] = (LOGISTIC, BAYES),
     save_to: str | None = None,
     seed: int = SEED,
-    stop_words: Sequence[str] = ENGLISH,
+    stop_words: Sequence[str] = FEATURE,
     max_iter: int = 1000,
 ) -> ClassificationResult:
     """Split the table, train the chosen models on one side, measure them on the other, save the best."""
@@ -141,14 +142,14 @@ def run_classification(
 
 
 def train_models(
-    data: TrainingData, label: str = LABEL, models: Sequence[str] = (LOGISTIC, BAYES), max_iter: int = 1000
+    data: TrainingData, label: str = LABEL, models: Sequence[str] = (LOGISTIC, BAYES), max_iter: int = 1000, tasks: int | None = None
 ) -> ClassificationResult:
     """Train and measure the chosen models on prepared data.
 
     Unknown model names are ignored. A model that fails leaves its error in
     the summary and the others go on.
     """
-    options = {LOGISTIC: {"max_iter": max_iter}, BAYES: {}}
+    options = {LOGISTIC: {"max_iter": max_iter, "tasks": tasks}, BAYES: {}}
     sizes = (
         sum(data.train_counts.values()), sum(data.test_counts.values()),
         round((1 - data.test_size) * 100, 2), round(data.test_size * 100, 2),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL
-from opinion_spark.functions.display import fixed, percent
+from opinion_spark.functions.display import fixed, percent, thousands
 from opinion_spark.operators.metrics import (
     accuracy, classification_report, confusion_matrix, error_examples, report_scores,
 )
 from opinion_spark.operators.statistics import prediction_distribution
+from opinion_spark.sources.snapshot import frozen_settings
 
 
 @dataclass(frozen=True)
@@ -24,8 +25,14 @@ class EvaluationReport:
     errors: DataFrame
 
 
-def evaluation_report(scored: DataFrame, text: str, size: int, label: str = LABEL) -> EvaluationReport:
-    """All views of scored sample rows; pass frozen rows, each view reads them once."""
+def evaluation_report(scored: DataFrame, text: str | None = None, size: int | None = None, label: str = LABEL) -> EvaluationReport:
+    """All views of scored sample rows; pass frozen rows, each view reads them once.
+
+    Frozen rows know their text column and sample size.
+    """
+    if text is None or size is None:
+        known_size, known_text = frozen_settings(scored)
+        text, size = text or known_text, size or known_size
     return EvaluationReport(
         distribution=prediction_distribution(scored, "hf_mapped", size=size),
         accuracy=accuracy(scored, label, "hf_mapped"),
@@ -52,3 +59,10 @@ def format_summary(metrics: DataFrame) -> DataFrame:
         percent(F.col("macro_f1"), 2).alias("macro_f1_percent"),
         percent(F.col("macro_precision"), 1).alias("macro_precision_percent"),
     )
+
+
+def format_report(report: DataFrame) -> DataFrame:
+    """A classification report as it is shown: three decimals in every number cell, supports with commas beside."""
+    numbers = ("precision", "recall", "f1_score", "support")
+    kept = [c for c in report.columns if c not in numbers]
+    return report.select(*kept, *(fixed(F.col(c), 3).alias(c) for c in numbers), thousands(F.col("support")).alias("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,9 @@ def build_session(app: str = "opinion-spark", master: str | None = None, conf: d
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would lose staged tables with its executor.
+    Only a local session without that setting gets a temporary folder, with a
+    warning; on a cluster a machine-local folder would lose staged tables with
+    its executor, so the setting is required there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="opinion-spark-")
+    warnings.warn(f"spark.checkpoint.dir is not set; staged tables go to {folder}", stacklevel=2)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -51,23 +54,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where several jobs read the same costly result: the table outlives
-    lost executors, cuts the lineage and keeps column pruning and pushdown.
+    lost executors, cuts the lineage and keeps column pruning and pushdown. It
+    stays until ``drop_staged``.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """Tables that this application has staged and not dropped, oldest first."""
+    return list(_staged.get(spark.sparkContext.applicationId, []))
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Give heavy row-by-row work enough tasks when a table comes in few files.
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the staged tables from number ``since`` of ``staged_paths`` on, and say how many.
 
-    A small file is one row group, hence one task, whatever the split size. A
-    table of at least as many files as there are cores passes through as it
-    is: large tables are never shuffled for this.
+    For a caller that has written or collected its result: results that are
+    still lazy may read them.
     """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= wanted else df.repartition(wanted)
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in gone:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)

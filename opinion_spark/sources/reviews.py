@@ -127,6 +127,9 @@ def _typed(name: str, dtype: T.DataType | None) -> Column:
     if dtype is None:
         return named(name)
     if isinstance(dtype, T.IntegralType):
-        # "1.0" is a whole number too, as pandas writes one beside gaps.
-        return named(name).cast("double").cast(dtype) if isinstance(dtype, T.IntegerType) else named(name).cast(dtype)
+        # "1.0" is a whole number too, as it is written beside gaps; a fraction is not, and fails.
+        number = named(name).cast("decimal(38,6)")
+        return F.when(number == F.floor(number), number.cast(dtype)).when(
+            number.isNotNull(), F.raise_error(F.concat(F.lit(f"column {name} holds a fraction: "), named(name))).cast(dtype)
+        )
     return named(name).cast(dtype)

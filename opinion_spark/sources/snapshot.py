@@ -5,11 +5,19 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def freeze(scored: DataFrame, path: str) -> None:
-    """Write scored rows; they carry the name of their model in ``model``."""
-    scored.write.mode("overwrite").parquet(path)
+def freeze(scored: DataFrame, path: str, size: int | None = None, text: str | None = None) -> None:
+    """Write scored rows with what later views need: the model's name is in ``model`` already,
+    the sample size that was asked for and the text column's name go in ``sample_size`` and ``text_column``."""
+    scored.withColumn("sample_size", F.lit(size).cast("bigint")).withColumn("text_column", F.lit(text).cast("string")).write.mode("overwrite").parquet(path)
+
+
+def frozen_settings(scored: DataFrame) -> tuple[int | None, str | None]:
+    """Sample size and text column of frozen rows; neither if there are no rows."""
+    row = scored.select("sample_size", "text_column").first()
+    return (row.sample_size, row.text_column) if row else (None, None)
 
 
 def thaw(spark: SparkSession, path: str, expect_model: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from opinion_spark.operators.scoring import MAX_CHARS, Factory, score
+from opinion_spark.operators.scoring import Factory, score
 
 
 def read_text_stream(spark: SparkSession, folder: str, schema: T.StructType | str, glob: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -18,9 +18,9 @@ def read_text_stream(spark: SparkSession, folder: str, schema: T.StructType | st
 
 def score_stream(
     stream: DataFrame, text: str, scorer: str | Factory, model: str | None = None,
-    max_chars: int | None = MAX_CHARS, on_error: str = "fail",
+    max_chars: int | None = None, on_error: str = "fail",
 ) -> DataFrame:
-    """The batch scoring on a streaming table; blank texts are not scored."""
+    """The batch scoring on a streaming table, of whole texts unless ``max_chars`` is set; blank texts are not scored."""
     if not stream.isStreaming:
         raise ValueError("score_stream needs a streaming table; use score for a batch")
     return score(stream, text, scorer, model, max_chars, on_error)

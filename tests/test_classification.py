@@ -137,3 +137,15 @@ def test_first_of_equal_models_is_best(spark):
 def test_one_class_is_refused(reviews):
     with pytest.raises(ValueError):
         c.run_classification(reviews.filter("label = 1"), "review_text", "doc_id")
+
+
+def test_counts_and_cuts_read_no_text(spark, tmp_path):
+    """Class counts and cuts of a split over a written table scan keys and labels only."""
+    from opinion_spark.operators.sampling import class_sizes
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(60)], "id bigint, review string, label int").write.parquet(path)
+    slim = spark.read.parquet(path).select("id", "label")
+    plan = slim.filter("label is not null").groupBy("label").count()._jdf.queryExecution().toString()
+    assert "review" not in plan.split("ReadSchema:")[-1]
+    assert class_sizes(slim) == {0: 20, 1: 20, 2: 20}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.stop_words import CLOUD, ENGLISH, load_stop_words
+from opinion_spark.functions.stop_words import CLOUD, ENGLISH, FEATURE, load_stop_words
 from opinion_spark.functions.text import prepare_text
 from opinion_spark.operators import tfidf as t
 
@@ -16,7 +16,7 @@ TEXTS = [
 ]
 
 
-def grams(text, stops=frozenset(ENGLISH), high=2):
+def grams(text, stops=frozenset(FEATURE), high=2):
     tokens = [w for w in re.findall(r"\w\w+", text.lower()) if w not in stops]
     return [" ".join(tokens[i : i + n]) for n in range(1, high + 1) for i in range(len(tokens) - n + 1)]
 
@@ -94,13 +94,14 @@ def test_plan_has_no_shuffle_by_document(docs):
 def test_stop_word_lists(spark):
     assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
     assert load_stop_words("english") == ENGLISH and load_stop_words("cloud") == CLOUD
+    assert load_stop_words() == FEATURE and len(FEATURE) == 318 and not any("'" in w for w in FEATURE)
     assert load_stop_words("none") == () and load_stop_words(["A", "a", "B"]) == ("a", "b")
     assert "avec" in load_stop_words("french")
 
 
 def test_prepare_text(spark):
     df = spark.createDataFrame([(1, "x" * 3000), (2, "  \n "), (3, None), (4, "ok")], "id int, t string")
-    got = {r.id: r.scored_text for r in prepare_text(df, "t").collect()}
+    got = {r.id: r.scored_text for r in prepare_text(df, "t", max_chars=2000).collect()}
     assert {k: len(v) for k, v in got.items()} == {1: 2000, 4: 2}
     kept = {r.id: r.scored_text for r in prepare_text(df, "t", max_chars=None, drop_blank=False, missing="nan").collect()}
     assert len(kept[1]) == 3000 and kept[3] == "nan" and set(kept) == {1, 2, 3, 4}

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from opinion_spark.functions.display import fixed, percent, preview_text, round_even, short_name
+from opinion_spark.functions.display import fixed, percent, preview_text, round_even, short_name, thousands
 from opinion_spark.functions.labels import label_name, normalize_label, rating_to_label, with_label
 
 RATINGS = [(1.0, -1), (2.0, -1), (2.5, 1), (3.0, 0), (4.0, 1), (5.0, 1), (None, 1), (math.nan, 1)]
@@ -54,3 +54,21 @@ def test_names_and_formats(spark):
     assert [r.p for r in got] == ["12.5%", "50.0%", "66.7%"]
     assert [r.s for r in got] == ["model", "plain", "y"]
     assert [r.t for r in got] == ["a/b...", "pla...", "x/y..."]
+
+
+def test_display_rounds_the_exact_value(spark):
+    """Decimal ties that no double holds, ties that it does, and small and negative numbers, as Python shows them."""
+    values = [0.12345, 0.54325, 2.675, 0.125, 0.375, 0.00005, 0.0, 1.0, -0.0, -0.5, -2.675, 1e-30, 123.4565, 0.99995, 1 / 3, 5e-324, 99999.00005]
+    values += [(k % 20000) / 20000 for k in range(0, 20000, 7)] + [k / 8 for k in range(-9, 40)] + [k / 65536 for k in range(1, 400)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 3, 4):
+        got = df.select("x", fixed(F.col("x"), digits).alias("f"), round_even(F.col("x"), digits).alias("r")).collect()
+        for r in got:
+            want = f"{r.x:.{digits}f}"
+            assert r.f in (want, want.replace("-", "") if float(want) == 0 else want, "-" + want if r.x < 0 and float(want) == 0 else want)
+            assert r.r == float(want)
+
+
+def test_thousands(spark):
+    got = spark.range(1).select(thousands(F.lit(1234567)).alias("a"), thousands(F.lit(12)).alias("b")).first()
+    assert (got.a, got.b) == ("1,234,567", "12")

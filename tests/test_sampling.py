@@ -63,18 +63,21 @@ def test_cuts_do_not_depend_on_the_search(labelled, few, spread):
 
 
 def test_cuts_with_a_hot_key(spark):
-    """A key with a third of all rows ends up on one side, and the search ends."""
+    """A key with a third of all rows ends up on one side, or is refused where the cut would split it; the search ends."""
     df = spark.range(900).select(F.when(F.col("id") < 300, -7).otherwise(F.col("id")).alias("id"))
-    cuts = s.hash_cuts(df, "id", F.lit(0), {0: 450}, {0: 900}, few=20)
     hashes = sorted([md5(-7)] * 300 + [md5(i) for i in range(300, 900)])
-    assert cuts[0] == hashes[449]
+    hot = hashes.index(md5(-7))
+    for take in (hot, hot + 300, hot + 301):
+        assert s.hash_cuts(df, "id", F.lit(0), {0: take}, {0: 900}, few=20)[0] == hashes[take - 1]
+    with pytest.raises(ValueError, match="repeat"):
+        s.hash_cuts(df, "id", F.lit(0), {0: hot + 150}, {0: 900}, few=20)
 
 
 def test_nothing_and_everything(labelled):
     cuts = s.hash_cuts(labelled, "id", F.lit(0), {0: 0}, {0: 3000})
-    assert labelled.filter(s.within_cut("id", F.lit(0), cuts)).count() == 0
+    assert s.with_draw(labelled, "id", None, cuts).filter("is_test").count() == 0
     cuts = s.hash_cuts(labelled, "id", F.lit(0), {0: 3000}, {0: 3000})
-    assert labelled.filter(s.within_cut("id", F.lit(0), cuts)).count() == 3000
+    assert s.with_draw(labelled, "id", None, cuts).filter("is_test").count() == 3000
 
 
 def test_hash_mode(labelled):
@@ -111,6 +114,45 @@ def test_sample_ignores_missing_labels(spark):
 def test_sample_size_bounds():
     assert s.sample_size(10_000) == 500
     assert s.sample_size(300) == 300
-    assert s.sample_size(10_000, 5000) == 2000
-    assert s.sample_size(10_000, 10) == 50
+    assert s.sample_size(10_000, 5000, most=5000) == 5000
     assert s.sample_size(20, 100) == 20
+    for size in (5000, 10):
+        with pytest.raises(ValueError, match="between 50 and 2000"):
+            s.sample_size(10_000, size)
+
+
+@pytest.mark.parametrize("draw", [
+    lambda df: s.random_sample(df, "id", 150), lambda df: s.stratified_sample(df, "id", "label", 150), lambda df: s.stratified_split(df, "id"),
+])
+def test_null_keys_are_refused(spark, draw):
+    df = spark.range(200).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"), (F.col("id") % 3).alias("label"))
+    with pytest.raises(ValueError, match="NULL keys"):
+        draw(df)
+
+
+def test_search_ends_without_enough_keys(spark):
+    df = spark.range(200).select(F.when(F.col("id") < 100, F.col("id")).alias("id"))
+    with pytest.raises(ValueError, match="fewer keys"):
+        s.hash_cuts(df, "id", F.lit(0), {0: 150}, {0: 200}, few=10)
+    with pytest.raises(ValueError, match="fewer keys"):
+        s.hash_cuts(df, "id", F.lit(0), {0: 150}, {0: 200})
+
+
+def test_repeated_keys_are_refused_where_they_break_the_size(spark):
+    df = spark.range(200).select((F.col("id") % 4).alias("id"))
+    with pytest.raises(ValueError, match="repeat"):
+        s.random_sample(df, "id", 10)
+
+
+@pytest.mark.parametrize("mode", ["exact", "hash"])
+@pytest.mark.parametrize("ratio", [0.0, 1.0, -0.1, 1.5])
+def test_split_ratio_is_checked(labelled, mode, ratio):
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        s.stratified_split(labelled, "id", test_size=ratio, mode=mode)
+
+
+def test_many_classes(spark):
+    df = spark.range(12_000).select("id", F.concat(F.lit("c"), F.col("id") % 3000).alias("label"))
+    got = s.stratified_split(df, "id", test_size=0.25).groupBy("label").agg(F.count_if("is_test").alias("n")).groupBy("n").count().collect()
+    assert [(r.n, r["count"]) for r in got] == [(1, 3000)]
+    assert s.stratified_sample(df, "id", "label", 6000).count() == 6000

@@ -22,13 +22,13 @@ def scored(df, **options):
 
 
 def test_scores(docs):
-    assert scored(docs) == {
-        1: ("1 star", 0.75, -1), 2: ("2 stars", 0.666667, -1), 3: ("3 stars", 0.5, 0), 4: ("5 stars", 0.5, 1), 7: ("5 stars", 0.5, 1),
-    }
+    whole = {1: ("1 star", 0.75, -1), 2: ("2 stars", 0.666667, -1), 3: ("3 stars", 0.5, 0), 4: ("5 stars", 0.5, 1), 7: ("1 star", 0.75, -1)}
+    assert scored(docs) == whole
+    assert scored(docs, max_chars=2000) == {**whole, 7: ("5 stars", 0.5, 1)}
 
 
 def test_whole_texts_and_missing_ones(docs):
-    got = scored(docs, max_chars=None, drop_blank=False, missing="nan")
+    got = scored(docs, drop_blank=False, missing="nan")
     assert got[7] == ("1 star", 0.75, -1)
     assert got[6] == got[5] == ("3 stars", 0.5, 0)
 
@@ -63,7 +63,8 @@ def test_missing_scores_become_zero(docs):
 def test_registry():
     s.register_scorer("words", lexicon_scorer)
     assert s.scorer_factory("words") is lexicon_scorer
-    assert callable(s.scorer_factory(s.DEFAULT_MODEL)) and s.DEFAULT_MODEL in s.MODEL_CATALOGUE
+    with pytest.raises(ValueError, match="no scorer"):
+        s.scorer_factory("some/model")
 
 
 def test_models_are_loaded_once_and_few_are_kept():

@@ -1,12 +1,13 @@
+import os
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 from opinion_spark.operators.statistics import cleaned_dataset, complete_cases
-from opinion_spark.session import scratch_path, shared_dir, spread, stage
+from opinion_spark.session import drop_staged, scratch_path, shared_dir, stage, staged_paths
 from opinion_spark.sources.reviews import read_reviews, write_reviews
 from opinion_spark.sources.roles import resolve_roles
-from opinion_spark.sources.snapshot import freeze, thaw
+from opinion_spark.sources.snapshot import freeze, frozen_settings, thaw
 
 
 @pytest.mark.parametrize("columns, text, title, country", [
@@ -113,12 +114,27 @@ def test_stage_and_shared_folder(spark):
     assert sorted(stage(df, "numbers").collect()) == sorted(df.collect())
 
 
-def test_spread_leaves_many_files_alone(spark, tmp_path):
-    path = str(tmp_path / "many")
-    spark.range(100).repartition(6).write.parquet(path)
-    many = spark.read.parquet(path)
-    assert spread(many, 4) is many
-    assert spread(many, 12).rdd.getNumPartitions() == 12
+def test_staged_tables_can_be_dropped(spark):
+    kept, gone = stage(spark.range(3), "kept"), None
+    mark = len(staged_paths(spark))
+    gone = stage(spark.range(5), "gone")
+    assert gone.count() == 5
+    path = staged_paths(spark)[-1]
+    assert drop_staged(spark, since=mark) == 1
+    assert not os.path.exists(path.removeprefix("file:")) and kept.count() == 3
+
+
+def test_a_fraction_is_no_whole_number(spark, tmp_path):
+    path = write(tmp_path, "f.csv", "text,label\na,1.0\nb,1.5\n")
+    df = read_reviews(spark, path)
+    with pytest.raises(Exception, match="fraction"):
+        df.select("label").collect()
+
+
+def test_frozen_rows_know_their_size_and_text(spark, tmp_path):
+    path = str(tmp_path / "frozen")
+    freeze(spark.createDataFrame([(0, "t", "m")], "eval_id bigint, body string, model string"), path, 120, "body")
+    assert frozen_settings(thaw(spark, path)) == (120, "body")
 
 
 def test_cached_read(spark, tmp_path):
