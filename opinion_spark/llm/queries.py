@@ -82,7 +82,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_token_counts": op3_token_counts, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
+
 ORACLE: dict[str, str] = {
+    "op4_jaccard": f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+r(doc_id, seen) AS (SELECT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op9_quality": f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="text")} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS times
+  FROM (SELECT doc_id, k, array_to_string(w[k:k + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2))),
+p AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS i FROM g WHERE times > 1) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS letter_words,
+         len(regexp_extract_all(t, '\\p{{Lu}}')) AS upper_, len(regexp_extract_all(t, '\\p{{L}}')) AS letters
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * n_symbols <= 10 * n_words AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND 100 * n_dup_lines <= 50 * n_lines
+       AND 100 * letter_words >= 80 * n_words AND 100 * upper_ <= 40 * letters AS kept
+FROM f""",
     "op7_decontamination": f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS_7.format(text="text")}, []) AS w FROM documents),
 b AS MATERIALIZED (SELECT item_id, coalesce({_WORDS_7.format(text="text")}, []) AS w FROM benchmark),
