@@ -30,7 +30,7 @@ CAPACITY = 2048
 BLOCK_PIECES = 1 << 16
 #: Pieces under this part of the capacity are placed last.
 SHORT_PART = 16
-#: Encoded words that a Python worker keeps, some 200 bytes each.
+#: Encoded words that a Python worker keeps in each of two generations, some 200 bytes each.
 CACHED_WORDS = 400_000
 
 # Words that are surely one word, perhaps with signs behind it, for the tokenizer's
@@ -56,13 +56,12 @@ class WordEncoder:
         self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
+        self._before: dict[str, bytes] = {}  # the generation before: words met again move up, the others go with it
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, words: Sequence[str]) -> None:
-        if len(self._known) + len(words) > CACHED_WORDS:
-            self._known = {"": b""}
         plain: list[str] = []
         parts: list[int] = []  # words that the tokenizer sees in each
         other: list[str] = []
@@ -90,11 +89,13 @@ class WordEncoder:
         rows = [[] if not t or any(s in t for s in self._special) else t.replace("\n", " ").split(" ") for t in texts]
         seen: set[str] = set()
         seen.update(*rows)
-        # Sorted: the batches, and with them the work, are the same in each attempt.
-        missing = sorted(w for w in seen.difference(self._known))
+        missing = seen.difference(self._known)
         if len(self._known) + len(missing) > CACHED_WORDS:
-            self._known, missing = {"": b""}, sorted(seen)
-        self._learn([w for w in missing if w])
+            self._known, self._before = {"": b""}, self._known
+            missing = seen.difference(self._known)
+        again = missing.intersection(self._before)
+        self._known.update((w, self._before[w]) for w in again)
+        self._learn(list(missing - again))
         known = self._known
         out = [b"".join([known[w] for w in row]) for row in rows]
         for i, t in enumerate(texts):
