@@ -27,7 +27,7 @@ from opinion_spark.session import stage
 
 WINDOW = 10
 #: Characters of text in an index row.
-ROW_CHARS = 1 << 22
+ROW_CHARS = 1 << 21
 #: Windows that are sent to the index at a time: about 100 bytes each.
 BLOCK_WINDOWS = 100_000
 #: Candidate places worked on at a time.
