@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -143,8 +144,8 @@ class SetJoin:
         rank[np.argsort(df, kind="stable")] = np.arange(len(df))
         owner = np.repeat(np.arange(len(sets)), self.size)
         token = rank[code]
-        order = np.lexsort((token, owner))
-        self.token, self.owner = token[order], owner[order]
+        self.token = np.sort(owner * len(df) + token) - owner * len(df)  # sets stay in their places
+        self.owner = owner
         self.begin = np.cumsum(self.size) - self.size
         self.n_tokens = len(df)
         left = self.size[self.owner] - (np.arange(len(self.token)) - self.begin[self.owner])
@@ -155,9 +156,12 @@ class SetJoin:
         self.index_token, self.index_set, self.index_left = self.token[inside], self.owner[inside], left[inside]
         self.lists = np.searchsorted(self.index_token, np.arange(self.n_tokens + 1))
         self.prefix = np.bincount(self.index_set, minlength=len(sets))
-        by_token = np.argsort(self.token, kind="stable")
-        self.holders = self.owner[by_token]
-        self.held = np.searchsorted(self.token[by_token], np.arange(self.n_tokens + 1))
+
+    @cached_property
+    def _holders(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sets with each shingle, and where each shingle's begin."""
+        by_token = np.argsort(self.token)
+        return self.owner[by_token], np.searchsorted(self.token[by_token], np.arange(self.n_tokens + 1))
 
     @property
     def _near(self) -> int:  # of 200
@@ -235,15 +239,17 @@ class SetJoin:
         others, overlap, total = others[open_question], overlap[open_question], total[open_question]
         if len(others):
             change = np.zeros(len(self.size), dtype=np.int64)
+            holders, held = self._holders
             for sign, tokens in ((-1, gone), (1, new)):
                 for t in tokens.tolist():
-                    change[self.holders[self.held[t]:self.held[t + 1]]] += sign
+                    change[holders[held[t]:held[t + 1]]] += sign
             self._link(x, others[self._reach(overlap + change[others], total, 2 * self.percent)])
 
 
 def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and, for each, the least id it is connected with here. ``known`` marks sets connected with the leader."""
-    rows = rows.sort_values(["member", "known"], ascending=[True, False], ignore_index=True).drop_duplicates(["member", "text"], ignore_index=True)
+    if not rows["member"].is_unique:
+        rows = rows.sort_values(["member", "known"], ascending=[True, False], ignore_index=True).drop_duplicates(["member", "text"], ignore_index=True)
     sets: list[np.ndarray] = []
     texts = rows["text"].tolist()
     for part in text_blocks(texts):
@@ -256,7 +262,11 @@ def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np
     # Rows of one id are one node.
     labels = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     labels[known] = labels[known].min() if known.any() else 0
-    labels = SetJoin(sets, percent, labels).run()
+    if len(sets) == 2:
+        both, total = len(np.intersect1d(*sets, assume_unique=True)), len(sets[0]) + len(sets[1])
+        labels = np.minimum(labels, labels.min()) if 100 * both >= percent * (total - both) else labels
+    else:
+        labels = SetJoin(sets, percent, labels).run()
     least = np.full(labels.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, labels, ids)
     return ids, least[labels]
