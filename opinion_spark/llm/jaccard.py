@@ -6,7 +6,8 @@
    order (prefix filtering), so each set posts its prefix only.
 3. In a posting list the sets are ordered by size. Leaders cover the sizes they
    could link with; every set is attached to its leader and the one before, so
-   that two sets that can link meet under a leader.
+   that two sets that can link meet under a leader. Sets that meet in lists of
+   two only are dropped if they share too few of those.
 4. The sets under a leader are joined exactly in one task, a hot leader's in
    several: index lists ordered by position let whole blocks be skipped, and
    sets very similar to one whose answers are known derive theirs from those
@@ -19,6 +20,7 @@ The sketch only orders shingles: it costs time where it is coarse, no links.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -100,9 +102,24 @@ def text_sets(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, text: s
 
 
 def _attach(percent: int):
-    """Leaders of sorted postings, one batch after another; a list may go on in the next batch."""
+    """Leaders of sorted postings, one batch after another; a list may go on in the next batch.
+
+    A list of two sets gives their pair (``pair`` counts such lists), a longer
+    one attaches its sets to leaders (``pair`` is null).
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, leaders = None, []
+        token, seen = None, 0
+        leaders: list[tuple[int, int]] = []
+        waiting: list[tuple[int, int, int, int]] = []  # of a list that may end with its second set
+        pairs: Counter = Counter()
+        grouped: set[tuple[int, int, int, int]] = set()
+
+        def made() -> pa.RecordBatch:
+            rows = [(*p, n) for p, n in sorted(pairs.items())] + [(*p, None) for p in sorted(grouped)]
+            pairs.clear()
+            grouped.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["leader", "member", "n_leader", "n_member", "pair"])
+
         for batch in batches:
             tokens, sizes, ids = (batch.column(i).to_numpy() for i in range(3))
             if not len(tokens):
@@ -113,20 +130,44 @@ def _attach(percent: int):
             shared[:-1] |= same
             shared[0] = shared[-1] = True
             rows = np.flatnonzero(shared)
-            pairs: set[tuple[int, int]] = set()
             for t, size, i in zip(tokens[rows].tolist(), sizes[rows].tolist(), ids[rows].tolist(), strict=True):
                 if t != token:
-                    token, leaders = t, []
+                    pairs.update(waiting)
+                    token, seen, leaders, waiting = t, 0, [], []
+                seen += 1
                 if not leaders or 100 * leaders[-1][0] < percent * size:
                     leaders = [*leaders[-1:], (size, i)]
                 # A leader's sets and the larger ones that these can link with.
-                pairs.update((leader, i) for n, leader in leaders if leader != i and 10_000 * n >= percent * percent * size)
-            if pairs:
-                found = np.array(sorted(pairs), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["leader", "member"])
+                found = [(leader, i, n, size) for n, leader in leaders if leader != i and 10_000 * n >= percent * percent * size]
+                if seen == 2:
+                    waiting = found
+                else:
+                    grouped.update(waiting)
+                    grouped.update(found)
+                    waiting = []
+            if pairs or grouped:
+                yield made()
+        pairs.update(waiting)
+        if pairs:
+            yield made()
     return work
 
 
+def attach_to_leaders(postings: DataFrame, percent: int) -> DataFrame:
+    """``leader, member`` of sets that may link, or that may link with sets of the same leader.
+
+    Two sets alone in all lists they share have as many shingles in common
+    within their prefixes as they share lists, and beyond them no more than the
+    set has whose prefix ends first: too few lists, and they cannot link.
+    """
+    ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
+    found = ordered.mapInArrow(_attach(percent), "leader bigint, member bigint, n_leader bigint, n_member bigint, pair bigint")
+    counted = found.groupBy("leader", "member", "n_leader", "n_member").agg(F.sum("pair").alias("lists"), F.bool_or(F.col("pair").isNull()).alias("grouped"))
+    beyond = F.greatest(F.ceil(F.col("n_leader") * percent / 100), F.ceil(F.col("n_member") * percent / 100)) - 1
+    needed = F.ceil((F.col("n_leader") + F.col("n_member")) * percent / (100 + percent))
+    return counted.filter(F.col("grouped") | (F.col("lists") + beyond >= needed)).select("leader", "member").distinct()
+
+
 class SetJoin:
     """Links among some sets, found in one task.
 
@@ -325,8 +366,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     classes = stage(classes, "set-classes")
     single = sets.filter("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = single.select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
-    ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
-    attached = stage(ordered.mapInArrow(_attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
+    attached = stage(attach_to_leaders(postings, percent), "set-pairs")
     whole = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
     links = set_links(whole, attached, n, percent, group_sets)
     # Rows of one id with different sets hang together by the id.
