@@ -379,8 +379,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
 
 def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The row of the least id of each component, with all its columns; of rows of one id one stays. Rows without an id all stay."""
-    found = jaccard_components(docs, n, percent, text, key)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    id_ = named(key)
-    with_id = docs.join(first, id_.cast("bigint") == F.col("_first"), "left_semi").dropDuplicates([key])
-    return with_id.unionByName(docs.filter(id_.isNull()))
+    found = stage(jaccard_components(docs, n, percent, text, key).filter("doc_id is not null"), "components")
+    # Written, so that their size is known and texts are not shuffled for a short list.
+    gone = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "copies")
+    repeated = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "repeated-ids")
+    matches = named(key).cast("bigint") == F.col("_id")
+    one_each = docs.join(repeated, matches, "left_semi").dropDuplicates([key])
+    return docs.join(gone.unionByName(repeated), matches, "left_anti").unionByName(one_each)
