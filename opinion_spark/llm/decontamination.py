@@ -280,5 +280,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns. Rows of one key, or without, are judged together."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    # Written, so that its size is known and texts are not shuffled for a short list.
+    bad = stage(contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, named(key).cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
