@@ -53,6 +53,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_ch
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in text_blocks(texts, row_chars):
                 words = hash_words(texts[part], ALPHANUMERIC)
+                texts[part] = [None] * (part.stop - part.start)
                 counts = np.diff(words.starts)
                 place = np.arange(len(words.hashes)) + np.repeat(np.arange(len(counts)) * GAP, counts)
                 order = np.argsort(words.hashes, kind="stable")
@@ -206,8 +207,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None, block_
         def answer(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             queries = sent.value
             for batch in batches:
-                for row in batch.to_pylist():
-                    made = _matches(queries, row, slop)
+                for n in range(batch.num_rows):  # one at a time: rows are megabytes
+                    made = _matches(queries, batch.slice(n, 1).to_pylist()[0], slop)
                     if made["shard"]:
                         yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
