@@ -8,12 +8,11 @@ returns a function from a batch of texts to a frame with ``label`` and
 
 from __future__ import annotations
 
-import os
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.constants import LABEL, SEED
@@ -21,7 +20,7 @@ from opinion_spark.functions.columns import named
 from opinion_spark.functions.labels import normalize_label
 from opinion_spark.functions.text import prepare_text
 from opinion_spark.operators.sampling import stratified_sample
-from opinion_spark.session import stage
+from opinion_spark.session import reach_workers, stage
 
 Batch = Callable[[pd.Series], pd.DataFrame]
 Factory = Callable[[], Batch]
@@ -63,7 +62,7 @@ def score(
         raise ValueError(f"unknown on_error {on_error!r}")
     name = model or (scorer if isinstance(scorer, str) else getattr(scorer, "__name__", "scorer"))
     factory = scorer_factory(scorer) if isinstance(scorer, str) else scorer
-    _reach_workers(df.sparkSession)
+    reach_workers(df.sparkSession)
     run = _scoring_udf(name, factory, on_error)
     prepared = prepare_text(df, text, "scored_text", max_chars, drop_blank, missing)
     return (
@@ -138,13 +137,3 @@ def _worker_model(name: str, factory: Factory) -> Batch:
             _loaded.popitem(last=False)
     _loaded.move_to_end(name)
     return _loaded[name]
-
-
-def _reach_workers(spark: SparkSession) -> None:
-    """Let local Python workers import this package; on a cluster it is installed or sent with --py-files."""
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        known = context.environment.get("PYTHONPATH", "")
-        if root not in known.split(os.pathsep):
-            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import warnings
@@ -31,6 +32,16 @@ def build_session(app: str = "opinion-spark", master: str | None = None, conf: d
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let local Python workers import this package; on a cluster it is installed or sent with --py-files."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        known = context.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
