@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinion_spark.llm import decontamination, html_text, jaccard, language_model, line_dedup, packing, pii, quality, sharding, token_counts
+from opinion_spark.session import reach_workers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +83,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_token_counts": op3_token_counts, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+def _reached(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose local Python workers can import this package."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reach_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _reached(query) for name, query in {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_token_counts": op3_token_counts, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}.items()}
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
