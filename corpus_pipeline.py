@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinion_spark.llm import decontamination, jaccard, packing, pii, quality
 from opinion_spark.llm.queries import tokenizer_path
-from opinion_spark.session import scratch_path
+from opinion_spark.session import reach_workers, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,6 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that all stages keep."""
+    reach_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
