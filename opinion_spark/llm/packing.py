@@ -31,7 +31,7 @@ BLOCK_PIECES = 1 << 16
 #: Pieces under this part of the capacity are placed last.
 SHORT_PART = 16
 #: Encoded words that a Python worker keeps in each of two generations, some 200 bytes each.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # Words that are surely one word, perhaps with signs behind it, for the tokenizer's
 # own splitting: letters with at most one accent, already composed.
