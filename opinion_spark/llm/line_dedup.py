@@ -1,10 +1,11 @@
-"""Repeated lines and sentences across documents, by digests of normalised units.
-
-A unit is a line, or a sentence of a line of several, so that a passage set
-into a longer paragraph is found as well. Units are normalised (lower case,
-letters and digits only, single blanks), digested to 128 bits, and grouped over
-all documents. The earliest occurrence by rank stays; the others are reported,
-and removed, by their offsets in the original text.
+"""Repeated lines, paragraphs and sentences across documents, by digests of normalised units.
+
+Units are lines and paragraphs of any length and, so that a passage set into a
+longer line is found as well, the longer sentences of a line of several. Units
+are normalised (lower case, letters and digits only, single blanks; one without
+letters and digits by its signs), digested to 128 bits, and grouped over all
+documents. The earliest occurrence by rank stays; the others are reported, and
+removed, by their offsets in the original text, a unit inside another with it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -25,7 +26,7 @@ from opinion_spark.llm.batches import map_blocks
 from opinion_spark.llm.wordhash import text_blocks
 from opinion_spark.session import stage
 
-#: Words below which a unit is too common a phrase to be a repetition.
+#: Words below which a part of a line is too common a phrase to be a repetition.
 MIN_WORDS = 8
 
 _WORD = re.compile(r"\w+")
@@ -45,20 +46,58 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = gap.end() if gap else end
 
 
+def _digest(normal: str) -> bytes:
+    return hashlib.blake2b(normal.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _nested_units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Units of every kind. A unit inside another is shorter by a word at least, so that none repeats itself."""
+    block: list[tuple[int, int, list[str]]] = []  # lines with words of the open paragraph
+    end = 0
+    for m in [*_LINES.finditer(text), None]:
+        line = m.group() if m else ""
+        blank = not line.strip()
+        if blank or m.start() > end + 1:
+            if len(block) > 1:
+                words = [w for *_, own in block for w in own]
+                yield block[0][0], block[-1][1], len(words), _digest(" ".join(words))
+            block = []
+        if m:
+            end = m.end()
+        if blank:
+            continue
+        words = _WORD.findall(line.lower())
+        yield m.start(), end, len(words), _digest(" ".join(words or line.split()))
+        if words:
+            block.append((m.start(), end, words))
+        if len(words) > min_words:
+            for s in _SENTENCES.finditer(line):
+                own = _WORD.findall(s.group().lower()) if s.end() - s.start() < len(line) else words
+                if min_words <= len(own) < len(words):
+                    yield m.start() + s.start(), m.start() + s.end(), len(own), _digest(" ".join(own))
+
+
 def units_of(text: str | None, unit: str = "sentence", min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """Start, end, words and digest of every unit of at least ``min_words`` words; offsets in code points, the end exclusive."""
+    """Start, end, words and digest of every unit; offsets in code points, the end exclusive.
+
+    Of one kind (``sentence``, ``line``, ``paragraph``) those of at least
+    ``min_words`` words; of ``any`` kind all lines, paragraphs of several lines,
+    and the sentences of at least ``min_words`` words within longer lines.
+    """
     if not text:
         return []
+    if unit == "any":
+        return list(_nested_units(text, min_words))
     places = paragraphs(text) if unit == "paragraph" else (m.span() for m in _UNITS[unit].finditer(text))
     out = []
     for start, end in places:
         words = _WORD.findall(text[start:end].lower())
         if len(words) >= min_words:
-            out.append((start, end, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()))
+            out.append((start, end, len(words), _digest(" ".join(words))))
     return out
 
 
-def find_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find_units(docs: DataFrame, unit: str = "any", min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The units of every row, written; ``row`` tells rows apart, whatever their ids.
 
     A row without units has one entry with null offsets, so that it is not lost.
@@ -95,16 +134,18 @@ def repeated_units(units: DataFrame) -> DataFrame:
     )
 
 
-def dedup_report(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_report(docs: DataFrame, unit: str = "any", min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: ``doc_id, n_units, n_removed, removed_words, removed, first_doc_ids``.
 
-    ``removed`` lists ``start:end`` of the units to take out, in order, and
-    ``first_doc_ids`` the documents whose earlier occurrences stay (a null id is
-    left out). A null, empty or short text has no units and loses nothing; of
-    repeated rows the later ones lose all units.
+    ``removed`` lists ``start:end`` of the units to take out, in order, those
+    inside another left out, and ``first_doc_ids`` the documents whose earlier
+    occurrences stay (a null id is left out). A null or blank text has no units
+    and loses nothing; of repeated rows the later ones lose all units.
     """
     units = find_units(docs, unit, min_words, text, key)
-    gone = repeated_units(units).groupBy("row").agg(
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = repeated_units(units).withColumn("taken", F.coalesce(F.max("end").over(before), F.lit(0))).filter("start >= taken")
+    gone = outer.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_removed"), F.sum("n_words").alias("removed_words"),
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
     )

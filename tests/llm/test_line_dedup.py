@@ -63,3 +63,22 @@ def test_units_keep_offsets_and_cover_lines():
     units = units_of(text)
     assert [text[a:b].strip() for a, b, *_ in units] == ["One two three four five six seven eight.", "Nine ten eleven twelve thirteen fourteen fifteen sixteen!"]
     assert units_of("ONE  two, three four\tfive six seven eight")[0][3] == units[0][3] and units_of(None) == [] and MIN_WORDS == 8
+
+
+def test_whole_lines_of_any_length_and_merged_spans(spark):
+    shouts = "A,!! SHHANT!! REAT.!! " * 20
+    rows = [
+        (1, f"{shouts}\nOk then.\n***\nunique to one\n\nShort one.\nAnd two."), (2, f"  {shouts}\nnew words\nOK, then\n***"), (3, shouts), (4, "short one and two"),
+        (5, "Short\none. And\ntwo.\n\n---"), (6, "One two three four five six seven eight. Nine ten."), (7, "One two three four five six seven eight. Nine ten."),
+        (8, "Before. One two three four five six seven eight. After"), (9, "alone\r\n\r\nlonely"), (10, "alone\nlonely\n \n"),
+    ]
+    docs = frame(spark, rows)
+    report = dedup_report(docs)
+    left = {r.doc_id: r.text for r in cut_spans(docs, report).collect()}
+    text = dict(rows)
+    assert {i: left[i] for i in (1, 6)} == {i: text[i] for i in (1, 6)}
+    assert left[2].split() == ["new", "words"] and left[3] == "" and left[4] == "" and left[5].split() == ["---"] and left[7] == ""
+    assert left[8] == "Before. After" and left[9] == text[9] and left[10].split() == []
+    found = {r.doc_id: r for r in report.collect()}
+    assert (found[7].n_removed, found[7].removed_words, found[7].removed) == (1, 10, f"0:{len(text[7])}")
+    assert found[3].n_removed == 1 and found[3].removed_words == 60 and found[5].removed_words == 4
