@@ -3,14 +3,14 @@
 The standard library's parser streams a page's events. Each block of text
 becomes a line with its characters and tags. The ratio of text to tags, smoothed
 over neighbouring lines by a Gaussian, splits the lines into content and the
-rest at one standard deviation. The innermost element around nearly all content
-is the page's text region, and its blocks are the text. Elements that by their
+rest at one standard deviation. The article, or else the innermost element around
+all content and the headings above it, is the page's text region, and its blocks
+are the text. Elements that by their
 tag, role, class or id hold no article text are left out from the start.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -33,6 +33,8 @@ INLINE = frozenset(
 # Between the words of a block, but no block of their own.
 SPACING = frozenset("br td th".split())
 ARTICLE = frozenset("article main".split())
+# Parts of a text rather than regions.
+TEXT_PARTS = frozenset("h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption details summary address p".split())
 NEVER_LEFT_OUT = frozenset("html body article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 BOILERPLATE_NAMES = frozenset(
@@ -42,8 +44,8 @@ BOILERPLATE_NAMES = frozenset(
     "respond reply replies pagination pager copyright login search paywall skip".split()
 )
 
-#: Lines to either side that smoothing looks at, the threshold in standard deviations, and the part of all content that the region holds.
-RADIUS, THRESHOLD, REGION_PART = 2, 1.0, 0.9
+#: Lines to either side that smoothing looks at, and the threshold in standard deviations.
+RADIUS, THRESHOLD = 2, 1.0
 
 _SPACE = re.compile(r"[\s\x00]+")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -56,7 +58,7 @@ class Line:
 
     parts: list[str] = field(default_factory=list)
     tags: int = 0
-    region: int = 0
+    region: int = -1
     heading: bool = False
     text: str = ""
 
@@ -84,13 +86,13 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         # Regions are elements that hold lines: parent and tag of each; 0 is the page.
         self.parents, self.region_tags = [-1], ["html"]
-        # Open elements: tag, left out, region, inside an article.
-        self._open: list[tuple[str, bool, int, bool]] = []
+        # Open elements: tag, left out, region, inside an article, inside a heading.
+        self._open: list[tuple[str, bool, int, bool, bool]] = []
         self._line = Line()
         self._tags = 0
 
-    def _top(self) -> tuple[str, bool, int, bool]:
-        return self._open[-1] if self._open else ("", False, 0, False)
+    def _top(self) -> tuple[str, bool, int, bool, bool]:
+        return self._open[-1] if self._open else ("", False, 0, False, False)
 
     def _break(self) -> None:
         line = self._line
@@ -122,13 +124,14 @@ class LineParser(HTMLParser):
         if tag not in INLINE and tag not in SPACING:
             self._break()
             self._close_paragraph(tag)
-        _, out, region, in_article = self._top()
+        _, out, region, in_article, heading = self._top()
         out = out or _left_out(tag, dict(attrs), in_article)
         if not out and tag not in INLINE and tag != "p" and tag not in SPACING:
             self.parents.append(region)
             self.region_tags.append(tag)
             region = len(self.parents) - 1
-        self._open.append((tag, out, region, in_article or tag in ARTICLE))
+        heading = heading or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        self._open.append((tag, out, region, in_article or tag in ARTICLE, heading))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -147,11 +150,10 @@ class LineParser(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        tag, out, region, _ = self._top()
+        _, out, region, _, heading = self._top()
         if not out:
-            if not self._line.parts:
-                self._line.region = region
-                self._line.heading = any(len(t[0]) == 2 and t[0][0] == "h" and t[0][1].isdigit() for t in self._open[-2:])
+            if data.strip() and self._line.region < 0:
+                self._line.region, self._line.heading = region, heading
             self._line.parts.append(data)
 
     def finish(self) -> list[Line]:
@@ -173,24 +175,33 @@ def content_lines(lines: Sequence[Line]) -> np.ndarray:
     return smoothed >= THRESHOLD * smoothed.std()
 
 
-def _region(lines: Sequence[Line], content: np.ndarray, parents: Sequence[int]) -> set[int]:
-    """The innermost element that holds ``REGION_PART`` of the content's characters, with all within it."""
-    held = [0] * len(parents)
-    for line, is_content in zip(lines, content, strict=True):
-        if is_content:
-            held[line.region] += len(line.text)
+def _path(region: int, parents: Sequence[int]) -> list[int]:
+    out = []
+    while region >= 0:
+        out.append(region)
+        region = parents[region]
+    return out[::-1]
+
+
+def _region(lines: Sequence[Line], held: Sequence[int], parents: Sequence[int], tags: Sequence[str]) -> int:
+    """The article (or else main) around all the ``held`` lines, or else the innermost region around them."""
+    parts_of = [0] * len(parents)
+    for i in held:
+        parts_of[lines[i].region] += 1
     for r in range(len(parents) - 1, 0, -1):  # children come after their parents
-        held[parents[r]] += held[r]
-    need = math.ceil(held[0] * REGION_PART)
+        parts_of[parents[r]] += parts_of[r]
     best = 0
     for r in range(1, len(parents)):
-        if parents[r] == best and held[r] >= need:
+        if parents[r] == best and parts_of[r] == len(held):
             best = r
-    inside = {best}
-    for r in range(best + 1, len(parents)):
-        if parents[r] in inside:
-            inside.add(r)
-    return inside
+    path = _path(best, parents)
+    for kind in ("article", "main"):
+        for r in path:
+            if tags[r] == kind:
+                return r
+    while tags[best] in TEXT_PARTS:
+        best = parents[best]
+    return best
 
 
 def extract_text(html: str | None) -> str:
@@ -203,16 +214,18 @@ def extract_text(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines(lines)
-    inside = _region(lines, content, parser.parents)
-    top = parser.region_tags[min(inside)]
+    first, last = int(content.argmax()), len(content) - 1 - int(content[::-1].argmax())
+    # The content lines and the headings above them, in the region and outside of it.
+    held = [i for i, line in enumerate(lines) if content[i] or line.heading and i < first]
+    top = _region(lines, held, parser.parents, parser.region_tags)
+    inside = {top}
+    for r in range(top + 1, len(parser.parents)):
+        if parser.parents[r] in inside:
+            inside.add(r)
     chosen = [i for i, line in enumerate(lines) if line.region in inside]
-    if top in ("html", "body") and any(content[i] for i in chosen):
+    if parser.region_tags[top] in ("html", "body"):
         # No element of its own: from the first to the last content line, with the headings above it.
-        first = min(i for i in chosen if content[i])
-        last = max(i for i in chosen if content[i])
-        while first - 1 in chosen and lines[first - 1].heading:
-            first -= 1
-        chosen = [i for i in chosen if first <= i <= last]
+        chosen = [i for i in chosen if held[0] <= i <= last]
     return "\n".join(lines[i].text for i in chosen)
 
 

@@ -56,6 +56,20 @@ def test_plain_text_and_long_pages():
     assert len(extract_text(f"<article>{many}</article>").split("\n")) == 5000
 
 
+LONG = ("long words of the body " * 60).strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h1>T</h1><p>lead</p><div class=body><p>{LONG}</p></div></article>", ["T", "lead", LONG]),
+    (f"<article><section><p>{LONG}</p></section><section><p>{ARTICLE[1]}</p></section></article>", [LONG, ARTICLE[1]]),
+    (f"<div id=w><h1>{'Title ' * 9}</h1><p>a</p><p>b</p></div>", [("Title " * 9).strip(), "a", "b"]),
+    (f"<body><h1>T</h1><div><p>lead</p><div class=body><p>{LONG}</p></div></div></body>", ["T", "lead", LONG]),
+    *[(f"<p>Some words before it</p><{tag}>{LONG}</{tag}><p>End of it</p>", ["Some words before it", LONG, "End of it"]) for tag in ("blockquote", "pre", "li", "td")],
+])
+def test_nothing_of_the_text_is_outside_the_region(page, want):
+    assert extract_text(page).split("\n") == want
+
+
 def test_smoothing_and_threshold():
     import numpy as np
 
