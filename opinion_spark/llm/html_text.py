@@ -5,8 +5,9 @@ becomes a line with its characters and tags. The ratio of text to tags, smoothed
 over neighbouring lines by a Gaussian, splits the lines into content and the
 rest at one standard deviation. The article, or else the innermost element around
 all content and the headings above it, is the page's text region, and its blocks
-are the text. Elements that by their
-tag, role, class or id hold no article text are left out from the start.
+are the text. Elements that by their tag hold no article text are left out from
+the start, those that by their role, class or id seem to hold none only if they
+have no article and no large part of the content.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from opinion_spark.llm.batches import map_blocks
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_TEXT = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea iframe object svg math canvas audio video dialog menu map".split()
+    "script style noscript template head title nav footer aside button select option textarea iframe object svg math canvas audio video dialog menu map".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -44,8 +45,8 @@ BOILERPLATE_NAMES = frozenset(
     "respond reply replies pagination pager copyright login search paywall skip".split()
 )
 
-#: Lines to either side that smoothing looks at, and the threshold in standard deviations.
-RADIUS, THRESHOLD = 2, 1.0
+#: Lines to either side that smoothing looks at, the threshold in standard deviations, and the part of all content from which on a name or form is no evidence.
+RADIUS, THRESHOLD, LARGE_PART = 2, 1.0, 0.5
 
 _SPACE = re.compile(r"[\s\x00]+")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -56,26 +57,42 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Line:
     """One block of text."""
 
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[int, str]] = field(default_factory=list)  # the innermost suspect around each, and its characters
     tags: int = 0
     region: int = -1
     heading: bool = False
     text: str = ""
 
 
+@dataclass
+class Suspect:
+    """An element that seems to hold no article text."""
+
+    parent: int
+    sure: bool  # a whole name says so
+    in_article: bool
+    holds_article: bool = False
+    chars: int = 0
+
+
 def _left_out(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     if tag in NEVER_LEFT_OUT:
         return False
-    if tag in NEVER_TEXT or tag == "header" and not in_article:
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
-        return True
-    if (attrs.get("role") or "").lower() in BOILERPLATE_ROLES:
-        return True
-    named_as = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return any(word.lower() in BOILERPLATE_NAMES for word in _NAMES.findall(named_as)) or "header" in named_as.lower().split() and not in_article
+    return tag in NEVER_TEXT or tag == "header" and not in_article or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style") or ""))
+
+
+def _suspect(tag: str, attrs: dict[str, str | None], in_article: bool) -> tuple[bool, bool]:
+    """Whether form, role, class or id speak against the element, and whether a whole name does."""
+    if tag in NEVER_LEFT_OUT:
+        return False, False
+    found = tag == "form" or (attrs.get("role") or "").lower() in BOILERPLATE_ROLES
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [word.lower() in BOILERPLATE_NAMES for word in _NAMES.findall(name)]
+        header = name.lower() == "header" and not in_article
+        if header or words and all(words):
+            return True, True
+        found = found or any(words)
+    return found, False
 
 
 class LineParser(HTMLParser):
@@ -86,17 +103,19 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         # Regions are elements that hold lines: parent and tag of each; 0 is the page.
         self.parents, self.region_tags = [-1], ["html"]
-        # Open elements: tag, left out, region, inside an article, inside a heading.
-        self._open: list[tuple[str, bool, int, bool, bool]] = []
+        self.suspects: list[Suspect] = []
+        self.article_text = False
+        # Open elements: tag, left out, region, inside an article, suspect, inside a heading.
+        self._open: list[tuple[str, bool, int, bool, int, bool]] = []
         self._line = Line()
         self._tags = 0
 
-    def _top(self) -> tuple[str, bool, int, bool, bool]:
-        return self._open[-1] if self._open else ("", False, 0, False, False)
+    def _top(self) -> tuple[str, bool, int, bool, int, bool]:
+        return self._open[-1] if self._open else ("", False, 0, False, -1, False)
 
     def _break(self) -> None:
         line = self._line
-        line.text = _SPACE.sub(" ", "".join(line.parts)).strip(" ")
+        line.text = _text(line.parts)
         if line.text:
             line.tags = self._tags
             self.lines.append(line)
@@ -116,7 +135,7 @@ class LineParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag in SPACING:
-            self._line.parts.append(" ")
+            self._line.parts.append((self._top()[4], " "))
         if tag in VOID:
             if tag == "hr":
                 self._break()
@@ -124,14 +143,20 @@ class LineParser(HTMLParser):
         if tag not in INLINE and tag not in SPACING:
             self._break()
             self._close_paragraph(tag)
-        _, out, region, in_article, heading = self._top()
-        out = out or _left_out(tag, dict(attrs), in_article)
+        _, out, region, in_article, suspect, heading = self._top()
+        named_as = dict(attrs)
+        out = out or _left_out(tag, named_as, in_article)
+        if not out and (named_as or tag == "form"):
+            suspected, sure = _suspect(tag, named_as, in_article)
+            if suspected:
+                self.suspects.append(Suspect(suspect, sure, in_article))
+                suspect = len(self.suspects) - 1
         if not out and tag not in INLINE and tag != "p" and tag not in SPACING:
             self.parents.append(region)
             self.region_tags.append(tag)
             region = len(self.parents) - 1
         heading = heading or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        self._open.append((tag, out, region, in_article or tag in ARTICLE, heading))
+        self._open.append((tag, out, region, in_article or tag in ARTICLE, suspect, heading))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,7 +166,7 @@ class LineParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
         if tag in SPACING:
-            self._line.parts.append(" ")
+            self._line.parts.append((self._top()[4], " "))
         elif tag not in INLINE:
             self._break()
         for at in range(len(self._open) - 1, -1, -1):
@@ -150,11 +175,18 @@ class LineParser(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        _, out, region, _, heading = self._top()
+        _, out, region, in_article, suspect, heading = self._top()
         if not out:
-            if data.strip() and self._line.region < 0:
-                self._line.region, self._line.heading = region, heading
-            self._line.parts.append(data)
+            if data.strip():
+                if self._line.region < 0:
+                    self._line.region, self._line.heading = region, heading
+                if in_article and not self.article_text:
+                    self.article_text = True
+                while in_article and suspect >= 0:
+                    around = self.suspects[suspect]
+                    around.holds_article = around.holds_article or not around.in_article
+                    suspect = around.parent
+            self._line.parts.append((self._top()[4], data))
 
     def finish(self) -> list[Line]:
         self.close()
@@ -175,6 +207,41 @@ def content_lines(lines: Sequence[Line]) -> np.ndarray:
     return smoothed >= THRESHOLD * smoothed.std()
 
 
+def _text(parts: Sequence[tuple[int, str]]) -> str:
+    return _SPACE.sub(" ", "".join(data for _, data in parts)).strip(" ")
+
+
+def without_suspects(lines: Sequence[Line], suspects: Sequence[Suspect], article_text: bool) -> list[Line]:
+    """Lines without the text of suspects that have no article and no large part of the content.
+
+    Beside an article with text a whole name is enough.
+    """
+    total = 0
+    for line, is_content in zip(lines, content_lines(lines), strict=True):
+        if is_content:
+            total += len(line.text)
+            for at, data in line.parts:
+                if at >= 0:
+                    suspects[at].chars += len(_SPACE.sub(" ", data))
+    for suspect in reversed(suspects):  # children come after their parents
+        if suspect.parent >= 0:
+            suspects[suspect.parent].chars += suspect.chars
+    gone: list[bool] = []
+    for s in suspects:
+        beside = s.sure and article_text and not s.in_article
+        gone.append(s.parent >= 0 and gone[s.parent] or not s.holds_article and (beside or s.chars < LARGE_PART * total))
+    out, tags = [], 0
+    for line in lines:
+        line.tags += tags
+        if any(at >= 0 and gone[at] for at, _ in line.parts):
+            line.parts = [(at, data) for at, data in line.parts if at < 0 or not gone[at]]
+            line.text = _text(line.parts)
+        tags = 0 if line.text else line.tags
+        if line.text:
+            out.append(line)
+    return out
+
+
 def _path(region: int, parents: Sequence[int]) -> list[int]:
     out = []
     while region >= 0:
@@ -211,6 +278,8 @@ def extract_text(html: str | None) -> str:
     parser = LineParser()
     parser.feed(html)
     lines = parser.finish()
+    if lines and parser.suspects:
+        lines = without_suspects(lines, parser.suspects, parser.article_text)
     if not lines:
         return ""
     content = content_lines(lines)

@@ -70,6 +70,17 @@ def test_nothing_of_the_text_is_outside_the_region(page, want):
     assert extract_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='no-comments'", "div id='search-results'", "div class='share-enabled'", "form id='aspnetForm'", "div role='form'", "div class='comments'"])
+@pytest.mark.parametrize("inner", [BODY, f"<article>{BODY}</article>", f"<article><div class='no-comments'>{BODY}</div></article>"])
+def test_names_and_forms_around_the_text(wrapper, inner):
+    tag = wrapper.split()[0]
+    assert extract_text(f"<body><{wrapper}><div class='ad'>Buy now</div>{inner}<div class='related'>Other story</div></{tag}></body>").split("\n") == ARTICLE
+
+
+def test_names_beside_a_short_article():
+    assert extract_text(f"<div class='ad'>{LONG}</div><article>word</article><form>{ARTICLE[0]}</form><div class='comments'>{LONG}</div>") == "word"
+
+
 def test_smoothing_and_threshold():
     import numpy as np
 
