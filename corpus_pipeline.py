@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies; documents without an id all stay."""
-    return jaccard.keep_one(docs)
+    """The document of the least id of each group of near copies, those without an id last; each row is a document."""
+    return jaccard.keep_one_row(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

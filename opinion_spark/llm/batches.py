@@ -6,15 +6,26 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.llm.wordhash import text_blocks
+from opinion_spark.session import stage
 
 #: Characters of text that are worked on at a time: bounds the memory of a task, whatever the batch.
 BLOCK_CHARS = 1 << 20
 
 
+#: The column of ``numbered_rows``.
+ROW = "_row_number"
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """``df`` with a number of its own for every row, whatever its ids; written, so that it stays the same in every reading."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+
+
 def map_blocks(
     df: DataFrame,
     run: Callable[[dict[str, list]], dict[str, list] | None],

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import map_blocks
+from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows
 from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words, text_blocks
 from opinion_spark.session import stage
 
@@ -256,14 +256,14 @@ def _put(out: dict[str, list], shard: int, key: tuple, kind: str, stretch: list[
         out[name].append(value)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document.
 
     A word inside any exact occurrence of an item's window is hit. Items without
     an id count in hits, not among the items. Texts without words, null ones
     among them, have no hits; an empty benchmark contaminates nothing.
     """
-    index = build_index(docs)
+    index = build_index(docs, key=key)
     hits = search(index, item_windows(items, window))
     # A document's stretches from left to right: each adds what the ones before it have not covered.
     before = Window.partitionBy("shard", "ordinal").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -279,8 +279,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, with all their columns. Rows of one key, or without, are judged together."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without a benchmark passage, with all their columns. Each row is judged by its own text, whatever its id."""
+    docs = numbered_rows(docs)
     # Written, so that its size is known and texts are not shuffled for a short list.
-    bad = stage(contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, named(key).cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stage(contamination(docs, items, window, ROW).filter("contaminated").select(F.col("doc_id").alias(ROW)), "contaminated")
+    return docs.join(bad, ROW, "left_anti").drop(ROW)

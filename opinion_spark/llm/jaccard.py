@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import map_blocks
+from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
 from opinion_spark.session import stage
@@ -346,3 +346,18 @@ def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, te
     matches = named(key).cast("bigint") == F.col("_id")
     one_each = docs.join(repeated, matches, "left_semi").dropDuplicates([key])
     return docs.join(gone.unionByName(repeated), matches, "left_anti").unionByName(one_each)
+
+
+def keep_one_row(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the least id, a null one last.
+
+    Rows are told apart by themselves and not by their ids. Rows without words all stay.
+    """
+    numbered = numbered_rows(docs)
+    found = jaccard_components(numbered, n, percent, text, ROW).filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
+    found = stage(found.join(numbered.select(ROW, named(key).cast("bigint").alias("_id")), ROW), "components")
+    rank = F.struct(F.col("_id").isNull().alias("no_id"), "_id", ROW)
+    firsts = found.groupBy("component_id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Written, so that its size is known and texts are not shuffled for a short list.
+    gone = stage(found.join(firsts, "component_id").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW), "copies")
+    return numbered.join(gone, ROW, "left_anti").drop(ROW)

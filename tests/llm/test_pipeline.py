@@ -58,6 +58,20 @@ def test_stages_equal_plain_rules(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {i for i, _ in seen[3]}
 
 
+def test_rows_are_told_apart_whatever_their_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, f"{a} more"), (None, b), (5, c), (5, d), (6, b), (None, f"{c} end"), (7, None), (None, "")]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 6
+    assert {(5, c), (5, d), (6, b), (7, None), (None, "")} < set(got) and [t[:2] for i, t in got if i is None and t] == ["a0"]
+    spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(20))), (2, d)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted((r for r in rows if r[1] != d and not (r[1] or "").startswith("a0")), key=repr)
+
+
 def test_empty_documents(spark, tmp_path):
     frame(spark, edge_documents()).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
