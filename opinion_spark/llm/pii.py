@@ -102,8 +102,9 @@ def base_spans(text: str | None) -> list[Span]:
 class Recognizer:
     """A further kind: its pattern, checksum, context words and scores.
 
-    ``confirm`` set: a span that fails it is dropped. ``group``: the part of the
-    match that is the span.
+    ``confirm`` set: a span that fails it is dropped. ``by_groups``: not before
+    it has failed at the end of each of its groups, too, longest first.
+    ``group``: the part of the match that is the span.
     """
 
     kind: str
@@ -112,6 +113,7 @@ class Recognizer:
     context: tuple[str, ...] = ()
     confirm: Callable[[str], bool] | None = None
     group: int = 0
+    by_groups: bool = False
     hint: str = ""  # a text without it (any case) has no match: spares the search
 
 
@@ -129,14 +131,32 @@ def _ssn(span: str) -> bool:
 CONFIRMED, NEARBY, CONTEXT_CHARS, THRESHOLD = 0.5, 0.35, 60, 0.6
 
 DEFAULT_RECOGNIZERS = (
-    Recognizer("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])", 0.3, ("iban", "account", "bank", "konto", "compte", "cuenta"), _iban),
+    Recognizer("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])", 0.3, ("iban", "account", "bank", "konto", "compte", "cuenta"), _iban, by_groups=True),
     Recognizer("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.05, ("ssn", "social security", "social", "security number", "tax id"), _ssn),
     Recognizer("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", 0.7, ("key", "aws", "access"), hint="ia"),
-    Recognizer("secret", r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+.-]{8,128})", 0.7, group=1),
+    Recognizer("secret", r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+.-]{8,})", 0.7, group=1),
     Recognizer("national_phone", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])", 0.3, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
 )
 
 
+def _confirmed(r: Recognizer, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the pattern that hold."""
+    pattern, at = re.compile(r.pattern), 0
+    while m := pattern.search(text, at):
+        start, end = m.span(r.group)
+        at = max(m.end(), at + 1)
+        if r.confirm is None or r.confirm(text[start:end]):
+            yield start, end
+        elif r.by_groups:
+            # What follows the span, or begins inside of it, may be one of its own.
+            at = m.start() + 1
+            for k in range(end - 1, start, -1):
+                if text[k] in " -" and r.confirm(text[start:k]):
+                    yield start, k
+                    at = k
+                    break
+
+
 def scored_spans(text: str | None, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """All spans with scores, by start and then kind: the base ones (score 1) and further ones that reach ``threshold``.
 
@@ -149,13 +169,8 @@ def scored_spans(text: str | None, recognizers: Sequence[Recognizer] = DEFAULT_R
         for r in recognizers:
             if r.hint and r.hint not in text and r.hint.upper() not in text:
                 continue
-            for m in re.finditer(r.pattern, text):
-                start, end = m.span(r.group)
-                score = r.prior
-                if r.confirm is not None:
-                    if not r.confirm(text[start:end]):
-                        continue
-                    score += CONFIRMED
+            for start, end in _confirmed(r, text):
+                score = r.prior + (CONFIRMED if r.confirm is not None else 0)
                 if r.context:
                     around = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
                     if any(re.search(rf"(?<!\w){re.escape(word)}(?!\w)", around) for word in r.context):

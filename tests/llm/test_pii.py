@@ -50,6 +50,15 @@ def test_checksums_confirm_and_context_raises():
     assert [k for *_, k, _ in pii.scored_spans("tel 030 1234 5678")] == ["national_phone"] and pii.scored_spans("rows 030 1234 5678") == []
 
 
+def test_ibans_before_other_words_and_long_secrets(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "GB82-WEST-1234-5698-7654-32"]
+    texts = [f"IBAN {ibans[0]} EUR 50", f"{ibans[1]} 5 Oct", f"{ibans[2]} BIC NWBKGB2L", f"{ibans[2]} {ibans[0]} {ibans[3]} X", f"AB12 3456 7890 1234 {ibans[2]}"]
+    found = [[t[a:b] for a, b, kind, _ in pii.scored_spans(t) if kind == "iban"] for t in texts]
+    assert found == [[ibans[0]], [ibans[1]], [ibans[2]], [ibans[2], ibans[0], ibans[3]], [ibans[2]]]
+    docs = spark.createDataFrame([(1, f"token={'aB3._-/+' * 100} end"), (2, texts[0])], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in pii.mask_pii(docs).collect()} == {1: "token=<secret> end", 2: "IBAN <iban> EUR 50"}
+
+
 def test_long_runs_are_fast():
     for text in ("a" * 300_000, "1" * 300_000, "+1" * 100_000, "1." * 100_000, "a@" * 100_000, "1 " * 100_000, "A1" * 100_000):
         pii.scored_spans(text)
