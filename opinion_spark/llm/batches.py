@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opinion_spark.llm.wordhash import text_blocks
 from opinion_spark.session import stage
 
 #: Characters of text that are worked on at a time: bounds the memory of a task, whatever the batch.
@@ -26,6 +27,17 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     return stage(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
 
 
+def row_slices(batch: pa.RecordBatch, text: str | int, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``limit`` bytes of ``text``, without a copy: a caller makes Python objects of one at a time."""
+    place = text if isinstance(text, int) else batch.schema.get_field_index(text)
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0), dtype=np.int64) + 64)
+    start = 0
+    while start < len(upto):
+        end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit)) + 1
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_blocks(
     df: DataFrame,
     run: Callable[[dict[str, list]], dict[str, list] | None],
@@ -43,11 +55,8 @@ def map_blocks(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for part in text_blocks(texts, block_chars):
-                rows = batch.slice(part.start, part.stop - part.start)
-                columns = {n: texts[part] if n == text else rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names)}
-                made = run(columns)
+            for rows in row_slices(batch, text, block_chars):
+                made = run({n: rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names)})
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
 
@@ -64,10 +73,8 @@ def edit_rows(df: DataFrame, edit: Callable[[list], tuple[list | None, list[bool
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index(text)
-            texts = batch.column(place).to_pylist()
-            for part in text_blocks(texts, block_chars):
-                rows = batch.slice(part.start, part.stop - part.start)
-                new, stay = edit(texts[part])
+            for rows in row_slices(batch, place, block_chars):
+                new, stay = edit(rows.column(place).to_pylist())
                 if new is not None:
                     kind = batch.schema.field(place).type
                     rows = rows.set_column(place, batch.schema.field(place), pa.array(new, type=kind))

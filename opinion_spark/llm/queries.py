@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontamination, html_text, jaccard, language_model, line_dedup, packing, pii, quality, sharding, token_counts
+from opinion_spark.llm import decontamination, fim, html_text, jaccard, language_model, line_dedup, packing, pii, quality, sharding, token_counts
 from opinion_spark.session import reach_workers
 
 
@@ -83,6 +83,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(_table(spark, sf_dir, "documents"), unit="line", digests=True)
+
+
 def _reached(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query whose local Python workers can import this package."""
     @wraps(query)
@@ -93,7 +97,11 @@ def _reached(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {name: _reached(query) for name, query in {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_token_counts": op3_token_counts, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_scores": op6_scores, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_sharding": op10_sharding}.items()}
+QUERIES = {query.__name__: _reached(query) for query in (
+    op1_packing, op2_line_dedup, op3_token_counts, op4_jaccard, op5_html, op6_scores, op7_decontamination, op8_pii, op9_quality, op10_sharding,
+    op13_fim,
+)}
+
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
@@ -145,4 +153,18 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id""",
+    "op13_fim": """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),
+c AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(units[1:least(x, y)], '') AS prefix, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(units[greatest(x, y) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
 }
