@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontamination, fim, html_text, jaccard, language_model, line_dedup, packing, pii, quality, sharding, token_counts
+from opinion_spark.llm import decontamination, fim, html_text, jaccard, language_model, lexical_search, line_dedup, packing, pii, quality, sharding, token_counts
 from opinion_spark.session import reach_workers
 
 
@@ -83,6 +83,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(_table(spark, sf_dir, "documents"), unit="line", digests=True)
 
@@ -99,13 +103,15 @@ def _reached(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {query.__name__: _reached(query) for query in (
     op1_packing, op2_line_dedup, op3_token_counts, op4_jaccard, op5_html, op6_scores, op7_decontamination, op8_pii, op9_quality, op10_sharding,
-    op13_fim,
+    op12_search, op13_fim,
 )}
 
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
 
+_WORDS_12 = r"coalesce(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
 ORACLE: dict[str, str] = {
     "op4_jaccard": f"""
 WITH RECURSIVE d AS MATERIALIZED (
@@ -153,6 +159,18 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id""",
+    "op12_search": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS_12.format(text="text")} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+f AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s GROUP BY term, docs),
+m AS (SELECT doc_id, 25 + (75 * len(w) * docs) // words AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS_12.format(text="text")}) AS term FROM benchmark) GROUP BY ALL),
+c AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY rank <= 10""",
     "op13_fim": """
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),

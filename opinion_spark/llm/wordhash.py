@@ -58,9 +58,9 @@ class Words:
         return self.hashes[self.starts[i]:self.starts[i + 1]]
 
 
-def hash_words(texts: Sequence[str | None], word_bytes: np.ndarray = SPACED, lower: bool = True) -> Words:
-    """The words of each text; a null text has none. ``lower``: A-Z as a-z."""
-    encoded = [(t or "").encode("utf-8", "replace") for t in texts]
+def hash_words(texts: Sequence[str | bytes | None], word_bytes: np.ndarray = SPACED, lower: bool = True) -> Words:
+    """The words of each text, as string or UTF-8 bytes; a null text has none. ``lower``: A-Z as a-z."""
+    encoded = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
     places = np.zeros(len(encoded) + 1, dtype=np.int64)
     np.cumsum([len(b) + 1 for b in encoded], out=places[1:])
     raw = b"\n".join(encoded) + b"\n" * 9  # room to load eight bytes anywhere
