@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontamination, fim, html_text, jaccard, language_model, lexical_search, line_dedup, packing, pii, quality, sharding, token_counts
+from opinion_spark.llm import decontamination, fim, html_text, jaccard, language_model, lexical_search, line_dedup, minhash, packing, pii, quality, sharding, token_counts
 from opinion_spark.session import reach_workers
 
 
@@ -83,6 +83,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -103,7 +107,7 @@ def _reached(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {query.__name__: _reached(query) for query in (
     op1_packing, op2_line_dedup, op3_token_counts, op4_jaccard, op5_html, op6_scores, op7_decontamination, op8_pii, op9_quality, op10_sharding,
-    op12_search, op13_fim,
+    op11_minhash, op12_search, op13_fim,
 )}
 
 _WORDS_7 = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -112,19 +116,28 @@ _WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
 
 _WORDS_12 = r"coalesce(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
-ORACLE: dict[str, str] = {
-    "op4_jaccard": f"""
+
+
+def _components(n: int) -> str:
+    """Components of documents by the Jaccard similarity of their ``n``-word shingles, as the table ``found``."""
+    return f"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS gram
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS k FROM d WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + least({n}, len(w)) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n}, 0) + 2)) AS k FROM d WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
 l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
-r(doc_id, seen) AS (SELECT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+r(doc_id, seen) AS (SELECT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+found AS (
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+  FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id)"""
+
+
+ORACLE: dict[str, str] = {
+    "op4_jaccard": _components(5) + """
+SELECT doc_id, n_shingles, component_id FROM found""",
     "op9_quality": f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="text")} AS w,
@@ -159,6 +172,8 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id""",
+    "op11_minhash": _components(4) + """
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM found""",
     "op12_search": f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS_12.format(text="text")} AS w FROM documents),
 s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
