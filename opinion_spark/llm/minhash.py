@@ -4,13 +4,16 @@
    equal sets are one set from here on.
 2. Sets that agree in a whole band of the signature share a bucket. The leader of
    a bucket is the set that meets most others over all its buckets, usually what
-   the others were copied from; each member is a candidate with its leader.
-3. Signatures of candidates are compared in batches of hashes. After each batch
-   a pair goes if, given its matches so far, the posterior probability of the
-   wanted similarity is below the chosen miss probability.
-4. What is left is verified on the full shingle sets, and links are merged.
-5. Buckets whose sets are not all connected by then are looked at once more:
-   pairs of sets from different components are compared and verified alike.
+   the others were copied from; all members of its buckets make its group, so
+   that whatever shares a bucket meets in a group. Large groups go in chunks.
+3. In a group, signatures are compared in batches of hashes. After each batch a
+   pair goes if, given its matches so far, the posterior probability of the
+   wanted similarity is below the chosen miss probability. Sets without any
+   likely partner leave the group.
+4. The rest bring their texts, and likely pairs are verified on the full shingle
+   sets, but for sets that verified links connect already.
+5. Sets of a large group that its chunks leave apart from the leader meet the
+   other chunks in the same way.
 
 A pair at the wanted similarity is missed with probability ``MISS`` at most in
 the bands and again in the comparison, links are exact.
@@ -41,8 +44,9 @@ PERCENT = 80
 MISS = 1e-8
 #: Hashes of a signature, of which one byte each is kept, and hashes compared at a time.
 HASHES, BATCH = 256, 32
-#: Sets that one task compares with each other, or with one leader.
+#: Sets that one task compares with each other, and shingles of them all.
 GROUP_SETS = 1024
+GROUP_SHINGLES = 1 << 21
 
 SET_SCHEMA = "row bigint, doc_id bigint, n_shingles bigint, high bigint, low bigint, signature binary, bands array<bigint>, text binary"
 
@@ -156,124 +160,158 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8, offset=start, count=len(column) * HASHES).reshape(len(column), HASHES)
 
 
-def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the given pairs of sets that the comparison of their signatures leaves."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups of rows, sorted by their first ``keys`` columns, one at a time, wherever batches end."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in range(keys)])
+        cuts = [0, *(np.flatnonzero((found[:, 1:] != found[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            group = tuple(found[:, start].tolist())
+            if group != last and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = group
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class Group:
+    """Sets of one task: their chunks, known components, sizes and signatures."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int, least: np.ndarray):
+        self.low, self.high = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        self.chunk, self.node, label, self.size = (np.asarray(rows.column(c)) for c in (3, 4, 5, 6))
+        self.label = label.copy()
+        self.signature = _signatures(rows.column(7))
+        self.percent, self.least = percent, least
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each set with those after it (or in the other chunk) that are in other components and may be similar.
+
+        A caller that changes ``label`` meanwhile is not given what it has connected.
+        """
+        first = np.flatnonzero(self.chunk == self.low)
+        other = np.flatnonzero(self.chunk == self.high)
+        for at, i in enumerate(first.tolist()):
+            others = first[at + 1:] if self.low == self.high else other
+            others = others[self.label[others] != self.label[i]]
+            size = self.size[others]
+            others = others[100 * np.minimum(size, self.size[i]) >= self.percent * np.maximum(size, self.size[i])]
+            if len(others):
+                others = others[still_possible(self.signature[i:i + 1], self.signature[others], self.least)]
+            if len(others):
+                yield i, others
+
+
+def _with_likely_partners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of each group that the comparison of signatures leaves a partner there; written."""
     least = least_matches(percent)
+    schema = "leader bigint, low int, high int, chunk int, node bigint, label bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.select([0, 1]).take(pa.array(still_possible(_signatures(batch.column(2)), _signatures(batch.column(3)), least)))
+        for rows in _groups(batches, 3):
+            partner = np.zeros(rows.num_rows, dtype=bool)
+            for i, others in Group(rows, percent, least).likely():
+                partner[i] = partner[others] = True
+            if partner.any():
+                yield rows.select(range(6)).filter(pa.array(partner))
 
-    signed = sets.select("row", "signature")
-    joined = pairs.join(signed.toDF("a", "left"), "a").join(signed.toDF("b", "right"), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(work, "a bigint, b bigint")
+    signed = rows.join(sets.select(F.col("row").alias("node"), "n_shingles", "signature"), "node")
+    signed = signed.select("leader", "low", "high", "chunk", "node", "label", "n_shingles", "signature")
+    return stage(signed.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high").mapInArrow(work, schema), "likely-sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, n: int, percent: int, group_sets: int) -> DataFrame:
-    """``a, b``: the pairs whose full sets are similar enough; written.
+def group_links(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: exact links that connect whatever is connected within each group; written.
 
-    The partners of one ``a`` are dealt out to groups of about ``group_sets``,
-    with ``a`` in front of each; a task reads a group row by row.
+    ``rows``: ``leader, low, high, chunk, node, label`` with a group for each
+    ``leader, low, high``. Only sets with a likely partner bring their texts.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group_sets).cast("int").alias("groups"))
-    partners = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("part"), F.lit(1).alias("place"), "b")
-    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("place"), F.col("a").alias("b"))
-    rows = heads.unionByName(partners).join(sets.select(F.col("row").alias("b"), "text"), "b").select("a", "part", "place", "b", "text")
+    least = least_matches(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, of = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
-            for part in row_slices(batch, 4, BLOCK_CHARS):
-                found: list[tuple[int, int]] = []
-                own = shingle_sets(hash_words(part.column(4).to_pylist(), SPACED), n)
-                for a, place, b, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), own, strict=True):
-                    if place == 0:
-                        head, of = a, s
-                        continue
-                    if a != head:
-                        raise RuntimeError("a group of sets has lost its first row")
-                    both = int((of[np.minimum(np.searchsorted(of, s), len(of) - 1)] == s).sum())
-                    if 100 * both >= percent * (len(s) + len(of) - both):
-                        found.append((a, b))
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
-
-    return stage(rows.repartition("a", "part").sortWithinPartitions("a", "part", "place").mapInArrow(work, "a bigint, b bigint"), "links")
-
-
-def shared_buckets(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``bucket, size, node, degree``: the buckets of several sets, a row per set; written.
-
-    ``degree``: how many sets a set meets, summed over its buckets.
+        for rows in _groups(batches, 3):
+            own: list[np.ndarray] = []
+            for part in row_slices(rows, 8, BLOCK_CHARS):
+                own += shingle_sets(hash_words(part.column(8).to_pylist(), SPACED), n)
+            group = Group(rows, percent, least)
+            # All sets end to end, shingles as small numbers.
+            shingle = np.unique(np.concatenate(own), return_inverse=True)[1]
+            begin = np.cumsum(group.size) - group.size
+            mine = np.zeros(int(shingle.max()) + 1, dtype=bool)
+            links: list[tuple[int, int]] = []
+            for i, others in group.likely():
+                held = shingle[begin[i]:begin[i] + group.size[i]]
+                mine[held] = True
+                ends = np.cumsum(group.size[others])
+                at = np.arange(ends[-1]) + np.repeat(begin[others] - (ends - group.size[others]), group.size[others])
+                both = np.add.reduceat(mine[shingle[at]].astype(np.int64), ends - group.size[others])
+                mine[held] = False
+                linked = others[100 * both >= percent * (group.size[others] + group.size[i] - both)]
+                for label in np.unique(group.label[linked]).tolist():
+                    # One link for each component that this set joins.
+                    links.append((int(group.node[i]), int(group.node[linked[group.label[linked] == label][0]])))
+                if len(linked):
+                    merged = np.append(group.label[linked], group.label[i])
+                    group.label[np.isin(group.label, merged)] = merged.min()
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    likely = _with_likely_partners(rows, sets, percent)
+    full = likely.join(sets.select(F.col("row").alias("node"), "n_shingles", "signature", "text"), "node")
+    full = full.select("leader", "low", "high", "chunk", "node", "label", "n_shingles", "signature", "text")
+    return stage(full.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high").mapInArrow(work, "a bigint, b bigint"), "links")
+
+
+def set_classes(sets: DataFrame) -> DataFrame:
+    """``high, low, n_shingles, node, first, rows``: a row for each distinct set, with the number of one of its rows and its least id; written."""
+    counted = sets.filter("n_shingles > 0").groupBy("high", "low", "n_shingles")
+    return stage(counted.agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "set-classes")
+
+
+def star_members(sets: DataFrame, classes: DataFrame, group_sets: int) -> DataFrame:
+    """``leader, chunks, chunk, node``: the sets that meet each leader in a bucket, and the leader in every chunk; written.
+
+    Two sets that share a bucket are both under its leader. Chunks have about
+    ``group_sets`` sets, and fewer where the sets are very large.
     """
-    single = sets.filter("n_shingles > 0").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    repeated = stage(classes.filter("rows > 1").select("high", "low", "n_shingles", "node"), "repeated-sets")
+    # Written, so that its size is known and the bands of all sets are not shuffled for a short list.
+    copies = stage(sets.filter("n_shingles > 0").select("row", "high", "low", "n_shingles").join(repeated, ["high", "low", "n_shingles"]).filter("row <> node").select("row"), "copies")
+    single = sets.filter("n_shingles > 0").select("row", "bands").join(copies, "row", "left_anti")
     postings = single.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
     sizes = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stage(postings.join(sizes, "bucket"), "shared-buckets")
+    # The degree of a set: how many sets it meets, summed over its buckets.
     degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    return stage(shared.join(degrees, "node").select("bucket", "size", "node", "degree"), "bucket-sets")
-
-
-def _leaders(buckets: DataFrame) -> DataFrame:
     best = F.max(F.struct("degree", (-F.col("node")).alias("node")))
-    return buckets.groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.node")).alias("leader"))
-
-
-def apart_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, group_sets: int) -> DataFrame:
-    """``a, b``: likely pairs of sets that share a bucket, are in different components and are not with the bucket's leader.
-
-    A bucket of more than ``group_sets`` sets is dealt out in chunks, which meet
-    in pairs, so that no task holds more than two of them.
-    """
-    least = least_matches(percent)
-    labelled = buckets.filter("size > 2").join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("label"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    rows = labelled.join(open_, "bucket").join(_leaders(buckets), "bucket").filter("node <> leader").drop("leader")
-    chunks = F.ceil(F.col("size") / group_sets).cast("int")
-    dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "label")
-    signed = met.join(sets.select(F.col("row").alias("node"), "signature"), "node").select("bucket", "low", "high", "chunk", "node", "label", "signature")
-
-    def group_pairs(low: int, high: int, chunk: np.ndarray, node: np.ndarray, label: np.ndarray, signature: np.ndarray) -> Iterator[np.ndarray]:
-        first = np.flatnonzero(chunk == low)
-        for at, i in enumerate(first.tolist()):
-            others = first[at + 1:] if low == high else np.flatnonzero(chunk == high)
-            others = others[label[others] != label[i]]
-            likely = others[still_possible(signature[i:i + 1], signature[others], least)] if len(others) else others
-            if len(likely):
-                yield np.stack([np.minimum(node[i], node[likely]), np.maximum(node[i], node[likely])])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the group that the next batch may go on with
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held.clear()
-                found = list(group_pairs(group.column(1)[0].as_py(), group.column(2)[0].as_py(), *(np.asarray(group.column(c)) for c in (3, 4, 5)), _signatures(group.column(6))))
-                if found:
-                    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                group = tuple(keys[:, start].tolist())
-                if group != last:
-                    yield from close()
-                    last = group
-                held.append(batch.slice(start, end - start))
-        yield from close()
-
-    ordered = signed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return ordered.mapInArrow(work, "a bigint, b bigint").distinct()
+    leaders = shared.join(degrees, "node").groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.node")).alias("leader"))
+    stars = stage(shared.join(leaders, "bucket").select("leader", "node").distinct(), "stars")
+    weighed = stars.join(sets.select(F.col("row").alias("node"), "n_shingles"), "node")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / group_sets), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int")
+    dealt = stars.filter("leader <> node").join(weighed.groupBy("leader").agg(chunks.alias("chunks")), "leader")
+    dealt = dealt.select("leader", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node")
+    heads = dealt.select("leader", "chunks", "chunk").distinct().withColumn("node", F.col("leader"))
+    return stage(heads.unionByName(dealt), "star-members")
+
+
+def chunk_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``group_links`` for every two chunks of the leaders that have several, where anything is still apart from the leader."""
+    known = members.filter("chunks > 1 and node <> leader").join(labels, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("label"))
+    leaders = members.filter("chunks > 1").select("leader", "chunks").distinct().join(labels, F.col("leader") == F.col("node"), "left").select(
+        "leader", F.coalesce("component", "leader").alias("own"))
+    marked = known.join(leaders, "leader").withColumn("apart", F.col("label") != F.col("own"))
+    wanted = marked.groupBy("leader", "chunk").agg(F.max("apart").alias("any_apart"))
+    other = wanted.select("leader", F.col("chunk").alias("other"), "any_apart")
+    # Sets connected with the leader go only where some are not.
+    sent = marked.join(other, "leader").filter("chunk <> other and (apart or any_apart)")
+    return sent.select("leader", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "label")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id", group_sets: int = GROUP_SETS) -> DataFrame:
@@ -288,14 +326,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
     """
     sets = signed_sets(docs, n, percent, text, key)
     full = sets.filter("n_shingles > 0")
-    classes = stage(full.groupBy("high", "low", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "set-classes")
-    buckets = shared_buckets(sets, classes)
-    stars = buckets.join(_leaders(buckets), "bucket").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(stage(likely_pairs(stars, sets, percent), "likely-pairs"), sets, n, percent, group_sets)
+    classes = set_classes(sets)
+    members = star_members(sets, classes, group_sets)
+    chunk = F.col("chunk")
+    links = group_links(members.select("leader", chunk.alias("low"), chunk.alias("high"), "chunk", "node", F.col("node").alias("label")), sets, n, percent)
     labels = connected_components(links)
-    apart = stage(apart_pairs(buckets, labels, sets, percent, group_sets), "apart-pairs")
-    if not apart.isEmpty():
-        labels = connected_components(links.unionByName(confirmed(apart, sets, n, percent, group_sets)))
+    if not members.filter("chunks > 1").isEmpty():
+        links = links.unionByName(group_links(stage(chunk_pairs(members, labels), "chunk-pairs"), sets, n, percent))
+        labels = connected_components(links)
     merged = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = merged.groupBy("component").agg(F.min("first").alias("component_id"))
     named_classes = merged.join(least, "component").select("high", "low", "n_shingles", "component_id")
