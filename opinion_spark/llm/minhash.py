@@ -221,7 +221,8 @@ def _with_likely_partners(rows: DataFrame, sets: DataFrame, percent: int) -> Dat
             if partner.any():
                 yield rows.select(range(6)).filter(pa.array(partner))
 
-    signed = rows.join(sets.select(F.col("row").alias("node"), "n_shingles", "signature"), "node")
+    # The list of rows grows with the input: it is hashed where both sides are dealt by row, and never sent whole.
+    signed = rows.hint("shuffle_hash").join(sets.select(F.col("row").alias("node"), "n_shingles", "signature"), "node")
     signed = signed.select("leader", "low", "high", "chunk", "node", "label", "n_shingles", "signature")
     return stage(signed.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high").mapInArrow(work, schema), "likely-sets")
 
@@ -264,7 +265,7 @@ def group_links(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
     likely = _with_likely_partners(rows, sets, percent)
-    full = likely.join(sets.select(F.col("row").alias("node"), "n_shingles", "signature", "text"), "node")
+    full = likely.hint("shuffle_hash").join(sets.select(F.col("row").alias("node"), "n_shingles", "signature", "text"), "node")
     full = full.select("leader", "low", "high", "chunk", "node", "label", "n_shingles", "signature", "text")
     return stage(full.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high").mapInArrow(work, "a bigint, b bigint"), "links")
 

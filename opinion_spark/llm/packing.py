@@ -13,25 +13,30 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import map_blocks
+from opinion_spark.llm.batches import BLOCK_CHARS, row_slices
+from opinion_spark.llm.wordhash import BLANKS, hash_words
 from opinion_spark.session import stage
 
 CAPACITY = 2048
+PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces that one task packs. A block leaves a few sequences open at its end, so larger blocks waste less.
 BLOCK_PIECES = 1 << 16
 #: Pieces under this part of the capacity are placed last.
 SHORT_PART = 16
-#: Encoded words that a Python worker keeps in each of two generations, some 200 bytes each.
-CACHED_WORDS = 200_000
+#: Encoded words that a Python worker keeps, some 60 bytes each; beyond that the half met last stays.
+CACHED_WORDS = 1 << 20
 
 # Words that are surely one word, perhaps with signs behind it, for the tokenizer's
 # own splitting: letters with at most one accent, already composed.
@@ -39,11 +44,12 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?*$%&#|]*)\Z")
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit numbers, each distinct word encoded once.
+    """Token ids of texts, each distinct word encoded once.
 
     Exact for tokenizers that never join characters across a blank and drop
     blanks, and whose last token of a word bears a mark of its own (``</w>``).
     A text that names a special token goes through the tokenizer as a whole.
+    Words are told apart by 64-bit hashes, and kept with their ids in flat arrays.
     """
 
     def __init__(self, path: str):
@@ -52,56 +58,93 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         vocab = self._tokenizer.get_vocab(with_added_tokens=True)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {"": b""}
-        self._before: dict[str, bytes] = {}  # the generation before: words met again move up, the others go with it
-
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
-
-    def _learn(self, words: Sequence[str]) -> None:
-        plain: list[str] = []
-        parts: list[int] = []  # words that the tokenizer sees in each
-        other: list[str] = []
-        for word in words:
-            found = _PLAIN.match(word)
-            if found:
-                plain.append(word)
-                parts.append(2 if found.group(1) else 1)
-            else:
-                other.append(word)
-        if plain:
-            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+        # Sorted hashes; where in the pool each word's ids begin, how many, and when it was met last.
+        self._hashes = np.empty(0, dtype=np.uint64)
+        self._begin, self._size, self._met = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self._pool = np.empty(0, dtype="<u4")
+        self._calls = 0
+
+    def _whole(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _encode_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, and where each word's begin and how many they are."""
+        found = [_PLAIN.match(word) for word in words]
+        plain = np.array([f is not None for f in found], dtype=bool)
+        ids, begin, size = np.empty(0, dtype="<u4"), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        if plain.any():
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join([f.string for f in found if f])], add_special_tokens=False)[0].ids, dtype="<u4")
             last = np.flatnonzero(self._ends[ids]) + 1
-            if len(last) == sum(parts):
-                cuts = last[np.cumsum(parts) - 1].tolist()
-                raw, start = ids.tobytes(), 0
-                for word, cut in zip(plain, cuts, strict=True):
-                    self._known[word] = raw[4 * start:4 * cut]
-                    start = cut
+            parts = np.cumsum([2 if f.group(1) else 1 for f in found if f])  # words that the tokenizer sees
+            if len(last) == parts[-1]:
+                cuts = last[parts - 1]
+                size[plain] = np.diff(cuts, prepend=0)
+                begin[plain] = cuts - size[plain]
             else:
-                other += plain
-        self._known.update(zip(other, self._whole(other), strict=True))
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        rows = [[] if not t or any(s in t for s in self._special) else t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        seen.update(*rows)
-        missing = seen.difference(self._known)
-        if len(self._known) + len(missing) > CACHED_WORDS:
-            self._known, self._before = {"": b""}, self._known
-            missing = seen.difference(self._known)
-        again = missing.intersection(self._before)
-        self._known.update((w, self._before[w]) for w in again)
-        self._learn(list(missing - again))
-        known = self._known
-        out = [b"".join([known[w] for w in row]) for row in rows]
-        for i, t in enumerate(texts):
-            if t and not rows[i]:
-                out[i] = self._whole([t])[0]
-        return out
+                plain[:] = False
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            others = self._whole([words[i] for i in rest.tolist()])
+            size[rest] = [len(part) for part in others]
+            begin[rest] = np.cumsum(size[rest]) - size[rest] + len(ids)
+            ids = np.concatenate([ids, *others])
+        return ids, begin, size
+
+    def _learn(self, hashes: np.ndarray, words: Sequence[str]) -> None:
+        """Add words by their sorted, unknown ``hashes``."""
+        ids, begin, size = self._encode_words(words)
+        if len(self._hashes) + len(words) > CACHED_WORDS:
+            stay = np.sort(np.argsort(-self._met, kind="stable")[:CACHED_WORDS // 2])
+            stay = np.union1d(stay, np.flatnonzero(self._met == self._calls))  # the words of this call are needed in any case
+            sizes = self._size[stay]
+            self._pool = self._pool[_ranges(self._begin[stay], sizes)]
+            self._hashes, self._met, self._size, self._begin = self._hashes[stay], self._met[stay], sizes, np.cumsum(sizes) - sizes
+        at = np.searchsorted(self._hashes, hashes)
+        self._begin = np.insert(self._begin, at, begin + len(self._pool))
+        self._size = np.insert(self._size, at, size)
+        self._met = np.insert(self._met, at, self._calls)
+        self._hashes = np.insert(self._hashes, at, hashes)
+        self._pool = np.concatenate([self._pool, ids])
+
+    def encode(self, texts: Sequence[str | bytes | None]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        ids, bounds = self.encode_block(texts)
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode_block(self, texts: Sequence[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings or UTF-8 bytes) end to end, and where each text's begin, with the end of the last."""
+        self._calls += 1
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
+        named_special = [i for i, t in enumerate(raw) if any(s in t for s in self._special)]
+        whole = dict(zip(named_special, self._whole([raw[i].decode("utf-8", "replace") for i in named_special]), strict=True)) if named_special else {}
+        words = hash_words([b"" if i in whole else t for i, t in enumerate(raw)], BLANKS, lower=False)
+        hashes, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self._hashes, hashes), max(len(self._hashes) - 1, 0))
+        known = self._hashes[place] == hashes if len(self._hashes) else np.zeros(len(hashes), dtype=bool)
+        self._met[place[known]] = self._calls
+        if not known.all():
+            buffer = words.buffer.tobytes()
+            new = first[~known]
+            spans = zip(words.begin[new].tolist(), (words.begin[new] + words.size[new]).tolist(), strict=True)
+            self._learn(hashes[~known], [buffer[a:b].decode("utf-8", "replace") for a, b in spans])
+            place = np.searchsorted(self._hashes, hashes)
+        size = self._size[place][inverse]
+        ids = self._pool[_ranges(self._begin[place][inverse], size)]
+        bounds = np.concatenate(([0], np.cumsum(size)))[words.starts]
+        if whole:
+            parts = [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+            return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])
+        return ids, bounds
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` many, end to end."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
 @lru_cache(maxsize=2)
@@ -118,22 +161,27 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], str], capacity: int =
     ``tokenizer`` gives the vocabulary file's path and is asked where a task runs.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
-
-    def run(c: dict[str, list]) -> dict[str, list]:
-        ids, pieces, starts, lengths, sums = [], [], [], [], []
-        for doc, raw in zip(c["doc_id"], encoder(tokenizer()).encode(c["text"]), strict=True):
-            raw += end
-            for n, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at:at + 4 * capacity]
-                ids.append(doc)
-                pieces.append(n)
-                starts.append(at // 4)
-                lengths.append(len(part) // 4)
-                sums.append(zlib.crc32(part))
-        return {"doc_id": ids, "piece": pieces, "start": starts, "length": lengths, "ids_crc32": sums}
-
-    source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
-    return map_blocks(source, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    arrow = to_arrow_schema(StructType.fromDDL(PIECE_SCHEMA))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in row_slices(batch, 1, BLOCK_CHARS):
+                ids, bounds = encoder(tokenizer()).encode_block(rows.column(1).to_pylist())
+                # Every document has its end id, too.
+                total = np.diff(bounds) + 1
+                pieces = -(-total // capacity)
+                owner = np.repeat(np.arange(len(total)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(total[owner] - start, capacity)
+                raw, sums = memoryview(ids.tobytes()), []
+                for a, size, last in zip((4 * (bounds[owner] + start)).tolist(), length.tolist(), (start + length == total[owner]).tolist(), strict=True):
+                    sums.append(zlib.crc32(end, zlib.crc32(raw[a:a + 4 * (size - 1)])) if last else zlib.crc32(raw[a:a + 4 * size]))
+                columns = [rows.column(0).take(pa.array(owner)), piece, start, length, sums]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).cast("binary").alias("text"))
+    return source.mapInArrow(work, PIECE_SCHEMA)
 
 
 class OpenSequences:
@@ -196,15 +244,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     """``pieces`` with ``sequence_id`` and ``offset``: every piece in one sequence, gapless from offset 0.
 
     Takes ``doc_id, piece, start, length, ids_crc32`` with lengths from 1 to
-    ``capacity``; null or repeated ids are pieces like all others. The table
-    must be written, as it is counted first. The same rows give the same
-    sequences in every attempt.
+    ``capacity``; null or repeated ids are pieces like all others. They are
+    written with a number for each, so that equal pieces are dealt to different
+    blocks and every attempt gives the same sequences.
     """
+    pieces = stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("_row")), "pieces")
     blocks = max(1, -(-pieces.count() // block_pieces))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", "_row")
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["_order", "doc_id", "piece", "start", "length"], ignore_index=True)
+        block = block.sort_values(["_order", "_row"], ignore_index=True)
         sequence, offset = np.empty(len(block), dtype=np.int64), np.empty(len(block), dtype=np.int64)
         sizes = block["length"].to_numpy()
         for number, items in enumerate(pack_lengths(sizes, capacity)):
@@ -221,5 +270,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
 
 def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], capacity: int = CAPACITY, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Tokenise, cut and pack all of ``docs``; texts are read and tokenised once. An empty table gives no sequences."""
-    return pack(stage(token_pieces(docs, tokenizer, capacity, end_id, text, key), "pieces"), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, text, key), capacity)
 

@@ -28,6 +28,8 @@ def _byte_class(excluded: Sequence[range]) -> np.ndarray:
     return allowed
 
 
+#: Words for tokenizers: whatever stands between blanks and line feeds.
+BLANKS = _byte_class([range(0x20, 0x21), range(0x0A, 0x0B)])
 # The two word rules, as the bytes between words.
 SPACED = _byte_class([range(0x20, 0x21), range(0x09, 0x0E)])
 ALPHANUMERIC = _byte_class([range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80)])

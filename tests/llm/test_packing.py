@@ -97,3 +97,21 @@ def test_cache_may_run_full(monkeypatch):
     encoder = WordEncoder(PATH)
     for text in ("Eins, zwei drei", "vier fünf sechs sieben acht neun zehn elf zwölf. dreizehn", "eins zwei", "Eins, vier"):
         assert encoder.encode([text, text])[1] == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    from opinion_spark.llm.packing import pack
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(3).cast("bigint").alias("length"), F.lit(7).cast("bigint").alias("ids_crc32"))
+    got = pack(rows, capacity=16, block_pieces=1000).withColumn("block", F.shiftright("sequence_id", 40)).groupBy("block").count().collect()
+    assert len(got) == 20 and sum(r["count"] for r in got) == 20_000 and max(r["count"] for r in got) < 1200
+
+
+def test_cache_keeps_the_words_met_last(monkeypatch):
+    monkeypatch.setattr("opinion_spark.llm.packing.CACHED_WORDS", 100)
+    encoder, rng = WordEncoder(PATH), random.Random(1)
+    for _ in range(30):
+        texts = [" ".join(f"{rng.choice(['wort', 'Wörter,', 'x1', chr(233)])}{rng.randrange(40)}" for _ in range(rng.randint(0, 80))) for _ in range(3)]
+        assert encoder.encode(texts) == [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(encoder._hashes) == len(encoder._begin) == len(encoder._size) == len(encoder._met) < 400
