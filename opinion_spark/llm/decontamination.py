@@ -21,8 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows
-from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words, text_blocks
+from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words
 from opinion_spark.session import stage
 
 WINDOW = 10
@@ -50,10 +50,8 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_ch
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in text_blocks(texts, row_chars):
-                words = hash_words(texts[part], ALPHANUMERIC)
-                texts[part] = [None] * (part.stop - part.start)
+            for rows in row_slices(batch, 1, row_chars):
+                words = hash_words(rows.column(1).to_pylist(), ALPHANUMERIC)
                 counts = np.diff(words.starts)
                 place = np.arange(len(words.hashes)) + np.repeat(np.arange(len(counts)) * GAP, counts)
                 order = np.argsort(words.hashes, kind="stable")
@@ -61,7 +59,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_ch
                 shard = (TaskContext.get().partitionId() << 32) + made
                 made += 1
                 row = {
-                    "shard": [shard], "doc_id": [ids[part]], "n_words": [counts.tolist()], "terms": [terms.tobytes()],
+                    "shard": [shard], "doc_id": [rows.column(0).to_pylist()], "n_words": [counts.tolist()], "terms": [terms.tobytes()],
                     "starts": [np.append(starts, len(order)).astype("<u4").tobytes()], "positions": [place[order].astype("<u4").tobytes()],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=arrow)

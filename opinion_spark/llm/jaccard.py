@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows
+from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows, row_slices
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
 from opinion_spark.session import stage
@@ -54,9 +54,8 @@ def shingle_sketch(docs: DataFrame, n: int = SHINGLE_WORDS, text: str = "text")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in text_blocks(texts):
-                for shingles in shingle_sets(hash_words(texts[part], SPACED), n):
+            for rows in row_slices(batch, 0):
+                for shingles in shingle_sets(hash_words(rows.column(0).to_pylist(), SPACED), n):
                     np.add.at(total, _buckets(shingles), 1)
         rows = total.astype("<u4").reshape(_PARTS, width)
         yield pa.RecordBatch.from_pydict({"part": list(range(_PARTS)), "counts": [r.tobytes() for r in rows]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
@@ -283,7 +282,9 @@ def set_links(docs: DataFrame, attached: DataFrame, n: int, percent: int, group_
     chunks = counts.select("leader", F.ceil(F.col("sets") / group_sets).cast("int").alias("chunks"))
     rows = attached.join(chunks, "leader").select("leader", "chunks", "member", F.pmod(F.xxhash64("member"), "chunks").cast("int").alias("chunk"))
     rows = rows.unionByName(chunks.select("leader", "chunks", F.col("leader").alias("member"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
-    members = stage(rows.join(docs.select(F.col("doc_id").alias("member"), "text"), "member"), "set-groups")
+    # The list of sets grows with the input: it is hashed where both sides are dealt by id, and never sent whole.
+    listed = stage(rows, "group-members").hint("shuffle_hash")
+    members = stage(listed.join(docs.select(F.col("doc_id").alias("member"), "text"), "member"), "set-groups")
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         leader = int(rows["leader"].iloc[0])

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import edit_rows, map_blocks
-from opinion_spark.llm.wordhash import SPACED, gram_hashes, hash_words, text_blocks
+from opinion_spark.llm.batches import edit_rows, map_blocks, row_slices
+from opinion_spark.llm.wordhash import SPACED, gram_hashes, hash_words
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -165,10 +165,10 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in text_blocks(texts):
+            for rows in row_slices(batch, 0):
+                texts = rows.column(0).to_pylist()
                 for n, rule in enumerate(rules):
-                    block = Measured(texts[part])
+                    block = Measured(texts)
                     start = perf_counter()
                     rejected = int(rule.reject(block, np.arange(len(block.texts))).sum())
                     yield pa.RecordBatch.from_pydict({"n": [n], "s": [perf_counter() - start], "rejected": [rejected]}, schema=pa.schema([("n", pa.int32()), ("s", pa.float64()), ("rejected", pa.int64())]))
