@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinion_spark.llm import decontamination, jaccard, packing, pii, quality
 from opinion_spark.llm.queries import tokenizer_path
-from opinion_spark.session import reach_workers, scratch_path
+from opinion_spark.session import drop_staged, reach_workers, scratch_path, staged_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -65,6 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        before = len(staged_paths(spark))
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_staged(spark, before)  # what only this stage has read
         docs = spark.read.parquet(path)
     return docs
