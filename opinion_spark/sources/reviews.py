@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from opinion_spark.constants import LABEL, RATING
 from opinion_spark.functions.columns import named
+from opinion_spark.sources.csv_ranges import csv_records, parse_records
 
 # Cells of a CSV file that stand for a missing value.
 NULL_TOKENS = (
@@ -19,6 +20,9 @@ NULL_TOKENS = (
     "nan", "null",
 )
 
+#: Options with which a file can be read in ranges.
+RANGE_OPTIONS = {"sep", "header", "nullValue", "emptyValue", "nanValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode", "maxCharsPerColumn"}
+
 INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
 NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
@@ -33,6 +37,7 @@ def read_reviews(
     infer: bool = False,
     multi_line: bool = True,
     cache: bool = False,
+    parallel: bool = True,
     **options,
 ) -> DataFrame:
     """A review table from CSV (default), parquet, JSON, ORC or a catalog table.
@@ -42,17 +47,19 @@ def read_reviews(
     ``infer=True`` (one more pass over the file); or, by default, double for
     the rating and int for the label, text for the rest.
 
-    Quoted line breaks need ``multi_line=True``, with which Spark reads each
-    file in one task: ship a large CSV table as many files, or pass
-    ``multi_line=False`` where no cell holds a line break, so that files are
-    split. Store the result as parquet when it is read more than once, or pass
-    ``cache=True`` to parse it once for the session.
+    Quoted line breaks need ``multi_line=True``. A file is then read by many
+    tasks (see ``csv_ranges``), after one pass over it that finds where quotes
+    are open; with ``parallel=False``, or an option that changes quotes, line ends
+    or encoding, Spark's reader takes each file in one task. Where no cell holds
+    a line break, ``multi_line=False`` saves that pass. Store the result as
+    parquet when it is read more than once, or pass ``cache=True`` to parse it
+    once for the session.
     """
-    df = _read(spark, path, fmt, schema, null_tokens, infer, multi_line, options)
+    df = _read(spark, path, fmt, schema, null_tokens, infer, multi_line, parallel, options)
     return df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
 
 
-def _read(spark, path, fmt, schema, null_tokens, infer, multi_line, options) -> DataFrame:
+def _read(spark, path, fmt, schema, null_tokens, infer, multi_line, parallel, options) -> DataFrame:
     if fmt == "table":
         return spark.table(path)
     if fmt != "csv":
@@ -60,13 +67,19 @@ def _read(spark, path, fmt, schema, null_tokens, infer, multi_line, options) ->
         return (reader.schema(schema) if schema is not None else reader).load(path)
 
     target = _as_struct(schema)
-    reader = spark.read.options(
-        header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False, mode="FAILFAST",
-    ).options(**options)
+    settings = {
+        "header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "enforceSchema": False, "mode": "FAILFAST", **options,
+    }
+    reader = spark.read.options(**settings)
     if target is not None:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in target]))
-    cells = reader.csv(path)
+    if parallel and multi_line and RANGE_OPTIONS.issuperset(options):
+        names = [f.name for f in target] if target is not None else reader.csv(path).columns
+        header = str(settings.pop("header")).lower() == "true"
+        cells = parse_records(csv_records(spark, path, str(options.get("sep", ","))), names, header, **settings)
+    else:
+        cells = reader.csv(path)
     cells = cells.select(*(_or_null(c, null_tokens).alias(c) for c in cells.columns))
 
     if target is not None:
