@@ -103,6 +103,10 @@ BAYES = FEATURES + """
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate) = 1)
 """
 
+# The same without a limit on the vocabulary.
+LIMITED = "ORDER BY total_tf DESC, term LIMIT 15000"
+ALL_FEATURES, ALL_BAYES = FEATURES.replace(LIMITED, ""), BAYES.replace(LIMITED, "")
+
 # The fitted model on every text, rated or not.
 BAYES_ON_ALL = BAYES + f"""
 , all_tokens AS (SELECT doc_id, {TOKENS} AS tokens FROM unlabelled)
@@ -275,6 +279,9 @@ CANDIDATES = BAYES + lexicon("(SELECT * FROM split WHERE is_test)", None).replac
 ORACLE: dict[str, str] = {
     "csv_roundtrip": REVIEWS + f"""
 SELECT doc_id, {nullable('review_text')}, {nullable('review_title')}, numeric_rating, label, {nullable('country')} FROM reviews""",
+    "csv_parallel": """
+WITH wrapped AS (SELECT doc_id, '"' || chr(10) || ',"' || replace(text, ' ', '"') || chr(10) || '"",' AS t, lang FROM documents)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5, lang AS country FROM wrapped""",
     "role_resolution": """
 SELECT 'text' AS role, 'Full Review Text' AS column_name, count(text) AS filled FROM documents
 UNION ALL SELECT 'title', 'Review Summary', count(split_part(text, chr(10), 1)) FROM documents
@@ -333,6 +340,16 @@ SELECT doc_id, review_text, review_title, country, numeric_rating, label FROM re
     "word_collocations": cloud("unlabelled") + """
 SELECT pair, word1, word2, n, c1, c2, round(score, 4) AS score FROM found""",
     "stratified_split": SPLIT + "SELECT doc_id, label, is_test FROM split",
+    "split_by_order": """
+WITH sizes AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)
+, totals AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(CAST(0.4 AS DOUBLE) * sum(n)) AS BIGINT) AS n_test FROM sizes)
+, quotas AS (SELECT l_orderkey, n, total, n_test, (n * (total - n_test)) // total AS low, (n * (total - n_test)) % total AS rest FROM sizes, totals)
+, shares AS (
+  SELECT l_orderkey, n - low - CASE WHEN row_number() OVER (ORDER BY rest DESC, l_orderkey) <= (total - n_test) - sum(low) OVER () THEN 1 ELSE 0 END AS take
+  FROM quotas)
+SELECT l.l_orderkey, l_linenumber,
+       row_number() OVER (PARTITION BY l.l_orderkey ORDER BY md5(concat(l.l_orderkey, '-', l_linenumber, '-42'))) <= take AS is_test
+FROM lineitem l JOIN shares s ON l.l_orderkey = s.l_orderkey""",
     "hash_split": "SELECT doc_id, md5(concat(doc_id, '-42')) < '400000000000000' AS is_test FROM documents",
     "split_sizes": split_of(0.35) + """
 SELECT count(*) FILTER (NOT is_test) AS train_size, count(*) FILTER (is_test) AS test_size,
@@ -355,6 +372,10 @@ SELECT doc_id, len(terms) AS n_terms, array_to_string(terms, '|') AS terms FROM
     "tfidf_idf": FEATURES + "SELECT term, round(idf, 6) AS idf FROM vocabulary",
     "tfidf_weights": FEATURES + "SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights WHERE NOT is_test",
     "tfidf_weights_test": FEATURES + "SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights WHERE is_test",
+    "tfidf_all_terms": ALL_FEATURES + "SELECT term, CAST(term_index AS BIGINT) AS term_index, df, total_tf, round(idf, 6) AS idf FROM vocabulary",
+    "tfidf_all_weights": ALL_FEATURES + "SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights WHERE is_test",
+    "nb_table_parameters": ALL_BAYES + "SELECT label, term, round(log_theta, 6) AS log_theta, round(log_prior, 6) AS log_prior FROM theta",
+    "nb_table_predictions": ALL_BAYES + "SELECT doc_id, label, prediction, round(score, 6) AS score FROM predicted",
     "class_weights": REVIEWS + """
 SELECT label, count(*) AS n,
        round((SELECT count(*) FROM rated)::DOUBLE / ((SELECT count(DISTINCT label) FROM rated) * count(*)), 6) AS weight

@@ -12,10 +12,10 @@ from opinion_spark.functions.display import fixed, percent, preview_text, round_
 from opinion_spark.functions.columns import lookup
 from opinion_spark.functions.labels import label_name, normalize_label, rating_to_label
 from opinion_spark.functions.text import MAX_CHARS, cut_text
-from opinion_spark.operators import classifiers, metrics, sampling, scoring, statistics, tfidf, words
+from opinion_spark.operators import class_tables, classifiers, metrics, sampling, scoring, statistics, term_tables, tfidf, words
 from opinion_spark.operators.lexicon import lexicon_scorer
 from opinion_spark.plans import classification, evaluation
-from opinion_spark.session import scratch_path
+from opinion_spark.session import scratch_path, stage
 from opinion_spark.sources.bundle import load_model, save_model
 from opinion_spark.sources.reviews import read_reviews, write_reviews
 from opinion_spark.sources.roles import resolve_roles
@@ -46,6 +46,15 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(KEY, TEXT, TITLE, RATING, LABEL, COUNTRY)
 
 
+def csv_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, separators and line breaks at both ends, through one CSV file a partition and back in ranges."""
+    wrapped = F.concat(F.lit('"\n,"'), F.replace(TEXT, F.lit(" "), F.lit('"')), F.lit('\n"",'))
+    path = scratch_path(spark, "quoted-csv")
+    write_reviews(texts(spark, sf_dir).select(KEY, wrapped.alias(TEXT), COUNTRY), path)
+    back = read_reviews(spark, path, schema=f"{KEY} bigint, {TEXT} string, {COUNTRY} string")
+    return back.select(KEY, F.length(TEXT).cast("bigint").alias("n_chars"), F.md5(TEXT).alias("text_md5"), COUNTRY)
+
+
 def role_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of a table with other column names, and how far each role is filled."""
     df = reviews(spark, sf_dir).select(
@@ -170,6 +179,13 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_table(spark, sf_dir).select(KEY, LABEL, "is_test")
 
 
+def split_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders, split within each order of two lines or more: as many classes as orders."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_key"))
+    several = lines.join(lines.groupBy("l_orderkey").count().filter("count > 1").select("l_orderkey"), "l_orderkey", "left_semi")
+    return class_tables.split_classes(several, "line_key", "l_orderkey", 0.4).select("l_orderkey", "l_linenumber", "is_test")
+
+
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(texts(spark, sf_dir), KEY, test_size=0.25, mode="hash").select(KEY, "is_test")
 
@@ -225,6 +241,31 @@ def tfidf_weights(test: bool):
     return query
 
 
+def _term_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, term_tables.TermTable]:
+    split = stage(split_table(spark, sf_dir).select(KEY, LABEL, TEXT, "is_test"), "split")
+    return split, term_tables.fit_term_table(split.filter("NOT is_test"), TEXT)
+
+
+def tfidf_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _term_table(spark, sf_dir)[1].terms.select("term", "term_index", "df", "total_tf", six("idf"))
+
+
+def tfidf_all_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, fitted = _term_table(spark, sf_dir)
+    return fitted.weights(split.filter("is_test"), KEY).select(KEY, "term", "tf", six("weight"))
+
+
+def nb_table_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, fitted = _term_table(spark, sf_dir)
+    return term_tables.fit_table_bayes(fitted, split.filter("NOT is_test"), KEY, LABEL).table(LABEL).select(LABEL, "term", six("log_theta"), six("log_prior"))
+
+
+def nb_table_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, fitted = _term_table(spark, sf_dir)
+    model = term_tables.fit_table_bayes(fitted, split.filter("NOT is_test"), KEY, LABEL)
+    return model.predict(split.filter("is_test"), KEY, [LABEL]).select(KEY, LABEL, "prediction", six("score"))
+
+
 # --- classifiers -----------------------------------------------------------------
 
 # Each query prepares and trains for itself, so that its time is its own.
@@ -433,6 +474,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
+    "csv_parallel": csv_parallel,
     "role_resolution": role_resolution,
     "rating_to_label": rating_labels,
     "complete_cases": complete_case_rows,
@@ -458,6 +500,7 @@ QUERIES = {
     "word_freq_neg": frequent_words(-1),
     "word_collocations": word_collocations,
     "stratified_split": stratified_split,
+    "split_by_order": split_by_order,
     "hash_split": hash_split,
     "split_sizes": split_sizes,
     "stratified_sample": stratified_sample,
@@ -468,6 +511,10 @@ QUERIES = {
     "tfidf_idf": tfidf_idf,
     "tfidf_weights": tfidf_weights(False),
     "tfidf_weights_test": tfidf_weights(True),
+    "tfidf_all_terms": tfidf_all_terms,
+    "tfidf_all_weights": tfidf_all_weights,
+    "nb_table_parameters": nb_table_parameters,
+    "nb_table_predictions": nb_table_predictions,
     "class_weights": class_weights,
     "nb_parameters": nb_parameters,
     "nb_predictions": nb_predictions,

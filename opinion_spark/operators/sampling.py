@@ -118,8 +118,8 @@ def with_draw(df: DataFrame, key: str, label: str | None, cuts: Mapping[Hashable
     drawn = draw_hash(named(key), seed)
     if label is None:
         return df.withColumn(out, drawn <= F.lit(cuts[0]))
-    table = _small_table(df, df.schema[label].dataType, "_cut string", list(cuts.items()))
-    return df.join(table, named(label) == F.col("g"), "left").withColumn(out, drawn <= F.col("_cut")).drop("g", "_cut")
+    table = _small_table(df, df.schema[label].dataType, "_cut string", list(cuts.items())).withColumnRenamed("g", "_group")
+    return df.join(table, named(label) == F.col("_group"), "left").withColumn(out, drawn <= F.col("_cut")).drop("_group", "_cut")
 
 
 def check_keys(df: DataFrame, key: str) -> None:
