@@ -48,8 +48,8 @@ def read_reviews(
     the rating and int for the label, text for the rest.
 
     Quoted line breaks need ``multi_line=True``. A file is then read by many
-    tasks (see ``csv_ranges``), after one pass over it that finds where quotes
-    are open; with ``parallel=False``, or an option that changes quotes, line ends
+    tasks (see ``csv_ranges``), after two passes over it that find where quotes
+    are open and join what crosses ranges; with ``parallel=False``, or an option that changes quotes, line ends
     or encoding, Spark's reader takes each file in one task. Where no cell holds
     a line break, ``multi_line=False`` saves that pass. Store the result as
     parquet when it is read more than once, or pass ``cache=True`` to parse it
