@@ -6,13 +6,15 @@ over neighbouring lines by a Gaussian, splits the lines into content and the
 rest at one standard deviation. The article, or else the innermost element around
 all content and the headings above it, is the page's text region, and its blocks
 are the text. Elements that by their tag hold no article text are left out from
-the start, those that by their role, class or id seem to hold none only if they
-have no article and no large part of the content.
+the start. Those that by a whole name, or as forms, seem to hold none are left
+out unless they have an article or the page's heading; these and those whose role
+or part of a name says so are weighed by their part of the content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -45,7 +47,7 @@ BOILERPLATE_NAMES = frozenset(
     "respond reply replies pagination pager copyright login search paywall skip".split()
 )
 
-#: Lines to either side that smoothing looks at, the threshold in standard deviations, and the part of all content from which on a name or form is no evidence.
+#: Lines to either side that smoothing looks at, the threshold in standard deviations, and the part of all content from which on a weighed element stays.
 RADIUS, THRESHOLD, LARGE_PART = 2, 1.0, 0.5
 
 _SPACE = re.compile(r"[\s\x00]+")
@@ -69,9 +71,12 @@ class Suspect:
     """An element that seems to hold no article text."""
 
     parent: int
-    sure: bool  # a whole name says so
+    sure: bool  # a whole name says so, or it is a form
     in_article: bool
+    named: bool = False  # a whole name says so
     holds_article: bool = False
+    holds_heading: bool = False
+    marked: bool = False  # text of an article inside has been seen
     chars: int = 0
 
 
@@ -105,13 +110,44 @@ class LineParser(HTMLParser):
         self.parents, self.region_tags = [-1], ["html"]
         self.suspects: list[Suspect] = []
         self.article_text = False
-        # Open elements: tag, left out, region, inside an article, suspect, inside a heading.
-        self._open: list[tuple[str, bool, int, bool, int, bool]] = []
+        # Level of the page's heading (the first of the highest level) and the suspect around it.
+        self.main_heading = (7, -1)
+        # Open elements: tag, left out, region, inside an article, suspect, level of the heading around (0: none).
+        self._open: list[tuple[str, bool, int, bool, int, int]] = []
         self._line = Line()
         self._tags = 0
+        self._open_tags: Counter[str] = Counter()
+        self._blocks: list[int] = []  # places of open elements that are not inline
+        self._unclosed = self._no_end = False
 
-    def _top(self) -> tuple[str, bool, int, bool, int, bool]:
-        return self._open[-1] if self._open else ("", False, 0, False, -1, False)
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """As the parser does, but an end that is missing is looked for once."""
+        end = -1 if self._unclosed else super().parse_comment(i, report)
+        self._unclosed = end < 0
+        return end
+
+    def _tag_ends(self, i: int) -> bool:
+        """Whether any tag can end from here on; when none can, that holds for the rest."""
+        self._no_end = self._no_end or self.rawdata.find(">", i) < 0
+        return not self._no_end
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if self._tag_ends(i) else -1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self._tag_ends(i) else -1
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if self._tag_ends(i) else -1
+
+    def _close_from(self, at: int) -> None:
+        while len(self._open) > at:
+            self._open_tags[self._open.pop()[0]] -= 1
+        while self._blocks and self._blocks[-1] >= at:
+            self._blocks.pop()
+
+    def _top(self) -> tuple[str, bool, int, bool, int, int]:
+        return self._open[-1] if self._open else ("", False, 0, False, -1, 0)
 
     def _break(self) -> None:
         line = self._line
@@ -124,13 +160,10 @@ class LineParser(HTMLParser):
 
     def _close_paragraph(self, tag: str) -> None:
         """A block ends an open paragraph, and a list item the one before it."""
-        for at in range(len(self._open) - 1, -1, -1):
-            name = self._open[at][0]
+        if self._blocks:
+            name = self._open[self._blocks[-1]][0]
             if name == "p" or name == tag == "li":
-                del self._open[at:]
-                return
-            if name not in INLINE:
-                return
+                self._close_from(self._blocks[-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -149,13 +182,16 @@ class LineParser(HTMLParser):
         if not out and (named_as or tag == "form"):
             suspected, sure = _suspect(tag, named_as, in_article)
             if suspected:
-                self.suspects.append(Suspect(suspect, sure, in_article))
+                self.suspects.append(Suspect(suspect, sure or tag == "form", in_article, sure))
                 suspect = len(self.suspects) - 1
         if not out and tag not in INLINE and tag != "p" and tag not in SPACING:
             self.parents.append(region)
             self.region_tags.append(tag)
             region = len(self.parents) - 1
-        heading = heading or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        heading = heading or (int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0)
+        self._open_tags[tag] += 1
+        if tag not in INLINE:
+            self._blocks.append(len(self._open))
         self._open.append((tag, out, region, in_article or tag in ARTICLE, suspect, heading))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -169,21 +205,25 @@ class LineParser(HTMLParser):
             self._line.parts.append((self._top()[4], " "))
         elif tag not in INLINE:
             self._break()
-        for at in range(len(self._open) - 1, -1, -1):
-            if self._open[at][0] == tag:
-                del self._open[at:]
-                break
+        if self._open_tags[tag]:
+            at = len(self._open) - 1
+            while self._open[at][0] != tag:
+                at -= 1
+            self._close_from(at)
 
     def handle_data(self, data: str) -> None:
         _, out, region, in_article, suspect, heading = self._top()
         if not out:
             if data.strip():
                 if self._line.region < 0:
-                    self._line.region, self._line.heading = region, heading
+                    self._line.region, self._line.heading = region, heading > 0
                 if in_article and not self.article_text:
                     self.article_text = True
-                while in_article and suspect >= 0:
+                if heading and heading < self.main_heading[0]:
+                    self.main_heading = (heading, suspect)
+                while in_article and suspect >= 0 and not self.suspects[suspect].marked:
                     around = self.suspects[suspect]
+                    around.marked = True
                     around.holds_article = around.holds_article or not around.in_article
                     suspect = around.parent
             self._line.parts.append((self._top()[4], data))
@@ -211,12 +251,18 @@ def _text(parts: Sequence[tuple[int, str]]) -> str:
     return _SPACE.sub(" ", "".join(data for _, data in parts)).strip(" ")
 
 
-def without_suspects(lines: Sequence[Line], suspects: Sequence[Suspect], article_text: bool) -> list[Line]:
+def without_suspects(lines: Sequence[Line], suspects: Sequence[Suspect], article_text: bool, heading_in: int = -1) -> list[Line]:
     """Lines without the text of suspects that have no article and no large part of the content.
 
-    Beside an article with text a whole name is enough.
+    A whole name or a form is enough, whatever the size, where neither an article nor the page's
+    heading is inside (``heading_in``: the innermost suspect around it); beside an article with
+    text a whole name is enough. Where this leaves no text, as of a form around a whole page without
+    headings, all are weighed.
     """
     total = 0
+    while heading_in >= 0:
+        suspects[heading_in].holds_heading = True
+        heading_in = suspects[heading_in].parent
     for line, is_content in zip(lines, content_lines(lines), strict=True):
         if is_content:
             total += len(line.text)
@@ -226,10 +272,14 @@ def without_suspects(lines: Sequence[Line], suspects: Sequence[Suspect], article
     for suspect in reversed(suspects):  # children come after their parents
         if suspect.parent >= 0:
             suspects[suspect.parent].chars += suspect.chars
-    gone: list[bool] = []
-    for s in suspects:
-        beside = s.sure and article_text and not s.in_article
-        gone.append(s.parent >= 0 and gone[s.parent] or not s.holds_article and (beside or s.chars < LARGE_PART * total))
+    for by_name in (True, False):
+        gone: list[bool] = []
+        for s in suspects:
+            beside = s.named and article_text and not s.in_article
+            surely = beside or by_name and s.sure and not s.holds_heading
+            gone.append(s.parent >= 0 and gone[s.parent] or not s.holds_article and (surely or s.chars < LARGE_PART * total))
+        if any(at < 0 or not gone[at] for line in lines for at, data in line.parts if not data.isspace()):
+            break
     out, tags = [], 0
     for line in lines:
         line.tags += tags
@@ -279,7 +329,7 @@ def extract_text(html: str | None) -> str:
     parser.feed(html)
     lines = parser.finish()
     if lines and parser.suspects:
-        lines = without_suspects(lines, parser.suspects, parser.article_text)
+        lines = without_suspects(lines, parser.suspects, parser.article_text, parser.main_heading[1])
     if not lines:
         return ""
     content = content_lines(lines)

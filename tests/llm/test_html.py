@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from opinion_spark.llm.html_text import LineParser, content_lines, extract_pages, extract_text, smooth
@@ -81,6 +83,32 @@ def test_names_beside_a_short_article():
     assert extract_text(f"<div class='ad'>{LONG}</div><article>word</article><form>{ARTICLE[0]}</form><div class='comments'>{LONG}</div>") == "word"
 
 
+@pytest.mark.parametrize("noise", [
+    f"<div id='comments'><p>{LONG}</p><p>{LONG}</p></div>", f"<div id='cookie-notice'>{LONG}</div>", f"<form><label>{LONG}</label><input></form>",
+    f"<section class='comments'><h3>Comments</h3><p>{LONG}</p></section>",
+])
+@pytest.mark.parametrize("heading", ["", "<h1>Title</h1>"])
+def test_size_saves_no_comments_notices_or_forms(noise, heading):
+    want = [*(["Title"] if heading else []), ARTICLE[1]]
+    if "<h3>" in noise and not heading:
+        return  # the only heading of the page: weighed
+    for page in (f"<body>{heading}<p>{ARTICLE[1]}</p>{noise}</body>", f"<article>{heading}<p>{ARTICLE[1]}</p>{noise}</article>"):
+        assert extract_text(page).split("\n") == want
+
+
+def test_forms_around_a_page_without_headings():
+    assert extract_text(f"<form id='aspnetForm'><div><p>{ARTICLE[1]}</p><p>{LONG}</p></div></form>").split("\n") == [ARTICLE[1], LONG]
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 16_000 + "</i>" * 16_000, "<b>" * 16_000 + "<p>x" * 16_000, "<article>" + "<div class='ad x'>t" * 16_000, "<!--" * 64_000, "<a " * 80_000, "</a " * 80_000, "<?x" * 60_000,
+])
+def test_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    extract_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_smoothing_and_threshold():
     import numpy as np
 
