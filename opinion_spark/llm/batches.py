@@ -18,13 +18,15 @@ from opinion_spark.session import stage
 BLOCK_CHARS = 1 << 20
 
 
-#: The column of ``numbered_rows``.
-ROW = "_row_number"
+def numbered_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for every row, whatever its ids, and that column's name, one the table does not have.
 
-
-def numbered_rows(df: DataFrame) -> DataFrame:
-    """``df`` with a number of its own for every row, whatever its ids; written, so that it stays the same in every reading."""
-    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+    Written, so that it stays the same in every reading.
+    """
+    taken, row = {c.lower() for c in df.columns}, "_row_number"
+    while row in taken:
+        row += "_"
+    return stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
 
 
 def row_slices(batch: pa.RecordBatch, text: str | int, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.batches import map_blocks, numbered_rows, row_slices
 from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words
 from opinion_spark.session import stage
 
@@ -279,7 +279,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns. Each row is judged by its own text, whatever its id."""
-    docs = numbered_rows(docs)
+    docs, row = numbered_rows(docs)
     # Written, so that its size is known and texts are not shuffled for a short list.
-    bad = stage(contamination(docs, items, window, ROW).filter("contaminated").select(F.col("doc_id").alias(ROW)), "contaminated")
-    return docs.join(bad, ROW, "left_anti").drop(ROW)
+    bad = stage(contamination(docs, items, window, row).filter("contaminated").select(F.col("doc_id").alias(row)), "contaminated")
+    return docs.join(bad, row, "left_anti").drop(row)

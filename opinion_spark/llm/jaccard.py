@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import ROW, map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.batches import map_blocks, numbered_rows, row_slices
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
 from opinion_spark.session import stage
@@ -89,7 +89,7 @@ def text_sets(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, text: s
         sets = shingle_sets(hash_words(c["text"], SPACED), n)
         digests, prefixes = [], []
         for s in sets:
-            digests.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if len(s):
                 rare = np.lexsort((s, sent.value[_buckets(s)]))[:prefix_length(len(s), percent)]
                 prefixes.append(s[rare].view(np.int64))
@@ -98,7 +98,7 @@ def text_sets(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, text: s
         return {"doc_id": c["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "prefix": prefixes}
 
     source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
-    return map_blocks(source, run, "doc_id bigint, n_shingles bigint, digest bigint, prefix array<bigint>")
+    return map_blocks(source, run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
 
 
 def _attach(percent: int):
@@ -325,6 +325,19 @@ def set_links(docs: DataFrame, attached: DataFrame, n: int, percent: int, group_
     return found.select("a", "b").unionByName(across)
 
 
+def named_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
+    """``doc_id, text`` and a bound: rows without an id get one of their own above it, so that links lead through them.
+
+    Such numbers are written, with those rows only. Ids are expected below 2^62.
+    """
+    whole = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
+    top, unnamed = whole.agg(F.greatest(F.max("doc_id"), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    if unnamed:
+        given = whole.filter("doc_id is null").withColumn("doc_id", F.lit(top) + 1 + F.monotonically_increasing_id())
+        whole = whole.filter("doc_id is not null").unionByName(stage(given, "rows-without-id"))
+    return whole, top
+
+
 def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id", group_sets: int = GROUP_SETS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -332,23 +345,24 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     similarity of ``percent`` or more (35 to 100); ``component_id`` is the
     smallest id reachable by links. A text of fewer words has one shingle, all
     of it; a null text or one without words has none and links with nothing.
-    Rows of one id are one document for links; a null id has a null component.
+    Rows of one id are one document for links. A row with a null id is one by
+    itself: links lead through it, and its own component is null.
     """
-    sets = stage(text_sets(docs, shingle_sketch(docs, n, text), n, percent, text, key), "shingle-sets")
+    whole, top = named_rows(docs, text, key)
+    sets = stage(text_sets(whole, shingle_sketch(whole, n), n, percent, "text", "doc_id"), "shingle-sets")
     # Equal sets: one of them stands for all.
-    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"))
+    classes = sets.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"))
     classes = stage(classes, "set-classes")
     single = sets.filter("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = single.select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
     ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
     attached = stage(ordered.mapInArrow(_attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
-    whole = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
     links = set_links(whole, attached, n, percent, group_sets)
     # Rows of one id with different sets hang together by the id.
     found = connected_components(links)
     resolved = classes.join(found, F.col("first") == F.col("node"), "left").select("digest", "n_shingles", F.coalesce("component", "first").alias("component"))
     return sets.select("doc_id", "n_shingles", "digest").join(resolved, ["digest", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id") <= top, F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(F.col("doc_id") <= top, F.least("component", "doc_id")).alias("component_id"),
     )
 
 
@@ -368,11 +382,11 @@ def keep_one_row(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT
 
     Rows are told apart by themselves and not by their ids. Rows without words all stay.
     """
-    numbered = numbered_rows(docs)
-    found = jaccard_components(numbered, n, percent, text, ROW).filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
-    found = stage(found.join(numbered.select(ROW, named(key).cast("bigint").alias("_id")), ROW), "components")
-    rank = F.struct(F.col("_id").isNull().alias("no_id"), "_id", ROW)
+    numbered, row = numbered_rows(docs)
+    found = jaccard_components(numbered, n, percent, text, row).filter("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    found = stage(found.join(numbered.select(row, named(key).cast("bigint").alias("_id")), row), "components")
+    rank = F.struct(F.col("_id").isNull().alias("no_id"), "_id", row)
     firsts = found.groupBy("component_id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     # Written, so that its size is known and texts are not shuffled for a short list.
-    gone = stage(found.join(firsts, "component_id").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW), "copies")
-    return numbered.join(gone, ROW, "left_anti").drop(ROW)
+    gone = stage(found.join(firsts, "component_id").filter(F.col(row) != F.col(f"first.{row}")).select(row), "copies")
+    return numbered.join(gone, row, "left_anti").drop(row)

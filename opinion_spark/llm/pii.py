@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +165,7 @@ def scored_spans(text: str | None, recognizers: Sequence[Recognizer] = DEFAULT_R
     A further span that touches a base one is dropped: those characters are taken.
     """
     base = base_spans(text)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     order = {k: i for i, k in enumerate([*BASE_KINDS, *(r.kind for r in recognizers)])}
     out = [(start, end, kind, 1.0) for start, end, kind in base]
     if text:
@@ -175,7 +178,8 @@ def scored_spans(text: str | None, recognizers: Sequence[Recognizer] = DEFAULT_R
                     around = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
                     if any(re.search(rf"(?<!\w){re.escape(word)}(?!\w)", around) for word in r.context):
                         score += NEARBY
-                if score >= threshold and not any(a < end and start < b for a, b, _ in base):
+                before = bisect_left(starts, end)  # base spans that begin before this one ends
+                if score >= threshold and not (before and reach[before - 1] > start):
                     out.append((start, end, r.kind, round(min(score, 1.0), 2)))
     return sorted(out, key=lambda s: (s[0], order[s[2]], s[1]))
 
