@@ -3,7 +3,8 @@
 A scorer is a factory: called once per Python worker, it loads a model and
 returns a function from a batch of texts to a frame with ``label`` and
 ``score``. Only the text column crosses to Python, in Arrow batches of
-``spark.sql.execution.arrow.maxRecordsPerBatch`` rows.
+``spark.sql.execution.arrow.maxRecordsPerBatch`` rows. A call to the model gets
+texts of like length, up to a budget of bytes; results return in the order of rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ Batch = Callable[[pd.Series], pd.DataFrame]
 Factory = Callable[[], Batch]
 
 MODELS_PER_WORKER = 3
+#: Bytes of text that one call to a model gets, a longer text alone.
+CALL_BYTES = 8 << 20
 
 _factories: dict[str, Factory] = {}
 _loaded: OrderedDict[str, Batch] = OrderedDict()
@@ -51,19 +55,24 @@ def score(
     on_error: str = "fail",
     drop_blank: bool = True,
     missing: str | None = None,
+    call_bytes: int = CALL_BYTES,
 ) -> DataFrame:
     """Add ``hf_label, hf_score, hf_mapped, model``; batch and streaming tables alike.
 
     Whole texts are scored, unless ``max_chars`` asks for their beginnings only.
-    ``on_error="null"`` gives a failed batch a NULL label, score 0 and mapped
-    label 0 instead of failing the job.
+    A call to the model gets at most ``call_bytes`` bytes of text, or one text.
+    ``on_error="null"`` gives a text that the model fails on a NULL label, score
+    0 and mapped label 0 instead of failing the job: a failed call is halved
+    until the bad texts are alone. A model that cannot be loaded fails the job.
     """
+    if call_bytes < 1:
+        raise ValueError("call_bytes must be at least 1")
     if on_error not in ("fail", "null"):
         raise ValueError(f"unknown on_error {on_error!r}")
     name = model or (scorer if isinstance(scorer, str) else getattr(scorer, "__name__", "scorer"))
     factory = scorer_factory(scorer) if isinstance(scorer, str) else scorer
     reach_workers(df.sparkSession)
-    run = _scoring_udf(name, factory, on_error)
+    run = _scoring_udf(name, factory, on_error, call_bytes)
     prepared = prepare_text(df, text, "scored_text", max_chars, drop_blank, missing)
     return (
         prepared.withColumn("raw", run(F.col("scored_text")))
@@ -105,20 +114,48 @@ def evaluate_sample(
     return scored.select("eval_id", named(text), named(label), "hf_label", "hf_score", "hf_mapped", "model")
 
 
-def _scoring_udf(name: str, factory: Factory, on_error: str):
+def _scoring_udf(name: str, factory: Factory, on_error: str, call_bytes: int):
+    run = _run if on_error == "fail" else run_isolated
+
     @F.pandas_udf("label string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            try:
-                yield _run(_worker_model(name, factory), texts)
-            except Exception:
-                if on_error == "fail":
-                    raise
-                yield pd.DataFrame({"label": [None] * len(texts), "score": [0.0] * len(texts)})
+            model = _worker_model(name, factory)
+            calls = call_places(texts, call_bytes)
+            if not calls:
+                yield _run(model, texts)
+                continue
+            made = pd.concat([run(model, texts.iloc[places].reset_index(drop=True)) for places in calls], ignore_index=True)
+            yield made.iloc[np.argsort(np.concatenate(calls))].reset_index(drop=True)
 
     return scored
 
 
+def call_places(texts: pd.Series, call_bytes: int) -> list[np.ndarray]:
+    """Places of the texts of each call: by length, shortest first, up to ``call_bytes`` or one text."""
+    sizes = np.array([len(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else 0 for t in texts], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    upto = np.cumsum(sizes[order])
+    calls, start = [], 0
+    while start < len(order):
+        end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + call_bytes, side="right"))
+        calls.append(order[start:max(end, start + 1)])
+        start = max(end, start + 1)
+    return calls
+
+
+def run_isolated(model: Batch, texts: pd.Series) -> pd.DataFrame:
+    """Results of ``model``; a text that it fails on by itself gets none. One bad text of n costs about 2 log2 n calls more."""
+    try:
+        return _run(model, texts)
+    except Exception:
+        if len(texts) == 1:
+            return pd.DataFrame({"label": [None], "score": [0.0]})
+    half = len(texts) // 2
+    parts = (texts.iloc[:half], texts.iloc[half:])
+    return pd.concat([run_isolated(model, part.reset_index(drop=True)) for part in parts], ignore_index=True)
+
+
 def _run(model: Batch, texts: pd.Series) -> pd.DataFrame:
     if texts.empty:
         return pd.DataFrame({"label": pd.Series(dtype=object), "score": pd.Series(dtype=float)})

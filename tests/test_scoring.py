@@ -53,6 +53,80 @@ def test_errors(docs):
         s.score(docs, "text", broken, on_error="skip")
 
 
+def test_one_bad_text_fails_alone(spark):
+    def strict():
+        def batch(texts):
+            if texts.str.contains("bad").any():
+                raise RuntimeError("bad text")
+            return pd.DataFrame({"label": ["POSITIVE"] * len(texts), "score": texts.str.len() / 100})
+        return batch
+
+    rows = [(i, "bad" if i == 4321 else "x" * (1 + i % 50)) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in s.score(df, "text", strict, model="strict", on_error="null").collect()}
+    assert len(got) == 10_000 and [i for i, r in got.items() if r.hf_label is None] == [4321]
+    assert (got[4321].hf_score, got[4321].hf_mapped) == (0.0, 0)
+    assert all(r.hf_score == pytest.approx(len(r.text) / 100) and r.hf_mapped == 1 for i, r in got.items() if i != 4321)
+    with pytest.raises(Exception, match="bad text"):
+        s.score(df, "text", strict, model="strict").collect()
+
+
+def test_isolation_takes_logarithmic_calls():
+    for n, bad in [(1, {0}), (1000, {0}), (1000, {999}), (1000, {3, 500}), (10_000, {7777}), (64, set())]:
+        calls = []
+
+        def batch(texts, bad=bad, calls=calls):
+            calls.append(len(texts))
+            if set(texts) & {str(b) for b in bad}:
+                raise ValueError("bad")
+            return pd.DataFrame({"label": texts, "score": 1.0})
+
+        out = s.run_isolated(batch, pd.Series([str(i) for i in range(n)]))
+        assert [None if i in bad else str(i) for i in range(n)] == [None if pd.isna(v) else v for v in out["label"]]
+        assert len(calls) <= 1 + len(bad) * 2 * (n - 1).bit_length()
+
+
+def test_a_wrong_number_of_results_is_a_failure():
+    out = s.run_isolated(lambda texts: pd.DataFrame({"label": ["a"], "score": [1.0]}), pd.Series(["x", "y", "z"]))
+    assert list(out["label"]) == ["a"] * 3
+
+
+def test_a_model_that_cannot_be_loaded_fails_the_job(docs):
+    def unloadable():
+        raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="no weights"):
+        s.score(docs, "text", unloadable, on_error="null").collect()
+
+
+def test_calls_are_bounded_in_bytes():
+    texts = pd.Series(["x" * (n * 7919 % 1000) for n in range(500)] + ["é" * 700_000, None, "", "y" * 1_000_000])
+    calls = s.call_places(texts, 10_000)
+    assert sorted(i for c in calls for i in c.tolist()) == list(range(len(texts)))
+    size = lambda i: len((texts[i] or "").encode())
+    assert all(len(c) == 1 or sum(map(size, c)) <= 10_000 for c in calls)
+    assert [size(i) for c in calls for i in c] == sorted(map(size, range(len(texts))))
+    assert s.call_places(pd.Series([], dtype=object), 10) == [] and len(s.call_places(pd.Series(["aa", "b"]), 1)) == 2
+
+
+def test_results_keep_their_rows_at_any_budget(spark):
+    rows = [(i, f"{i} " + "word " * (i * 37 % 300)) for i in range(400)] + [(400, "big " * 250_000), (401, None), (402, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+    def lengths():
+        def batch(texts):
+            total = sum(len(t.encode()) for t in texts)
+            if len(texts) > 1 and total > 5_000:
+                raise RuntimeError("too many bytes in a call")
+            return pd.DataFrame({"label": texts.str.split().str[0], "score": texts.str.len().astype(float)})
+        return batch
+
+    got = {r.doc_id: (r.hf_label, r.hf_score) for r in s.score(df, "text", lengths, model="lengths", call_bytes=5_000, drop_blank=False, missing="nan").collect()}
+    assert all(got[i] == (t.split()[0], len(t)) for i, t in rows if t and t.strip()) and len(got) == 403
+    with pytest.raises(ValueError):
+        s.score(df, "text", lengths, call_bytes=0)
+
+
 def test_missing_scores_become_zero(docs):
     def unscored():
         return lambda texts: pd.DataFrame({"label": ["POSITIVE"] * len(texts)})
