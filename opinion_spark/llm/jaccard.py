@@ -7,11 +7,15 @@
 3. In a posting list the sets are ordered by size. Leaders cover the sizes they
    could link with; every set is attached to its leader and the one before, so
    that two sets that can link meet under a leader.
-4. The sets under a leader are joined exactly in one task, a hot leader's in
+4. Each set has a bitmap of the places its shingles take, two places a shingle
+   or more. Places that one set takes and another does not bound their
+   similarity from above; a set that can link with no other under a leader is
+   left out there, and its text is not sent.
+5. The sets under a leader are joined exactly in one task, a hot leader's in
    several: index lists ordered by position let whole blocks be skipped, and
    sets very similar to one whose answers are known derive theirs from those
    answers and the few shingles in which they differ.
-5. Links are merged to components by rounds of stars.
+6. Links are merged to components by rounds of stars.
 
 The sketch only orders shingles: it costs time where it is coarse, no links.
 """
@@ -43,6 +47,8 @@ SKETCH_BITS = 20
 GROUP_SETS = 512
 #: Bytes of compressed texts that are unpacked at a time.
 PACKED_BLOCK = 1 << 18
+#: Bytes of bitmaps that are compared at a time; a group of more goes on whole.
+GROUP_BITS = 1 << 24
 _PARTS = 64
 
 
@@ -82,7 +88,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def text_sets(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, text: str, key: str) -> DataFrame:
-    """``doc_id, n_shingles, digest, prefix`` of every row; the prefix is null for an empty set."""
+    """``doc_id, n_shingles, digest, prefix, bits`` of every row; the prefix is null for an empty set."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(c: dict[str, list]) -> dict[str, list]:
@@ -95,10 +101,83 @@ def text_sets(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, text: s
                 prefixes.append(s[rare].view(np.int64))
             else:
                 prefixes.append(None)
-        return {"doc_id": c["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "prefix": prefixes}
+        return {"doc_id": c["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "prefix": prefixes, "bits": [set_bits(s) for s in sets]}
 
     source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
-    return map_blocks(source, run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
+    return map_blocks(source, run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, bits binary")
+
+
+def set_bits(shingles: np.ndarray) -> bytes:
+    """A bit for each place, of a power of two that is at least twice the set's size, that holds a shingle."""
+    level = max(6, (2 * len(shingles) - 1).bit_length())
+    places = np.zeros(1 << level, dtype=bool)
+    places[(shingles >> np.uint64(64 - level)).astype(np.int64)] = True
+    return np.packbits(places).tobytes()
+
+
+def _at_width(bits: bytes, width: int) -> np.ndarray:
+    """The bitmap in ``width`` bytes: neighbouring places become one."""
+    raw = np.frombuffer(bits, dtype=np.uint8)
+    return raw if len(raw) == width else np.packbits(np.unpackbits(raw).reshape(8 * width, -1).any(axis=1))
+
+
+def may_link(sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which of some sets can have the similarity with another of them, as far as their bitmaps tell; all that do are among them."""
+    width = min(map(len, bits))
+    places = np.stack([_at_width(b, width) for b in bits]).view(np.uint64)
+    taken = np.bitwise_count(places).sum(axis=1, dtype=np.int64)
+    found = np.zeros(len(bits), dtype=bool)
+    for i in range(len(bits)):
+        if found[i]:
+            continue
+        both = np.bitwise_count(places & places[i]).sum(axis=1, dtype=np.int64)
+        # A place of one set alone holds a shingle at least that the other lacks.
+        most = np.minimum(sizes[i] - (taken[i] - both), sizes - (taken - both))
+        hit = 100 * most >= percent * (sizes + sizes[i] - most)
+        hit[i] = False
+        if hit.any():
+            found |= hit
+            found[i] = True
+    return found
+
+
+def _linkable(percent: int):
+    """``leader, member`` of rows sorted by leader, without members that can link with no other there; a group may go on in the next batch."""
+    def keep(leader: int, group: list[tuple[int, int, bytes]]) -> set[tuple[int, int]]:
+        if len(group) < 2:
+            return set()
+        found = may_link(np.array([n for _, n, _ in group], dtype=np.int64), [b for _, _, b in group], percent)
+        return {(leader, group[i][0]) for i in np.flatnonzero(found).tolist()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, group, held, whole = None, [], 0, False
+        kept: set[tuple[int, int]] = set()
+        for batch in batches:
+            for rows in row_slices(batch, 3):
+                for of, member, n, bits in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+                    if of != leader:
+                        kept |= keep(leader, group)
+                        leader, group, held, whole = of, [], 0, False
+                    held += len(bits)
+                    if whole or held > GROUP_BITS:
+                        kept.update((leader, m) for m, _, _ in group)
+                        kept.add((leader, member))
+                        group, whole = [], True
+                    else:
+                        group.append((member, n, bits))
+                if kept:
+                    yield _pairs(kept)
+                    kept = set()
+        kept |= keep(leader, group)
+        if kept:
+            yield _pairs(kept)
+
+    return work
+
+
+def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    found = np.array(sorted(pairs), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["leader", "member"])
 
 
 def _attach(percent: int):
@@ -124,8 +203,7 @@ def _attach(percent: int):
                 # A leader's sets and the larger ones that these can link with.
                 pairs.update((leader, i) for n, leader in leaders if leader != i and 10_000 * n >= percent * percent * size)
             if pairs:
-                found = np.array(sorted(pairs), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["leader", "member"])
+                yield _pairs(pairs)
     return work
 
 
@@ -285,7 +363,18 @@ def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np
     return ids, least[labels]
 
 
-def set_links(docs: DataFrame, attached: DataFrame, n: int, percent: int, group_sets: int) -> DataFrame:
+def linkable_members(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (``leader, member`` and more) without members whose bitmaps rule out every link under their leader."""
+    # Copies of a row with one id are one here, before anything is dealt by id.
+    bitmaps = sets.filter("n_shingles > 0").groupBy("doc_id", "digest").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
+    told = rows.select("leader", "member").hint("shuffle_hash").join(bitmaps.withColumnRenamed("doc_id", "member"), "member")
+    sorted_ = told.select("leader", "member", "n_shingles", "bits").repartition("leader").sortWithinPartitions("leader")
+    # A group may be told in several batches, a member of several sets more than once.
+    kept = sorted_.mapInArrow(_linkable(percent), "leader bigint, member bigint").distinct()
+    return rows.hint("shuffle_hash").join(kept, ["leader", "member"])
+
+
+def set_links(docs: DataFrame, sets: DataFrame, attached: DataFrame, n: int, percent: int, group_sets: int) -> DataFrame:
     """``a, b``: links that connect whatever is connected among the sets under each leader.
 
     A leader of many sets is dealt out in chunks of about ``group_sets``, the
@@ -296,8 +385,11 @@ def set_links(docs: DataFrame, attached: DataFrame, n: int, percent: int, group_
     chunks = counts.select("leader", F.ceil(F.col("sets") / group_sets).cast("int").alias("chunks"))
     rows = attached.join(chunks, "leader").select("leader", "chunks", "member", F.pmod(F.xxhash64("member"), "chunks").cast("int").alias("chunk"))
     rows = rows.unionByName(chunks.select("leader", "chunks", F.col("leader").alias("member"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
+    rows = stage(rows, "group-members")
+    # Sets apart from a hot leader may link with those of any chunk: all of them go on.
+    listed = stage(linkable_members(rows.filter("chunks = 1"), sets, percent).select(rows.columns).unionByName(rows.filter("chunks > 1")), "linkable-members")
     # The list of sets grows with the input: it is hashed where both sides are dealt by id, and never sent whole.
-    listed = stage(rows, "group-members").hint("shuffle_hash")
+    listed = listed.hint("shuffle_hash")
     members = stage(listed.join(packed_texts(docs).withColumnRenamed("doc_id", "member"), "member"), "set-groups")
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +449,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     postings = single.select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
     ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
     attached = stage(ordered.mapInArrow(_attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
-    links = set_links(whole, attached, n, percent, group_sets)
+    links = set_links(whole, single, attached, n, percent, group_sets)
     # Rows of one id with different sets hang together by the id.
     found = connected_components(links)
     resolved = classes.join(found, F.col("first") == F.col("node"), "left").select("digest", "n_shingles", F.coalesce("component", "first").alias("component"))
