@@ -276,6 +276,9 @@ CANDIDATES = BAYES + lexicon("(SELECT * FROM split WHERE is_test)", None).replac
   GROUP BY n.name, n.place)
 """
 
+POSITIONAL = REVIEWS + lexicon("rated", None) + """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS eval_id, doc_id, label, hf_label, hf_score, hf_mapped FROM scored"""
+
 ORACLE: dict[str, str] = {
     "csv_roundtrip": REVIEWS + f"""
 SELECT doc_id, {nullable('review_text')}, {nullable('review_title')}, numeric_rating, label, {nullable('country')} FROM reviews""",
@@ -408,6 +411,12 @@ SELECT among, model, round(accuracy, 6) AS accuracy, format('{:.4f}', accuracy)
     "score_cut_text": REVIEWS + lexicon("unlabelled", 2000) + "SELECT doc_id, hf_label, hf_score, hf_mapped, model FROM scored",
     "score_stream": SCORED_TEXTS,
     "eval_merged": EVALUATION + "SELECT eval_id, review_text, label, hf_label, hf_score, hf_mapped FROM scored",
+    "eval_positional": POSITIONAL,
+    "eval_positional_files": POSITIONAL,
+    "snapshot_versions": REVIEWS + lexicon("rated", None) + """
+SELECT label, count(*) AS n, 100::BIGINT AS sample_size FROM scored WHERE label = hf_mapped GROUP BY label
+UNION ALL SELECT label, count(*), 200 FROM scored GROUP BY label
+UNION ALL SELECT NULL, 0, 300""",
     "eval_snapshot": EVALUATION + """
 SELECT eval_id, label, hf_mapped, model, (SELECT size FROM wanted) AS sample_size, 'review_text' AS text_column FROM scored""",
     "eval_metrics": report(EVALUATION, "scored", "label", "hf_mapped"),

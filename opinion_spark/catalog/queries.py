@@ -14,6 +14,8 @@ from opinion_spark.functions.labels import label_name, normalize_label, rating_t
 from opinion_spark.functions.text import MAX_CHARS, cut_text
 from opinion_spark.operators import class_tables, classifiers, metrics, sampling, scoring, statistics, term_tables, tfidf, words
 from opinion_spark.operators.lexicon import lexicon_scorer
+from opinion_spark.operators.numbering import file_positions
+from opinion_spark.operators.positional import concat_columns, join_positions
 from opinion_spark.plans import classification, evaluation
 from opinion_spark.session import scratch_path, stage
 from opinion_spark.sources.bundle import load_model, save_model
@@ -409,6 +411,43 @@ def eval_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir)[0].select("eval_id", TEXT, LABEL, "hf_label", six("hf_score"), "hf_mapped")
 
 
+def eval_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rated texts beside scores that come as a table of their own, row by row; each table in files and tasks of its own."""
+    reviews = rated(spark, sf_dir)
+    sent = reviews.orderBy(KEY).select(KEY, LABEL)
+    scores = scoring.score(reviews, TEXT, SCORER).repartitionByRange(7, KEY).sortWithinPartitions(KEY)
+    return concat_columns(sent, scores.select("hf_label", six("hf_score"), "hf_mapped"))
+
+
+def eval_positional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored tables, numbered by file and place in the file."""
+    paths = scratch_path(spark, "sent-texts"), scratch_path(spark, "received-scores")
+    reviews = rated(spark, sf_dir)
+    reviews.repartitionByRange(5, KEY).sortWithinPartitions(KEY).select(KEY, LABEL).write.parquet(paths[0])
+    scores = scoring.score(reviews, TEXT, SCORER).repartitionByRange(3, KEY).sortWithinPartitions(KEY)
+    scores.select("hf_label", six("hf_score"), "hf_mapped").write.parquet(paths[1])
+    sent, received = (file_positions(spark, path, "at") for path in paths)
+    return join_positions(sent, received, "at", "at")
+
+
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by label of three versions of one frozen table: the one that a reader had opened, the one after it, and the current one, without rows."""
+    path = scratch_path(spark, "versions")
+    scored = _scored_rated(spark, sf_dir)
+    freeze(scored.filter(F.col(LABEL) == F.col("hf_mapped")), path, 100, TEXT, keep=3)
+    opened = thaw(spark, path, SCORER)
+    freeze(scored, path, 200, TEXT, keep=3)
+    whole = thaw(spark, path, SCORER)
+    freeze(scored.filter("false"), path, 300, TEXT, keep=3)
+    seen = [
+        frozen.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).withColumn("sample_size", F.lit(frozen_settings(frozen)[0]).cast("bigint"))
+        for frozen in (opened, whole)
+    ]
+    empty = thaw(spark, path, SCORER)
+    last = empty.agg(F.lit(None).cast("int").alias(LABEL), F.count(F.lit(1)).alias("n")).withColumn("sample_size", F.lit(frozen_settings(empty)[0]).cast("bigint"))
+    return seen[0].unionByName(seen[1]).unionByName(last)
+
+
 def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "evaluation")
     sample, size = _sampled(spark, sf_dir)
@@ -532,7 +571,10 @@ QUERIES = {
     "score_cut_text": score_cut_text,
     "score_stream": streamed_scores,
     "eval_merged": eval_merged,
+    "eval_positional": eval_positional,
+    "eval_positional_files": eval_positional_files,
     "eval_snapshot": eval_snapshot,
+    "snapshot_versions": snapshot_versions,
     "eval_metrics": eval_metrics,
     "prediction_distribution": prediction_distribution,
     "error_examples": error_examples,

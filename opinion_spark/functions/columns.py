@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,3 +33,11 @@ def lookup(key: Column, table: Mapping, default=None) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """A quotient that is 0 where the denominator is 0."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
+
+
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores after it until no column has the name, in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
