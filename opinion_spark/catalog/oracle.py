@@ -282,6 +282,8 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS eval_id, doc_id, label, hf_lab
 ORACLE: dict[str, str] = {
     "csv_roundtrip": REVIEWS + f"""
 SELECT doc_id, {nullable('review_text')}, {nullable('review_title')}, numeric_rating, label, {nullable('country')} FROM reviews""",
+    "csv_ingested": REVIEWS + f"""
+SELECT doc_id, {nullable('review_text')}, {nullable('review_title')}, numeric_rating, label, {nullable('country')}, 1 AS times_parsed FROM reviews""",
     "csv_parallel": """
 WITH wrapped AS (SELECT doc_id, '"' || chr(10) || ',"' || replace(text, ' ', '"') || chr(10) || '"",' AS t, lang FROM documents)
 SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5, lang AS country FROM wrapped""",

@@ -19,6 +19,7 @@ from opinion_spark.operators.positional import concat_columns, join_positions
 from opinion_spark.plans import classification, evaluation
 from opinion_spark.session import scratch_path, stage
 from opinion_spark.sources.bundle import load_model, save_model
+from opinion_spark.sources.ingest import ingest_reviews
 from opinion_spark.sources.reviews import read_reviews, write_reviews
 from opinion_spark.sources.roles import resolve_roles
 from opinion_spark.sources.snapshot import freeze, frozen_settings, thaw
@@ -57,6 +58,17 @@ def csv_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(KEY, F.length(TEXT).cast("bigint").alias("n_chars"), F.md5(TEXT).alias("text_md5"), COUNTRY)
 
 
+def csv_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews from the stored copy of their CSV file, as a second reader gets them, and how often the file was parsed."""
+    df = reviews(spark, sf_dir)
+    path, store = scratch_path(spark, "reviews-csv"), scratch_path(spark, "ingested")
+    write_reviews(df.select(KEY, *resolve_roles(df.columns).export_columns()), path)
+    schema = f"{KEY} bigint, {TEXT} string, {TITLE} string, {RATING} double, {LABEL} int, {COUNTRY} string"
+    first, again = (ingest_reviews(spark, path, store, schema=schema) for _ in range(2))
+    parsed = len(set(first.inputFiles()) | set(again.inputFiles())) // max(len(first.inputFiles()), 1)
+    return again.select(KEY, TEXT, TITLE, RATING, LABEL, COUNTRY, F.lit(parsed).alias("times_parsed"))
+
+
 def role_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of a table with other column names, and how far each role is filled."""
     df = reviews(spark, sf_dir).select(
@@ -514,6 +526,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "csv_parallel": csv_parallel,
+    "csv_ingested": csv_ingested,
     "role_resolution": role_resolution,
     "rating_to_label": rating_labels,
     "complete_cases": complete_case_rows,
