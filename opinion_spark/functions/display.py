@@ -5,33 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+HALVES = float(2**27 + 1)  # cuts the 53 bits of a double in two
+WHOLE = float(2**52)  # doubles from here on have no fraction
+
 
 def _scaled(value: Column, digits: int) -> Column:
     """``|value| * 10^digits`` as a whole number, half to even, from the double's exact binary value.
 
-    A double is a whole number of at most 53 bits times a power of two. Its
-    decimal digits as printed are rounded already, so that they cannot tell
-    whether a value lies above or below a tie; whole-number arithmetic can.
+    The product of two doubles is its rounded value and a rest that is a double
+    as well; the rest comes from the upper and the lower half of the value's
+    bits, whose products with a power of ten are exact. Decimal digits as
+    printed are rounded already, so that they cannot tell whether a value lies
+    above or below a tie; product and rest can.
     """
-    size = F.abs(value)
-    power = F.floor(F.log2(size)).cast("int")
-    power = power - F.when(F.pow(F.lit(2.0), power) > size, 1).otherwise(0)
-    shift = F.lit(52) - power
-    bits = (size * F.pow(F.lit(2.0), shift)).cast("bigint").cast("decimal(19,0)")
-    tens = F.lit(10**digits).cast("decimal(7,0)")
-    # 2^shift as a decimal: under 2^-44 of a unit everything rounds to 0.
-    small = F.least(shift, F.lit(96))
-    half = F.least(small, F.lit(48))
-    unit = _power_of_two(half) * _power_of_two(small - half)
-    scaled = (bits * tens).cast("decimal(38,0)")
-    whole = F.call_function("div", scaled, unit.cast("decimal(38,0)"))
-    rest = scaled - whole.cast("decimal(19,0)") * unit
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
-    return F.when(size == 0, F.lit(0).cast("bigint")).when(shift > 96, F.lit(0).cast("bigint")).otherwise(whole + up.cast("bigint"))
-
-
-def _power_of_two(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n).cast("decimal(19,0)")
+    size, tens = F.abs(value), F.lit(float(10**digits))
+    product = size * tens
+    spread = size * HALVES
+    upper = spread - (spread - size)
+    rest = (upper * tens - product) + (size - upper) * tens
+    # From 2^52 on the product is whole and the rest may hold units of its own.
+    units = F.when(product < WHOLE, F.lit(0).cast("bigint")).otherwise(F.floor(rest))
+    whole = F.floor(product) + units
+    # Against one half: the product's fraction, or where that is at it or whole, the rest.
+    over = F.when(product < WHOLE, (product - F.floor(product).cast("double")) - 0.5).otherwise((rest - units.cast("double")) - 0.5)
+    up = (over > 0) | ((over == 0) & F.when((product < WHOLE) & (rest != 0), rest > 0).otherwise(whole % 2 == 1))
+    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(whole + up.cast("bigint"))
 
 
 def round_even(value: Column, digits: int) -> Column:

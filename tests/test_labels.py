@@ -72,3 +72,18 @@ def test_display_rounds_the_exact_value(spark):
 def test_thousands(spark):
     got = spark.range(1).select(thousands(F.lit(1234567)).alias("a"), thousands(F.lit(12)).alias("b")).first()
     assert (got.a, got.b) == ("1,234,567", "12")
+
+
+def test_display_of_large_numbers_and_neighbours_of_ties(spark):
+    """Where product and rest both count: near ties, and above 2^52, where the product has no fraction."""
+    values = [2.0**52 - 0.5, 2.0**52 + 1, 2.0**53 - 1, 2.0**60, 4503599627370.49951, 9007199254.740992, 0.49999999999999994]
+    values += [math.nextafter(k / 2000, to) for k in range(1, 4000, 37) for to in (0, 10)] + [(k + 0.5) / 1000 for k in range(0, 10**7, 99991)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 3, 4, 6):
+        rows = df.filter(F.col("x") < 9e18 / 10**digits).select("x", fixed(F.col("x"), digits).alias("f")).collect()
+        assert [r.f for r in rows] == [f"{r.x:.{digits}f}" for r in rows]
+
+
+def test_rounding_needs_no_decimals(spark):
+    plan = spark.range(9).select(round_even(F.col("id") / 8, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "decimal" not in plan.lower()
