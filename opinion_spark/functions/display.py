@@ -25,9 +25,9 @@ def _scaled(value: Column, digits: int) -> Column:
     rest = (upper * tens - product) + (size - upper) * tens
     # From 2^52 on the product is whole and the rest may hold units of its own.
     units = F.when(product < WHOLE, F.lit(0).cast("bigint")).otherwise(F.floor(rest))
-    whole = F.floor(product) + units
+    whole = product.cast("bigint") + units
     # Against one half: the product's fraction, or where that is at it or whole, the rest.
-    over = F.when(product < WHOLE, (product - F.floor(product).cast("double")) - 0.5).otherwise((rest - units.cast("double")) - 0.5)
+    over = F.when(product < WHOLE, (product - product.cast("bigint").cast("double")) - 0.5).otherwise((rest - units.cast("double")) - 0.5)
     up = (over > 0) | ((over == 0) & F.when((product < WHOLE) & (rest != 0), rest > 0).otherwise(whole % 2 == 1))
     return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(whole + up.cast("bigint"))
 
