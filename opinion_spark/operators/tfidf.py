@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions import text as words
 from opinion_spark.functions.columns import named, quoted
 from opinion_spark.functions.stop_words import FEATURE
+from opinion_spark.operators.gram_counts import count_grams
 from opinion_spark.session import stage
 
 # The default settings of the feature step.
@@ -37,21 +38,13 @@ def tokenize(df: DataFrame, text: str, stop_words: Sequence[str] = FEATURE, size
 def term_statistics(df: DataFrame, text: str, stop_words: Sequence[str] = FEATURE, sizes: tuple[int, int] = NGRAM_SIZES) -> DataFrame:
     """Document frequency and total frequency per term.
 
-    Terms are sorted within their document, where a term that differs from the
-    one before it is a first occurrence. One map-side combined aggregation on
-    the term then yields both numbers, and no shuffle by document is needed.
+    Tasks count the terms of blocks of documents, a document's terms once for
+    its frequency. One aggregation of these counts on the term then yields both
+    numbers, and no shuffle by document is needed.
     """
-    docs = tokenize(df.select(named(text).cast("string").alias("t")).filter("t IS NOT NULL"), "t", stop_words, sizes)
-    # The outer form keeps the optimizer from deriving a filter on the term
-    # list, for which it would build every list a second time.
-    marked = F.expr("transform(terms, (t, i) -> struct(t AS term, NOT (get(terms, i - 1) <=> t) AS is_first))")
-    listed = docs.select(F.sort_array("terms").alias("terms")).select(F.explode_outer(marked).alias("t"))
-    return (
-        listed.filter(F.col("t").isNotNull())
-        .select("t.term", F.col("t.is_first").cast("int").alias("is_first"))
-        .groupBy("term")
-        .agg(F.sum("is_first").alias("df"), F.count(F.lit(1)).alias("total_tf"))
-    )
+    docs = df.select(named(text).cast("string").alias("t")).filter("t IS NOT NULL")
+    tokens = docs.select(F.expr(words.without_words(words.feature_tokens("t"), stop_words)).alias("tokens"))
+    return count_grams(tokens, "tokens", sizes).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
 
 
 @dataclass(frozen=True)
