@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions.columns import named, quoted
 from opinion_spark.functions.stop_words import CLOUD
 from opinion_spark.functions.text import cloud_words
+from opinion_spark.operators.gram_counts import count_successors
 from opinion_spark.session import stage
 
 # Size of the cloud and the score a pair must exceed.
@@ -25,18 +26,16 @@ def count_words(df: DataFrame, text: str, stop_words: Sequence[str] = CLOUD) ->
     ``second`` is NULL at the end of a text and before a stop word, so that a
     row is a pair where ``second`` is set, and the rows of a word add up to its
     count. Successors are taken before stop words are left out, within a text.
+    Tasks count pairs first, so that stop words are looked up once a distinct pair.
     """
     words = df.filter(named(text).isNotNull()).select(F.expr(cloud_words(quoted(text))).alias("words"))
-    # The outer form keeps the optimizer from deriving a filter on the word
-    # list, for which it would split every text a second time.
-    pairs = F.expr("transform(words, (w, i) -> struct(w AS first, get(words, i + 1) AS second))")
-    listed = words.select(F.explode_outer(pairs).alias("p")).filter(F.col("p").isNotNull()).select("p.first", "p.second")
+    counted = count_successors(words, "words")
     stops = list(stop_words)
     if stops:
-        listed = listed.filter(~F.lower("first").isin(stops)).withColumn(
+        counted = counted.filter(~F.lower("first").isin(stops)).withColumn(
             "second", F.when(~F.lower("second").isin(stops), F.col("second"))
         )
-    return listed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
 def _single_counts(counted: DataFrame) -> DataFrame:
