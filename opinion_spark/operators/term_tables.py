@@ -44,15 +44,18 @@ class TermTable:
         found = listed.withColumn("_starts", F.expr(starts)).select(*map(named, keep), F.expr(f"inline_outer({runs})"))
         return found.filter(F.col("term").isNotNull())
 
-    def weights(self, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
-        """Unit-length vectors in long form: ``key, *keep, term, term_index, tf, weight``. Keys must be unique."""
+    def weights(self, df: DataFrame, key: str, keep: Sequence[str] = (), fields: Sequence[str] = ("term", "term_index", "tf")) -> DataFrame:
+        """Unit-length vectors in long form: ``key, *keep, *fields, weight``. Keys must be unique.
+
+        Only ``fields`` are shuffled by document.
+        """
         columns = [key, *keep]
         raw = self.counts(df, columns).join(self.terms.select("term", "term_index", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-        entry = F.struct("term", "term_index", "tf", "raw")
+        entry = F.struct(*fields, "raw")
         # A row holds one document's terms.
         grouped = raw.groupBy(*map(named, columns)).agg(F.collect_list(entry).alias("entries"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         return grouped.select(*map(named, columns), "norm", F.inline("entries")).select(
-            *map(named, columns), "term", "term_index", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+            *map(named, columns), *fields, (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def fit_term_table(
@@ -118,10 +121,10 @@ def fit_table_bayes(vocabulary: TermTable, df: DataFrame, key: str, label: str =
     def of(c: Hashable) -> Column:
         return F.coalesce(F.sum(F.when(named(label) == F.lit(c), F.col("weight"))), F.lit(0.0))
 
-    weights = vocabulary.weights(df.filter(named(label).isNotNull()), key, [label])
-    sums = stage(weights.groupBy("term").agg(*(of(c).alias(f"s{i}") for i, c in enumerate(classes))), "class-sums")
+    weights = vocabulary.weights(df.filter(named(label).isNotNull()), key, [label], ["term_index"])
+    sums = stage(weights.groupBy("term_index").agg(*(of(c).alias(f"s{i}") for i, c in enumerate(classes))), "class-sums")
     # One row of sums over the classes.
     whole = sums.agg(F.count(F.lit(1)).alias("terms"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(classes)))).first()
     theta = F.array(*(F.log((F.col(f"s{i}") + alpha) / F.lit((whole[f"s{i}"] or 0.0) + alpha * whole.terms)) for i in range(len(classes))))
-    parameters = stage(sums.join(vocabulary.terms, "term").select("term", "idf", theta.alias("log_theta")), "bayes-parameters")
+    parameters = stage(sums.join(vocabulary.terms, "term_index").select("term", "idf", theta.alias("log_theta")), "bayes-parameters")
     return TableBayes(classes, tuple(math.log(n / total) for n in counts.values()), vocabulary, parameters)
