@@ -64,6 +64,8 @@ def score(
     ``on_error="null"`` gives a text that the model fails on a NULL label, score
     0 and mapped label 0 instead of failing the job: a failed call is halved
     until the bad texts are alone. A model that cannot be loaded fails the job.
+    Conditions on the result are never moved below it: what ``df`` leaves out,
+    by its filters or joins, is not scored. Filter before, where that is enough.
     """
     if call_bytes < 1:
         raise ValueError("call_bytes must be at least 1")
@@ -128,7 +130,8 @@ def _scoring_udf(name: str, factory: Factory, on_error: str, call_bytes: int):
             made = pd.concat([run(model, texts.iloc[places].reset_index(drop=True)) for places in calls], ignore_index=True)
             yield made.iloc[np.argsort(np.concatenate(calls))].reset_index(drop=True)
 
-    return scored
+    # Else Spark tests results on one side of a join or before a sample's draw, and scores rows that are not in ``df``.
+    return scored.asNondeterministic()
 
 
 def call_places(texts: pd.Series, call_bytes: int) -> list[np.ndarray]:

@@ -1,8 +1,10 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from opinion_spark.operators import scoring as s
 from opinion_spark.operators.lexicon import lexicon_scorer
+from opinion_spark.operators.metrics import error_examples
 from opinion_spark.plans.evaluation import evaluation_report, format_summary, headline_metrics
 from opinion_spark.streaming.scores import read_text_stream, score_stream, write_scores
 
@@ -176,3 +178,27 @@ def test_evaluation(spark):
     assert shown.accuracy == pytest.approx(accuracy) and shown.accuracy_percent == f"{accuracy:.2%}"
     assert report.errors.count() == min(10, round((1 - accuracy) * 90))
     assert report.report.count() == 6
+
+
+def test_conditions_on_results_score_the_sample_alone(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame([(i, (-1, 0, 1)[i % 3]) for i in range(300)], "mark_id bigint, label int").write.parquet(f"{tmp_path}/marks")
+    marked = spark.read.parquet(f"{tmp_path}/texts").join(spark.read.parquet(f"{tmp_path}/marks"), F.col("doc_id") == F.col("mark_id")).drop("mark_id")
+
+    def scorer(only):
+        def factory():
+            def batch(texts):
+                if only and not set(texts) <= only:
+                    raise RuntimeError("a text outside the sample was scored")
+                return pd.DataFrame({"label": ["POSITIVE"] * len(texts), "score": [1.0] * len(texts)})
+            return batch
+        return factory
+
+    drawn = {r.text for r in s.evaluate_sample(marked, "doc_id", "text", scorer(None), 30, model="any").collect()}
+    assert len(drawn) == 30
+    sample = s.evaluate_sample(marked, "doc_id", "text", scorer(drawn), 30, model="sample-only")
+    wrong = error_examples(sample, "label", "hf_mapped", "text", n=50).collect()
+    assert len(wrong) == 20 and {r.predicted_name for r in wrong} == {"Positif"}
+    some = marked.filter("label = 1")
+    scored = s.score(some, "text", scorer({r.text for r in some.collect()}), model="joined-only")
+    assert scored.filter("label = hf_mapped").count() == 100
