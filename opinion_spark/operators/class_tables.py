@@ -1,7 +1,7 @@
 """Exact stratified splits over any number of classes: counts, quotas and cuts stay tables.
 
 ``sampling`` holds one count per class on the driver. Here class counts are
-numbered by remainder where they are, and the hash cut of every class is found
+shared out by remainder where they are, and the hash cut of every class is found
 in rounds of joins with the ranges still in question: a class is halved by
 counting until few of its rows are left, and only those are ranked.
 """
@@ -46,9 +46,23 @@ def allocate_test_rows(counts: DataFrame, test_size: float) -> DataFrame:
     product = F.col("n").cast("decimal(38,0)") * F.lit(n_train).cast("decimal(20,0)")
     low = F.expr(f"CAST(CAST(n AS DECIMAL(20,0)) * {n_train} div {total} AS BIGINT)")
     shared = counts.withColumn("low", low).withColumn("rest", (product - F.col("low") * F.lit(total).cast("decimal(20,0)")).cast("decimal(38,0)"))
-    left = n_train - shared.agg(F.sum("low")).first()[0]
-    placed = numbered(shared, [F.desc("rest"), F.asc("g")], "place", "class-remainders")
-    return placed.select("g", "n", (F.col("n") - F.col("low") - (F.col("place") < left).cast("bigint")).alias("take"))
+    # A remainder depends on the size alone, and n rows have at most sqrt(2 n) different class sizes.
+    sizes = shared.groupBy("rest").agg(F.count(F.lit(1)).alias("classes"), F.sum("low").alias("rows")).collect()
+    left = n_train - sum(r["rows"] for r in sizes)
+    more = F.lit(False)
+    for r in sorted(sizes, key=lambda r: -r["rest"]):
+        if left <= 0:
+            break
+        rest = F.lit(r["rest"]).cast("decimal(38,0)")
+        if left >= r["classes"]:
+            more = F.col("rest") >= rest
+        else:  # only the classes of this remainder are put in order, up to the last one that gets a row
+            placed = numbered(shared.filter(F.col("rest") == rest).select("g"), [F.asc("g")], "place", "class-remainders")
+            last = placed.filter(F.col("place") == left - 1).select(F.col("g").alias("_last"))
+            shared = shared.crossJoin(F.broadcast(last))
+            more = (F.col("rest") > rest) | ((F.col("rest") == rest) & (F.col("g") <= F.col("_last")))
+        left -= r["classes"]
+    return shared.select("g", "n", (F.col("n") - F.col("low") - more.cast("bigint")).alias("take"))
 
 
 def class_cuts(hashes: DataFrame, quotas: DataFrame, few: int = 10_000, cells: int = CELLS) -> DataFrame:
@@ -73,7 +87,9 @@ def class_cuts(hashes: DataFrame, quotas: DataFrame, few: int = 10_000, cells: i
         # A cell of one hash value holds copies of a key, however many.
         small = (F.col("inside") <= few) | (F.col("high") - F.col("low") <= 1)
         done, open_ = done.unionByName(next_.filter(small)), next_.filter(~small)
-    near = hashes.withColumn("x", x).join(done, "g").filter("x >= low AND x < high").groupBy("g", "h", "missing", "take").agg(F.count(F.lit(1)).alias("rows"))
+    # Most classes are small and never narrowed: their hashes need no number.
+    within = ((F.col("low") == 0) & (F.col("high") == SPAN)) | ((x >= F.col("low")) & (x < F.col("high")))
+    near = hashes.join(done, "g").filter(within).groupBy("g", "h", "missing", "take").agg(F.count(F.lit(1)).alias("rows"))
     ranked = near.withColumn("upto", F.sum("rows").over(Window.partitionBy("g").orderBy("h"))).filter("upto >= missing AND upto - rows < missing")
     return stage(ranked.select("g", F.col("h").alias("cut"), "rows", (F.col("upto") - F.col("missing")).alias("over")), "class-cuts")
 
@@ -93,14 +109,15 @@ def split_classes(df: DataFrame, key: str, label: str = LABEL, test_size: float
     split = cuts.filter("over > 0").select(F.col("g").alias("_g"), F.col("cut").alias("_cut"), "rows", "over")
     drawn = draw_hash(named(key), seed)
     if split.isEmpty():
-        second = cuts.select("g", F.lit(None).cast("string").alias("second"))
+        found = cuts.withColumn("second", F.lit(None).cast("string"))
         df = df.withColumn("_row", F.lit(0))
     else:
         df = stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
         copies = df.join(split, (named(label) == F.col("_g")) & (drawn == F.col("_cut"))).select(F.col("_g").alias("g"), draw_hash(F.col("_row"), seed, "-row").alias("h"))
         quotas = split.select(F.col("_g").alias("g"), F.col("rows").alias("n"), (F.col("rows") - F.col("over")).alias("take"))
         second = class_cuts(stage(copies, "copies"), quotas, few).select("g", F.col("cut").alias("second"))
-    found = cuts.join(second, "g", "left").select(F.col("g").alias("_g"), F.col("cut").alias("_cut"), F.col("second").alias("_second"))
+        found = cuts.join(second, "g", "left")
+    found = found.select(F.col("g").alias("_g"), F.col("cut").alias("_cut"), F.col("second").alias("_second"))
     at_cut = F.col("_second").isNull() | (draw_hash(F.col("_row"), seed, "-row") <= F.col("_second"))
     joined = df.join(found, named(label) == F.col("_g"), "left")
     return joined.withColumn("is_test", (drawn < F.col("_cut")) | ((drawn == F.col("_cut")) & at_cut)).drop("_g", "_cut", "_second", "_row")

@@ -99,3 +99,20 @@ def test_copies_of_keys_are_split_to_the_row(spark, few):
     sizes = Counter(g for _, g, _ in rows)
     take = sampling.allocate_test(dict(sorted(sizes.items())), 0.3)
     assert {g: got[g, True] for g in sizes} == take and {g: got[g, False] + got[g, True] for g in sizes} == sizes
+
+
+def test_only_classes_of_one_remainder_are_put_in_order(spark, monkeypatch):
+    ordered = []
+
+    def counting(df, *args):
+        ordered.append(df.count())
+        return numbered(df, *args)
+
+    monkeypatch.setattr(c, "numbered", counting)
+    for sizes, share in [({g: 2 + g % 7 for g in range(70)}, 0.4), ({f"k{g}": 5 for g in range(30)}, 0.3), ({g: 10 for g in range(8)}, 0.5), ({g: 2 + g * g for g in range(12)}, 0.35)]:
+        ordered.clear()
+        counts = spark.createDataFrame(list(sizes.items()), f"g {'string' if 'k0' in sizes else 'bigint'}, n bigint")
+        got = {r.g: (r.n, r["take"]) for r in c.allocate_test_rows(counts, share).collect()}
+        take = sampling.allocate_test(dict(sorted(sizes.items())), share)
+        assert got == {g: (sizes[g], take[g]) for g in sizes}
+        assert sum(ordered) <= max(list(sizes.values()).count(n) for n in sizes.values())
