@@ -16,6 +16,9 @@ from opinion_spark.session import stage
 
 #: Characters of text that are worked on at a time: bounds the memory of a task, whatever the batch.
 BLOCK_CHARS = 1 << 20
+#: Bytes of an Arrow batch, of which an executor and a worker hold one or two a task: by Spark's default up to 64 MB.
+BATCH_BYTES = 4 * BLOCK_CHARS
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def numbered_rows(df: DataFrame) -> tuple[DataFrame, str]:
@@ -40,6 +43,17 @@ def row_slices(batch: pa.RecordBatch, text: str | int, limit: int = BLOCK_CHARS)
         start = end
 
 
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` on batches of about ``BATCH_BYTES``, whatever the length of the texts.
+
+    The limit is a setting of the session, as Spark reads it where a task runs; one that is set already stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_LIMIT, None) is None:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def map_blocks(
     df: DataFrame,
     run: Callable[[dict[str, list]], dict[str, list] | None],
@@ -62,7 +76,7 @@ def map_blocks(
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(work, struct)
+    return map_batches(df, work, struct)
 
 
 def edit_rows(df: DataFrame, edit: Callable[[list], tuple[list | None, list[bool] | None]], text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -82,4 +96,4 @@ def edit_rows(df: DataFrame, edit: Callable[[list], tuple[list | None, list[bool
                     rows = rows.set_column(place, batch.schema.field(place), pa.array(new, type=kind))
                 yield rows if stay is None else rows.filter(pa.array(stay, type=pa.bool_()))
 
-    return df.mapInArrow(work, df.schema)
+    return map_batches(df, work, df.schema)

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.batches import map_batches, map_blocks, numbered_rows, row_slices
 from opinion_spark.llm.wordhash import ALPHANUMERIC, hash_words
 from opinion_spark.session import stage
 
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_ch
                 yield pa.RecordBatch.from_pydict(row, schema=arrow)
 
     source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).alias("text"))
-    return stage(source.mapInArrow(index, INDEX_SCHEMA), "positional-index")
+    return stage(map_batches(source, index, INDEX_SCHEMA), "positional-index")
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None, block_
                     if made["shard"]:
                         yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
-        part = index.select("shard", "n_words", "terms", "starts", "positions").mapInArrow(answer, MATCH_SCHEMA)
+        part = map_batches(index.select("shard", "n_words", "terms", "starts", "positions"), answer, MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 

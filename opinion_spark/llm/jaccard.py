@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.batches import map_batches, map_blocks, numbered_rows, row_slices
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
 from opinion_spark.session import stage
@@ -75,7 +75,7 @@ def shingle_sketch(docs: DataFrame, n: int = SHINGLE_WORDS, text: str = "text")
             total += np.frombuffer(raw, dtype="<u4")
         return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [total.tobytes()]})
 
-    counted = docs.select(named(text).alias("text")).mapInArrow(count, "part int, counts binary")
+    counted = map_batches(docs.select(named(text).alias("text")), count, "part int, counts binary")
     sketch = np.zeros((_PARTS, width), dtype=np.int64)
     for row in counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
         sketch[row.part] = np.frombuffer(row.counts, dtype="<i8")
@@ -334,7 +334,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 texts = [None if t is None else zlib.compress(t, 1) for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, type=pa.binary())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, text binary")
+    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), work, "doc_id bigint, text binary")
 
 
 def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +370,7 @@ def linkable_members(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     told = rows.select("leader", "member").hint("shuffle_hash").join(bitmaps.withColumnRenamed("doc_id", "member"), "member")
     sorted_ = told.select("leader", "member", "n_shingles", "bits").repartition("leader").sortWithinPartitions("leader")
     # A group may be told in several batches, a member of several sets more than once.
-    kept = sorted_.mapInArrow(_linkable(percent), "leader bigint, member bigint").distinct()
+    kept = map_batches(sorted_, _linkable(percent), "leader bigint, member bigint").distinct()
     return rows.hint("shuffle_hash").join(kept, ["leader", "member"])
 
 
@@ -448,7 +448,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     single = sets.filter("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = single.select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
     ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
-    attached = stage(ordered.mapInArrow(_attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
+    attached = stage(map_batches(ordered, _attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
     links = set_links(whole, single, attached, n, percent, group_sets)
     # Rows of one id with different sets hang together by the id.
     found = connected_components(links)

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import BLOCK_CHARS, row_slices
+from opinion_spark.llm.batches import BLOCK_CHARS, map_batches, row_slices
 from opinion_spark.llm.wordhash import BLANKS, hash_words
 from opinion_spark.session import stage
 
@@ -35,8 +35,11 @@ PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32
 BLOCK_PIECES = 1 << 16
 #: Pieces under this part of the capacity are placed last.
 SHORT_PART = 16
-#: Encoded words that a Python worker keeps, some 60 bytes each; beyond that the half met last stays.
-CACHED_WORDS = 1 << 20
+#: Encoded words that a Python worker keeps, some 40 bytes each, and ids of them; beyond that the half met last stays.
+CACHED_WORDS = 1 << 19
+CACHED_IDS = 1 << 22
+#: New words that go through the tokenizer at a time, as it takes far more memory than their ids.
+ENCODED_WORDS = 1 << 12
 
 # Words that are surely one word, perhaps with signs behind it, for the tokenizer's
 # own splitting: letters with at most one accent, already composed.
@@ -63,7 +66,7 @@ class WordEncoder:
         self._ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         # Sorted hashes; where in the pool each word's ids begin, how many, and when it was met last.
         self._hashes = np.empty(0, dtype=np.uint64)
-        self._begin, self._size, self._met = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self._begin, self._size, self._met = (np.empty(0, dtype=kind) for kind in (np.int64, np.int32, np.int32))
         self._pool = np.empty(0, dtype="<u4")
         self._calls = 0
 
@@ -71,16 +74,17 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _encode_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of all words, and where each word's begin and how many they are."""
+        """The ids of all words, and where each word's begin and how many they are; no ids lie between words."""
         found = [_PLAIN.match(word) for word in words]
         plain = np.array([f is not None for f in found], dtype=bool)
         ids, begin, size = np.empty(0, dtype="<u4"), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         if plain.any():
-            ids = np.array(self._tokenizer.encode_batch_fast([" ".join([f.string for f in found if f])], add_special_tokens=False)[0].ids, dtype="<u4")
-            last = np.flatnonzero(self._ends[ids]) + 1
+            together = np.array(self._tokenizer.encode_batch_fast([" ".join([f.string for f in found if f])], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self._ends[together]) + 1
             parts = np.cumsum([2 if f.group(1) else 1 for f in found if f])  # words that the tokenizer sees
             if len(last) == parts[-1]:
                 cuts = last[parts - 1]
+                ids = together[:cuts[-1]]
                 size[plain] = np.diff(cuts, prepend=0)
                 begin[plain] = cuts - size[plain]
             else:
@@ -95,13 +99,13 @@ class WordEncoder:
 
     def _learn(self, hashes: np.ndarray, words: Sequence[str]) -> None:
         """Add words by their sorted, unknown ``hashes``."""
-        ids, begin, size = self._encode_words(words)
-        if len(self._hashes) + len(words) > CACHED_WORDS:
-            stay = np.sort(np.argsort(-self._met, kind="stable")[:CACHED_WORDS // 2])
-            stay = np.union1d(stay, np.flatnonzero(self._met == self._calls))  # the words of this call are needed in any case
-            sizes = self._size[stay]
-            self._pool = self._pool[_ranges(self._begin[stay], sizes)]
-            self._hashes, self._met, self._size, self._begin = self._hashes[stay], self._met[stay], sizes, np.cumsum(sizes) - sizes
+        parts = [self._encode_words(words[a:a + ENCODED_WORDS]) for a in range(0, len(words), ENCODED_WORDS)]
+        ids = np.concatenate([part for part, _, _ in parts])
+        before = np.cumsum([0] + [len(part) for part, _, _ in parts])
+        begin = np.concatenate([a + b for a, (_, b, _) in zip(before, parts, strict=False)])
+        size = np.concatenate([s for _, _, s in parts])
+        if len(self._hashes) + len(words) > CACHED_WORDS or len(self._pool) + len(ids) > CACHED_IDS:
+            self._forget()
         at = np.searchsorted(self._hashes, hashes)
         self._begin = np.insert(self._begin, at, begin + len(self._pool))
         self._size = np.insert(self._size, at, size)
@@ -109,6 +113,19 @@ class WordEncoder:
         self._hashes = np.insert(self._hashes, at, hashes)
         self._pool = np.concatenate([self._pool, ids])
 
+    def _forget(self) -> None:
+        """Keep the words met last, up to half of what may be kept, and those of this call, needed in any case."""
+        latest = np.argsort(-self._met, kind="stable")[:CACHED_WORDS // 2]
+        stay = self._met == self._calls
+        stay[latest[np.cumsum(self._size[latest]) <= CACHED_IDS // 2]] = True
+        # The pool holds the words' ids end to end, in the order in which the words came.
+        order = np.argsort(self._begin, kind="stable")
+        self._pool = self._pool[np.repeat(stay[order], self._size[order])]
+        order = order[stay[order]]
+        sizes = self._size[order]
+        self._begin[order] = np.cumsum(sizes) - sizes
+        self._hashes, self._begin, self._size, self._met = (a[stay] for a in (self._hashes, self._begin, self._size, self._met))
+
     def encode(self, texts: Sequence[str | bytes | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         ids, bounds = self.encode_block(texts)
@@ -181,7 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], str], capacity: int =
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     source = docs.select(named(key).cast("bigint").alias("doc_id"), named(text).cast("binary").alias("text"))
-    return source.mapInArrow(work, PIECE_SCHEMA)
+    return map_batches(source, work, PIECE_SCHEMA)
 
 
 class OpenSequences:

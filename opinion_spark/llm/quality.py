@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
-from opinion_spark.llm.batches import edit_rows, map_blocks, row_slices
+from opinion_spark.llm.batches import edit_rows, map_batches, map_blocks, row_slices
 from opinion_spark.llm.wordhash import SPACED, gram_hashes, hash_words
 
 SPACES = " \t\n\v\f\r"
@@ -173,7 +173,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str
                     rejected = int(rule.reject(block, np.arange(len(block.texts))).sum())
                     yield pa.RecordBatch.from_pydict({"n": [n], "s": [perf_counter() - start], "rejected": [rejected]}, schema=pa.schema([("n", pa.int32()), ("s", pa.float64()), ("rejected", pa.int64())]))
 
-    found = sample.mapInArrow(measure, "n int, s double, rejected bigint").groupBy("n").agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"))
+    found = map_batches(sample, measure, "n int, s double, rejected bigint").groupBy("n").agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"))
     cost = {r.n: (-r.rejected / max(r.s, 1e-9), r.s) for r in found.collect()}  # a row for each rule
     return [rules[n] for n in sorted(range(len(rules)), key=lambda n: cost.get(n, (0.0, 0.0)))]
 

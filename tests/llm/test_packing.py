@@ -115,3 +115,51 @@ def test_cache_keeps_the_words_met_last(monkeypatch):
         texts = [" ".join(f"{rng.choice(['wort', 'Wörter,', 'x1', chr(233)])}{rng.randrange(40)}" for _ in range(rng.randint(0, 80))) for _ in range(3)]
         assert encoder.encode(texts) == [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert len(encoder._hashes) == len(encoder._begin) == len(encoder._size) == len(encoder._met) < 400
+
+
+class CountingTokenizer:
+    """The tokenizer, with the characters that each call of it got."""
+
+    def __init__(self):
+        self.chars = []
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.chars.append(sum(map(len, texts)))
+        return TOKENIZER.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_new_words_of_a_block_are_encoded_in_parts():
+    encoder = WordEncoder(PATH)
+    encoder._tokenizer = counting = CountingTokenizer()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(f"{a}{b}{c}{end}" for a in letters for b in letters for c in letters for end in ("", "!", "7"))
+    assert encoder.encode([text]) == [np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    assert max(counting.chars) < len(text) / 8
+
+
+def test_cache_of_long_words_is_bounded(monkeypatch):
+    monkeypatch.setattr("opinion_spark.llm.packing.CACHED_IDS", 500)
+    encoder, rng = WordEncoder(PATH), random.Random(2)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcxyz0123456789é") for _ in range(200)) + " kurz wort"]
+        assert encoder.encode(texts) == [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(encoder._pool) < 1000 and encoder._size.sum() == len(encoder._pool)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+    from opinion_spark.llm.batches import BATCH_BYTES, map_batches
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "n": [batch.num_rows]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    got = map_batches(texts, sizes, "bytes bigint, n bigint").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+    spark.conf.set(limit, "1m")  # what a user has set stays
+    assert max(r.bytes for r in map_batches(texts, sizes, "bytes bigint, n bigint").collect()) < BATCH_BYTES
+    spark.conf.unset(limit)
