@@ -21,14 +21,20 @@ BATCH_BYTES = 4 * BLOCK_CHARS
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered_rows(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a number of its own for every row, whatever its ids, and that column's name, one the table does not have.
 
     Written, so that it stays the same in every reading.
     """
-    taken, row = {c.lower() for c in df.columns}, "_row_number"
-    while row in taken:
-        row += "_"
+    row = free_name(df, "_row_number")
     return stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
 
 

@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions.columns import named
 from opinion_spark.llm.batches import map_batches, map_blocks, numbered_rows, row_slices
+from opinion_spark.llm.bit_tables import bit_place, bit_table, filter_rows, may_hold
 from opinion_spark.llm.components import connected_components
 from opinion_spark.llm.wordhash import SPACED, hash_words, shingle_sets, text_blocks
-from opinion_spark.session import stage
+from opinion_spark.session import drop_staged, stage, staged_paths
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -56,6 +57,17 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w - (w == 8)))
+    return zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked_counts(packed: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // size}").astype(np.int64)
+
+
 def shingle_sketch(docs: DataFrame, n: int = SHINGLE_WORDS, text: str = "text") -> np.ndarray:
     """How many texts have a shingle in each of the sketch's buckets."""
     width = (1 << SKETCH_BITS) // _PARTS
@@ -66,19 +78,19 @@ def shingle_sketch(docs: DataFrame, n: int = SHINGLE_WORDS, text: str = "text")
             for rows in row_slices(batch, 0):
                 for shingles in shingle_sets(hash_words(rows.column(0).to_pylist(), SPACED), n):
                     np.add.at(total, _buckets(shingles), 1)
-        rows = total.astype("<u4").reshape(_PARTS, width)
-        yield pa.RecordBatch.from_pydict({"part": list(range(_PARTS)), "counts": [r.tobytes() for r in rows]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+        rows = total.reshape(_PARTS, width)
+        yield pa.RecordBatch.from_pydict({"part": list(range(_PARTS)), "counts": [_packed_counts(r) for r in rows]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, dtype=np.int64)
         for raw in parts["counts"]:
-            total += np.frombuffer(raw, dtype="<u4")
-        return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [total.tobytes()]})
+            total += _unpacked_counts(raw, width)
+        return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [_packed_counts(total)]})
 
     counted = map_batches(docs.select(named(text).alias("text")), count, "part int, counts binary")
     sketch = np.zeros((_PARTS, width), dtype=np.int64)
     for row in counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        sketch[row.part] = np.frombuffer(row.counts, dtype="<i8")
+        sketch[row.part] = _unpacked_counts(row.counts, width)
     return np.minimum(sketch, 2**32 - 1).astype(np.uint32).reshape(-1)
 
 
@@ -326,15 +338,21 @@ class SetJoin:
             self._link(x, others[self._reach(overlap + change[others], total, 2 * self.percent)])
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with texts compressed, as they are dealt by id and then by leader: less than half of what is shuffled otherwise."""
+def packed_texts(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``doc_id, text`` with texts compressed, as they are dealt by id and then by leader: less than half of what is shuffled otherwise.
+
+    Rows whose id is surely not among the ``doc_id`` of ``listed`` are left out; a join with it must follow.
+    """
+    table = bit_table(listed.select("doc_id"))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in row_slices(batch, 1):
+            told = batch.filter(pa.array(may_hold(table.value, batch.column(2).to_numpy())))
+            for rows in row_slices(told, 1):
                 texts = [None if t is None else zlib.compress(t, 1) for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, type=pa.binary())], names=["doc_id", "text"])
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), work, "doc_id bigint, text binary")
+    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"), bit_place("doc_id").alias("place")), work, "doc_id bigint, text binary")
 
 
 def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,8 +383,9 @@ def _join_rows(rows: pd.DataFrame, n: int, percent: int) -> tuple[np.ndarray, np
 
 def linkable_members(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``rows`` (``leader, member`` and more) without members whose bitmaps rule out every link under their leader."""
+    listed = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest", "bits")
     # Copies of a row with one id are one here, before anything is dealt by id.
-    bitmaps = sets.filter("n_shingles > 0").groupBy("doc_id", "digest").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
+    bitmaps = filter_rows(listed, bit_table(rows.select(F.col("member").alias("doc_id"))), "doc_id").groupBy("doc_id", "digest").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
     told = rows.select("leader", "member").hint("shuffle_hash").join(bitmaps.withColumnRenamed("doc_id", "member"), "member")
     sorted_ = told.select("leader", "member", "n_shingles", "bits").repartition("leader").sortWithinPartitions("leader")
     # A group may be told in several batches, a member of several sets more than once.
@@ -389,8 +408,8 @@ def set_links(docs: DataFrame, sets: DataFrame, attached: DataFrame, n: int, per
     # Sets apart from a hot leader may link with those of any chunk: all of them go on.
     listed = stage(linkable_members(rows.filter("chunks = 1"), sets, percent).select(rows.columns).unionByName(rows.filter("chunks > 1")), "linkable-members")
     # The list of sets grows with the input: it is hashed where both sides are dealt by id, and never sent whole.
-    listed = listed.hint("shuffle_hash")
-    members = stage(listed.join(packed_texts(docs).withColumnRenamed("doc_id", "member"), "member"), "set-groups")
+    texts = packed_texts(docs, listed.select(F.col("member").alias("doc_id"))).withColumnRenamed("doc_id", "member")
+    members = stage(listed.hint("shuffle_hash").join(texts, "member"), "set-groups")
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         leader = int(rows["leader"].iloc[0])
@@ -417,6 +436,19 @@ def set_links(docs: DataFrame, sets: DataFrame, attached: DataFrame, n: int, per
     return found.select("a", "b").unionByName(across)
 
 
+def first_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``n_shingles, doc_id, prefix`` of the rows whose id is the first of a class of equal sets.
+
+    A set that one row has stands for itself: prefixes are shuffled for repeated sets, and the few others that share a bit with one.
+    """
+    repeated = bit_table(classes.filter("rows > 1").select("digest"))
+    rows = sets.filter("n_shingles > 0").select("digest", "n_shingles", "doc_id", "prefix")
+    # The list of firsts grows with the input: it is never sent whole.
+    firsts = classes.select(F.col("first").alias("doc_id")).distinct().hint("merge")
+    asked = filter_rows(rows, repeated, "digest").join(firsts, "doc_id", "left_semi")
+    return filter_rows(rows, repeated, "digest", held=False).unionByName(asked).drop("digest")
+
+
 def named_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     """``doc_id, text`` and a bound: rows without an id get one of their own above it, so that links lead through them.
 
@@ -443,13 +475,12 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = P
     whole, top = named_rows(docs, text, key)
     sets = stage(text_sets(whole, shingle_sketch(whole, n), n, percent, "text", "doc_id"), "shingle-sets")
     # Equal sets: one of them stands for all.
-    classes = sets.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"))
+    classes = sets.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = stage(classes, "set-classes")
-    single = sets.filter("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    postings = single.select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
+    postings = first_rows(sets, classes).select(F.explode("prefix").alias("token"), "n_shingles", "doc_id")
     ordered = postings.repartition("token").sortWithinPartitions("token", "n_shingles", "doc_id")
     attached = stage(map_batches(ordered, _attach(percent), "leader bigint, member bigint").distinct(), "set-pairs")
-    links = set_links(whole, single, attached, n, percent, group_sets)
+    links = set_links(whole, sets, attached, n, percent, group_sets)
     # Rows of one id with different sets hang together by the id.
     found = connected_components(links)
     resolved = classes.join(found, F.col("first") == F.col("node"), "left").select("digest", "n_shingles", F.coalesce("component", "first").alias("component"))
@@ -475,10 +506,12 @@ def keep_one_row(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT
     Rows are told apart by themselves and not by their ids. Rows without words all stay.
     """
     numbered, row = numbered_rows(docs)
+    before = len(staged_paths(docs.sparkSession))
     found = jaccard_components(numbered, n, percent, text, row).filter("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
     found = stage(found.join(numbered.select(row, named(key).cast("bigint").alias("_id")), row), "components")
     rank = F.struct(F.col("_id").isNull().alias("no_id"), "_id", row)
     firsts = found.groupBy("component_id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     # Written, so that its size is known and texts are not shuffled for a short list.
     gone = stage(found.join(firsts, "component_id").filter(F.col(row) != F.col(f"first.{row}")).select(row), "copies")
+    drop_staged(docs.sparkSession, before, -1)  # all that only this list was made of
     return numbered.join(gone, row, "left_anti").drop(row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import warnings
 
@@ -65,7 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_staged: dict[str, list[str]] = {}
+_staged: dict[tuple[str, int], list[str]] = {}
+
+
+def _own(spark: SparkSession) -> list[str]:
+    """What this thread has staged: others may stage and drop theirs meanwhile."""
+    return _staged.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -78,23 +84,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _own(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_paths(spark: SparkSession) -> list[str]:
-    """Tables that this application has staged and not dropped, oldest first."""
-    return list(_staged.get(spark.sparkContext.applicationId, []))
+    """Tables that this thread of the application has staged and not dropped, oldest first."""
+    return list(_own(spark))
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> int:
+def drop_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
     """Delete the staged tables from number ``since`` of ``staged_paths`` on, and say how many.
 
+    ``until``: up to that number, -1: all but the last.
+
     For a caller that has written or collected its result: results that are
     still lazy may read them.
     """
-    paths = _staged.get(spark.sparkContext.applicationId, [])
-    gone, paths[since:] = paths[since:], []
+    paths = _own(spark)
+    gone, paths[since:until] = paths[since:until], []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in gone:
         place = hadoop(path)
